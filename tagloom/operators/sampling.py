@@ -49,14 +49,16 @@ def split_by_event(
 
 
 def hash_split(df: DataFrame, keys: Iterable[str], parts: dict[str, float], seed: int, out: str = "subset") -> DataFrame:
-    """Random split by hash: fractions hold in expectation, no counting pass needed."""
-    position = F.conv(F.substring(order_hash(keys, seed), 1, 8), 16, 10).cast("double") / float(16**8)
-    label: Column | None = None
-    upper = 0.0
-    for name, fraction in parts.items():
+    """Random split by hash: fractions hold in expectation, no counting pass needed.
+
+    A fraction becomes a fixed-width hexadecimal bound on the leading hash digits.
+    """
+    position = F.substring(order_hash(keys, seed), 1, 8)
+    chain, upper = F, 0.0
+    for name, fraction in list(parts.items())[:-1]:
         upper += fraction
-        label = F.when(position < upper, name) if label is None else label.when(position < upper, name)
-    return df.withColumn(out, label.otherwise(list(parts)[-1]))
+        chain = chain.when(position < format(int(upper * 16**8), "08x"), name)
+    return df.withColumn(out, chain.otherwise(list(parts)[-1]))
 
 
 def balance_classes(
@@ -93,16 +95,27 @@ def downsample_class(
     df: DataFrame,
     column: str,
     value: str | int,
-    size: int,
+    size: Column | int,
     row_keys: Iterable[str],
     seed: int = 42,
 ) -> DataFrame:
-    """Cut one class to ``size`` rows and keep all other rows."""
+    """Cut one class to ``size`` rows (a number or a scalar subquery) and keep all other rows."""
     majority = df.filter(F.col(column) == F.lit(value)).withColumn("_row_hash", order_hash(row_keys, seed))
-    kept = take_by_hash(majority, "_row_hash", F.least(F.lit(size), F.col("group_size"))).drop("_row_hash")
+    wanted = size if isinstance(size, Column) else F.lit(size)
+    kept = take_by_hash(majority, "_row_hash", F.least(wanted, F.col("group_size"))).drop("_row_hash")
     return df.filter(~F.col(column).eqNullSafe(F.lit(value))).unionByName(kept)
 
 
+def class_size(df: DataFrame, column: str, value: str | int) -> Column:
+    """Row count of one class as a scalar subquery."""
+    return df.filter(F.col(column) == F.lit(value)).agg(F.count(F.lit(1))).scalar()
+
+
+def balance_head(df: DataFrame, label: str, row_keys: Iterable[str], seed: int = 42) -> DataFrame:
+    """All positives plus as many shuffled negatives."""
+    return downsample_class(df, label, 0, class_size(df, label, 1), row_keys, seed)
+
+
 def balanced_sets(
     df: DataFrame,
     level: int,

@@ -93,7 +93,7 @@ ORDER_ROLE = {
     "run": "o_custkey",
     "event": "o_orderkey",
     "B_ID": "CASE WHEN o_totalprice >= 1.5e5 THEN 521 ELSE -521 END",
-    "mass": "5.2e3 + o_totalprice / 2.5e3",
+    "mass": "5.19e3 + o_totalprice / 2.3e3",
     "FillNumber": "9900 + o_orderkey % 170",
     "B_DTF_PV_CTAU": "1e-2 + (o_orderkey % 997) / 4e2",
     "B_PT": "o_totalprice / 2e1",
@@ -197,3 +197,30 @@ def tagged_events(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Best tracks joined with the named event roles (``entry, d, eta, selected`` plus names)."""
     best = best_tracks(spark, sf_dir).select("entry", "d", "eta", "selected")
     return best.join(candidates(spark, sf_dir, "entry", *names), "entry")
+
+
+# hyper-parameter results: one row per (tagger, seed, layers, batch size), figures from track columns
+GRID_SQL = """SELECT CASE l_returnflag WHEN 'A' THEN 'OSKaon' WHEN 'N' THEN 'OSMuon' ELSE 'SSPion' END AS tagger,
+  CAST(l_suppkey % 5 AS INT) AS seed, l_linenumber AS numlayers, CAST(128 * (1 + l_partkey % 4) AS INT) AS batch_size,
+  count(*) AS n, round(avg(l_discount), 9) AS power, round(sqrt(avg(l_tax * l_tax)) / 1e1, 9) AS sigma,
+  round(avg(l_quantity) / 1e3, 9) AS sigma_cal
+  FROM lineitem WHERE (l_suppkey % 5 + l_linenumber) % 6 <> 0
+  GROUP BY l_returnflag, l_suppkey % 5, l_linenumber, l_partkey % 4"""
+GRID_AXES = {"seed": list(range(5)), "numlayers": list(range(1, 8)), "batch_size": [128, 256, 384, 512]}
+
+
+def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hyper-parameter results derived from the track table."""
+    lines = table(spark, sf_dir, "lineitem").filter("(l_suppkey % 5 + l_linenumber) % 6 <> 0")
+    tagger = F.expr("CASE l_returnflag WHEN 'A' THEN 'OSKaon' WHEN 'N' THEN 'OSMuon' ELSE 'SSPion' END")
+    return lines.groupBy(
+        tagger.alias("tagger"),
+        (F.col("l_suppkey") % 5).cast("int").alias("seed"),
+        F.col("l_linenumber").alias("numlayers"),
+        (128 * (1 + F.col("l_partkey") % 4)).cast("int").alias("batch_size"),
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("l_discount"), 9).alias("power"),
+        F.round(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))) / 10.0, 9).alias("sigma"),
+        F.round(F.avg("l_quantity") / 1000.0, 9).alias("sigma_cal"),
+    )
