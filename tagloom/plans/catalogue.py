@@ -1,6 +1,6 @@
 """All catalogue queries; importing the modules registers them."""
 
-from tagloom.plans import column_queries, event_queries, flagship  # noqa: F401
+from tagloom.plans import column_queries, event_queries, flagship, stat_queries  # noqa: F401
 from tagloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
