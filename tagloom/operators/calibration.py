@@ -1,8 +1,8 @@
 """Mistag calibration: weighted polynomial fits in a link space, for all taggers at once.
 
 Model, per tagger and production flavour: link(omega) = sum_k p_k (link(eta) - c)^k with
-c = link(weighted mean eta), so p = (c, 1, 0, ...) is "already calibrated". The fit is Fisher scoring.
-A step needs, per group, only power sums of the centred link value, i.e. one combinable aggregation
+c = link(weighted mean eta), so p = (c, 1, 0, ...) is "already calibrated". The fit is Fisher scoring from a flat
+curve. A step needs, per group, only power sums of the centred link value, i.e. one combinable aggregation
 over the rows; the driver sees (taggers x 2) rows of at most 3 * npar sums and solves npar x npar
 systems. Weights enter as plain sums and may be negative.
 """
@@ -30,7 +30,9 @@ class GroupFit:
 
     values: np.ndarray
     covariance: np.ndarray
-    converged: bool
+    converged: bool = False
+    loss: float = float("inf")
+    previous: np.ndarray | None = None
 
 
 @dataclass
@@ -146,57 +148,65 @@ def calibrate(
     """
     rows = fit_rows(df, tagger, decision, mistag, flavour, weight, mixing).persist()
     try:
-        means = rows.groupBy("tagger").agg((F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("m")).collect()
-        names = [r["tagger"] for r in means]
+        means = _group_means(rows)
+        names = sorted({tagger for tagger, _ in means})
         link_by = {n: links if isinstance(links, str) else links[n] for n in names}
         npar_by = {n: npar if isinstance(npar, int) else npar[n] for n in names}
-        centre_by = {r["tagger"]: _link_value(link_by[r["tagger"]], r["m"]) for r in means}
-        fit = Calibration(link_by, centre_by)
-        _newton(rows, fit, npar_by, names, iterations, tolerance)
-        failed = {t for (t, _), g in fit.fits.items() if not g.converged and link_by[t] == "mistag"}
+        fit = Calibration(link_by, {})
+        _newton(rows, fit, means, npar_by, names, iterations, tolerance)
+        failed = sorted({t for (t, _), g in fit.fits.items() if not g.converged and link_by[t] == "mistag"})
         if fallback and failed:
-            for r in means:
-                if r["tagger"] in failed:
-                    fit.links[r["tagger"]] = "logit"
-                    fit.centres[r["tagger"]] = _link_value("logit", r["m"])
-            _newton(rows, fit, npar_by, sorted(failed), iterations, tolerance)
+            fit.links.update(dict.fromkeys(failed, "logit"))
+            _newton(rows, fit, means, npar_by, failed, iterations, tolerance)
         return fit
     finally:
         rows.unpersist()
 
 
 def _link_value(name: str, x: float) -> float:
+    x = min(max(x, 0.01), 0.99)
     return float(np.log(x / (1.0 - x))) if name == "logit" else float(x)
 
 
-def _newton(rows: DataFrame, fit: Calibration, npar: dict[str, int], names: list[str], iterations: int, tolerance: float) -> None:
+def _group_means(rows: DataFrame) -> dict[tuple[str, int], dict[str, float]]:
+    """Weight, weighted mistag and weighted wrong sums per tagger and flavour."""
+    w = F.col("w")
+    added = rows.groupBy("tagger", "sign").agg(
+        F.sum(w).alias("w"), F.sum(w * F.col("eta")).alias("eta"), F.sum(w * F.col("wrong")).alias("wrong")
+    )
+    return {(r["tagger"], r["sign"]): r.asDict() for r in added.collect()}
+
+
+def _newton(
+    rows: DataFrame, fit: Calibration, means: dict, npar: dict[str, int], names: list[str], iterations: int, tolerance: float
+) -> None:
+    """Fisher scoring from the flat curve, with the step halved whenever the loss went up."""
     width = max(npar[n] for n in names)
+    active = set()
     for name in names:
-        start = np.zeros(npar[name])
-        start[0] = fit.centres[name]
-        if npar[name] > 1:
-            start[1] = 1.0
-        for sign in FLAVOURS:
-            fit.fits[(name, sign)] = GroupFit(start.copy(), np.full((npar[name],) * 2, np.nan), False)
-    active = {(n, s) for n in names for s in FLAVOURS}
+        groups = {sign: means[(name, sign)] for sign in FLAVOURS if (name, sign) in means}
+        mean_eta = sum(g["eta"] for g in groups.values()) / sum(g["w"] for g in groups.values())
+        fit.centres[name] = _link_value(fit.links[name], mean_eta)
+        for sign, group in groups.items():
+            start = np.zeros(npar[name])
+            start[0] = _link_value(fit.links[name], group["wrong"] / group["w"])
+            fit.fits[(name, sign)] = GroupFit(start, np.full((npar[name],) * 2, np.nan))
+            active.add((name, sign))
     for _ in range(iterations):
-        sums = _score_sums(rows, fit, active, width)
-        seen = set()
-        for key, row in sums.items():
-            seen.add(key)
-            group, n = fit.fits[key], len(fit.fits[key].values)
-            step, covariance = _solve(row, n, width)
+        for key, row in _score_sums(rows, fit, active, width).items():
+            group = fit.fits[key]
+            if group.previous is not None and row["loss"] > group.loss + 1e-7 * abs(group.loss):
+                group.values = 0.5 * (group.values + group.previous)
+                continue
+            step, covariance = _solve(row, len(group.values), width)
             if step is None:
                 active.discard(key)
                 continue
-            group.values = group.values + step
-            group.covariance = covariance
+            group.previous, group.loss = group.values, row["loss"]
+            group.values, group.covariance = group.values + step, covariance
             if np.max(np.abs(step)) < tolerance:
                 group.converged = True
                 active.discard(key)
-        for key in active - seen:  # no rows for this flavour
-            fit.fits.pop(key)
-        active &= seen
         if not active:
             break
 
@@ -246,12 +256,15 @@ def _score_sums(rows: DataFrame, fit: Calibration, active: set, width: int) -> d
             "_h": F.col("w") * F.col("slope") * F.col("slope") / spread,
         }
     )
+    wrong, pi = F.col("wrong"), F.col("pi")
+    loss = -F.col("w") * F.log(F.when(wrong == 1.0, pi).otherwise(1.0 - pi))
     powers: list[Column] = [F.lit(1.0)]
     for _ in range(2 * width - 2):
         powers.append(powers[-1] * F.col("x"))
     added = [F.sum(F.col("_g") * powers[k]).alias(f"g{k}") for k in range(width)]
     added += [F.sum(F.col("_h") * p).alias(f"h{k}") for k, p in enumerate(powers)]
     added += [F.sum(F.col("w") * F.col("_h") * p).alias(f"v{k}") for k, p in enumerate(powers)]
+    added.append(F.sum(loss).alias("loss"))
     return {(r["tagger"], r["sign"]): r for r in staged.groupBy("tagger", "sign").agg(*added).collect()}
 
 

@@ -94,6 +94,8 @@ ORDER_ROLE = {
     "event": "o_orderkey",
     "B_ID": "CASE WHEN o_totalprice >= 1.5e5 THEN 521 ELSE -521 END",
     "mass": "5.19e3 + o_totalprice / 2.3e3",
+    "mass_peak": "CASE WHEN o_orderkey % 3 = 0 THEN 5.28e3 + 1.4e1 * (((o_orderkey * 7919) % 1000 + (o_custkey * 104729) % 1000"
+    " + (o_orderkey * 31 + o_custkey) % 1000) / 1e3 - 1.5e0) ELSE 5.2e3 + o_totalprice / 2.5e3 END",
     "FillNumber": "9900 + o_orderkey % 170",
     "B_DTF_PV_CTAU": "1e-2 + (o_orderkey % 997) / 4e2",
     "B_PT": "o_totalprice / 2e1",
@@ -169,7 +171,7 @@ tagged AS (SELECT *, CAST(CASE WHEN selected = 0 THEN 0 WHEN e0 > 0.5 THEN -d0 E
 BEST_SQL = f"""{TAGGED_SQL},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry
        ORDER BY selected DESC, eta, subentry, track_part, track_supp, d) AS rn FROM tagged) WHERE rn = 1),
-ev AS (SELECT b.entry, b.d, b.eta, b.selected, o.run, o.B_ID, o.mass, o.FillNumber, o.B_DTF_PV_CTAU, o.B_PT,
+ev AS (SELECT b.entry, b.d, b.eta, b.selected, o.run, o.B_ID, o.mass, o.mass_peak, o.FillNumber, o.B_DTF_PV_CTAU, o.B_PT,
        o.B_ETA, o.B_nPVs, o.B_nTracks FROM best b JOIN ({candidates_sql(*ORDER_ROLE)}) o ON b.entry = o.entry)"""
 
 
