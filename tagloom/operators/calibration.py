@@ -239,8 +239,7 @@ def _score_sums(rows: DataFrame, fit: Calibration, active: set, width: int) -> d
         *[T.StructField(f"p{k}", T.DoubleType()) for k in range(width)],
     ]
     current = rows.sparkSession.createDataFrame(state, T.StructType(fields))
-    # one row per tagger and flavour: bounded by the number of taggers
-    joined = rows.join(F.broadcast(current), ["tagger", "sign"])
+    joined = rows.join(current, ["tagger", "sign"])  # a local relation of two rows per tagger
     x = link_of(F.col("eta"), F.col("link")) - F.col("centre")
     staged = joined.withColumn("x", x)
     u = polynomial(F.col("x"), [F.col(f"p{k}") for k in range(width)])

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.cuts import SIMULATION_SIGNAL_TERM, cut_predicate, gated_score
+from tagloom.operators.ranking import bounded_local
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -41,10 +42,10 @@ def class_names(names: Sequence[str], code: Column) -> Column:
 
 def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
     """Balanced weights N / (k * N_class); the class table has one row per class."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    rows, classes = sizes.agg(F.sum("_n")).scalar(), sizes.agg(F.count(F.lit(1))).scalar()
-    weights = sizes.select(label, (rows / (classes * F.col("_n"))).alias(out))
-    return df.join(F.broadcast(weights), label)
+    sizes = bounded_local(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    rows, classes = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    weights = sizes.select(label, (F.lit(rows / classes) / F.col("_n")).alias(out))
+    return df.join(weights, label)
 
 
 def train_tree(

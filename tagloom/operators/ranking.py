@@ -14,12 +14,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_LOCAL_ROWS = 10_000
+
+
 def order_hash(keys: Iterable[str], seed: int | str) -> Column:
     """Text that orders rows pseudo-randomly and identically on every run and engine."""
     parts = [F.col(k).cast("string") for k in keys]
     return F.md5(F.concat_ws("_", *parts, F.lit(str(seed))))
 
 
+def bounded_local(df: DataFrame, limit: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """The rows of a small table as a local relation, or ``df`` itself if it has more than ``limit``.
+
+    A local relation has an exactly known size, so Catalyst broadcasts it by its own threshold; a
+    larger table keeps its distributed plan and is joined by shuffle.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+
+
 def hash_cut_points(
     df: DataFrame,
     hash_col: str,
@@ -41,27 +54,31 @@ def hash_cut_points(
     by, scope = list(by), list(scope)
     slim = df.select(*by, F.col(hash_col).alias("_h"), F.substring(hash_col, 1, digits).alias("_p"))
     counts = slim.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by)
-    running = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.withColumn("_upto", F.sum("_n").over(running))
+    if by:
+        totals = counts.groupBy(*by).agg(F.sum("_n").alias("group_size"))
+        smallest = F.min("group_size").over(Window.partitionBy(*scope))  # one row per class
+        steps = steps.join(totals.withColumn("smallest_group", smallest), by)
+    else:  # at most 16**digits rows
+        steps = steps.withColumn("group_size", F.sum("_n").over(Window.partitionBy()))
+        steps = steps.withColumn("smallest_group", F.col("group_size"))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("cut"), k.cast("long").alias("k")) for name, k in sizes.items()]
     )
     steps = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("group_size", F.sum("_n").over(group))
-        .withColumn("smallest_group", F.min("group_size").over(Window.partitionBy(*scope)))
-        .withColumn("_w", F.explode(wanted))
+        steps.withColumn("_w", F.explode(wanted))
         .filter((F.col("_w.k") <= F.col("_upto")) & (F.col("_w.k") > F.col("_upto") - F.col("_n")))
         .select(*by, "_p", "_w.cut", (F.col("_w.k") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
-    # one row per class and cut, so the broadcast is bounded by the number of classes
-    inside = slim.join(F.broadcast(steps), [*by, "_p"])
+    inside = slim.join(bounded_local(steps), [*by, "_p"])
     position = F.row_number().over(Window.partitionBy(*by, "cut").orderBy("_h"))
-    return (
+    found = (
         inside.withColumn("_at", position)
         .filter(F.col("_at") == F.col("_rank"))
         .select(*by, "cut", F.col("_h").alias("cut_hash"))
     )
+    return bounded_local(found)
 
 
 def take_by_hash(
@@ -70,18 +87,34 @@ def take_by_hash(
     size: Column,
     by: Iterable[str] = (),
     scope: Iterable[str] = (),
+    expected: int | None = None,
 ) -> DataFrame:
-    """Keep the ``size`` rows with the smallest hashes in every class of ``by``."""
+    """Keep the ``size`` rows with the smallest hashes in every class of ``by``.
+
+    With ``expected`` set, fewer non-empty classes within a ``scope`` are an error.
+    """
     by = list(by)
     cuts = hash_cut_points(df, hash_col, {"keep": size}, by, scope).drop("cut")
+    if expected is not None:
+        fewest = cuts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c")).first()[0]
+        if (fewest or 0) < expected:
+            raise ValueError(f"cannot balance: {fewest or 0} of {expected} classes present")
     if by:
-        joined = df.join(F.broadcast(cuts), by)
+        joined = df.join(cuts, by)
         return joined.filter(F.col(hash_col) <= F.col("cut_hash")).select(*df.columns)
-    return df.filter(F.col(hash_col) <= cuts.select("cut_hash").scalar())
+    last = cuts.select("cut_hash").first()
+    return df.filter(F.col(hash_col) <= last["cut_hash"]) if last else df.limit(0)
 
 
-def value_edges(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
-    """Distinct approximate quantiles of a column; one map-side sketch pass, no shuffle of rows."""
+def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Distinct approximate quantiles of a column; one map-side sketch pass, no shuffle of rows.
+
+    The number of buckets follows the session's shuffle parallelism, so a bucket stays one task's
+    share of the data at any scale.
+    """
+    if buckets is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(max(4 * partitions, 64), 4096)
     grid = [i / buckets for i in range(1, buckets)]
     found = df.approxQuantile(value, grid, 0.25 / buckets)
     return sorted(set(found))

@@ -35,17 +35,13 @@ def split_by_event(
     size = F.col("group_size").cast("double")
     both = F.floor(F.lit(train_val_fraction) * size)
     train = F.floor(F.lit(train_fraction) * both.cast("double"))
-    cuts = hash_cut_points(events, "_h", {"train": train, "val": both})
-    edges = cuts.agg(
-        *[F.max(F.when(F.col("cut") == c, F.col("cut_hash"))).alias(c) for c in ("train", "val")]
-    )
-    here = order_hash([event], seed)
-    return df.withColumn(
-        out,
-        F.when(here <= edges.select("train").scalar(), "train")
-        .when(here <= edges.select("val").scalar(), "val")
-        .otherwise("test"),
-    )
+    cuts = hash_cut_points(events, "_h", {"train": train, "val": both}).collect()  # two rows
+    last = {row["cut"]: row["cut_hash"] for row in cuts}
+    here, chain = order_hash([event], seed), F
+    for name in ("train", "val"):
+        if name in last:
+            chain = chain.when(here <= last[name], name)
+    return df.withColumn(out, F.lit("test") if chain is F else chain.otherwise("test"))
 
 
 def hash_split(df: DataFrame, keys: Iterable[str], parts: dict[str, float], seed: int, out: str = "subset") -> DataFrame:
@@ -71,26 +67,16 @@ def balance_classes(
 ) -> DataFrame:
     """Down-sample every class to the size of the smallest one, exactly.
 
-    ``row_keys`` identify a row and fix the random order. With ``expected`` set (strict mode), the
-    query fails at run time when fewer classes are present. ``scope`` columns (part of ``classes``)
+    ``row_keys`` identify a row and fix the random order. With ``expected`` set (strict mode), fewer
+    classes raise a ValueError. ``scope`` columns (part of ``classes``)
     delimit separate balancing problems, e.g. train and validation set.
     """
     classes, scope = list(classes), list(scope)
     hashed = df.withColumn("_row_hash", order_hash(row_keys, seed))
-    if expected is not None:
-        hashed = hashed.filter(_class_guard(df, classes, scope, expected))
-    kept = take_by_hash(hashed, "_row_hash", F.col("smallest_group"), classes, scope)
+    kept = take_by_hash(hashed, "_row_hash", F.col("smallest_group"), classes, scope, expected)
     return kept.drop("_row_hash")
 
 
-def _class_guard(df: DataFrame, classes: list[str], scope: list[str], expected: int) -> Column:
-    present = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("_n"))
-    fewest = present.groupBy(*scope).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c")).scalar()
-    return F.when(fewest >= expected, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"cannot balance: fewer than {expected} classes present")).cast("boolean")
-    )
-
-
 def downsample_class(
     df: DataFrame,
     column: str,

@@ -94,8 +94,9 @@ ORDER_ROLE = {
     "event": "o_orderkey",
     "B_ID": "CASE WHEN o_totalprice >= 1.5e5 THEN 521 ELSE -521 END",
     "mass": "5.19e3 + o_totalprice / 2.3e3",
-    "mass_peak": "CASE WHEN o_orderkey % 3 = 0 THEN 5.28e3 + 1.4e1 * (((o_orderkey * 7919) % 1000 + (o_custkey * 104729) % 1000"
+    "mass_peak": "CASE WHEN o_orderstatus = 'F' THEN 5.28e3 + 1.4e1 * (((o_orderkey * 7919) % 1000 + (o_custkey * 104729) % 1000"
     " + (o_orderkey * 31 + o_custkey) % 1000) / 1e3 - 1.5e0) ELSE 5.2e3 + o_totalprice / 2.5e3 END",
+    "simulated": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END",
     "FillNumber": "9900 + o_orderkey % 170",
     "B_DTF_PV_CTAU": "1e-2 + (o_orderkey % 997) / 4e2",
     "B_PT": "o_totalprice / 2e1",
@@ -206,14 +207,13 @@ GRID_SQL = """SELECT CASE l_returnflag WHEN 'A' THEN 'OSKaon' WHEN 'N' THEN 'OSM
   CAST(l_suppkey % 5 AS INT) AS seed, l_linenumber AS numlayers, CAST(128 * (1 + l_partkey % 4) AS INT) AS batch_size,
   count(*) AS n, round(avg(l_discount), 9) AS power, round(sqrt(avg(l_tax * l_tax)) / 1e1, 9) AS sigma,
   round(avg(l_quantity) / 1e3, 9) AS sigma_cal
-  FROM lineitem WHERE (l_suppkey % 5 + l_linenumber) % 6 <> 0
+  FROM lineitem
   GROUP BY l_returnflag, l_suppkey % 5, l_linenumber, l_partkey % 4"""
-GRID_AXES = {"seed": list(range(5)), "numlayers": list(range(1, 8)), "batch_size": [128, 256, 384, 512]}
 
 
 def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hyper-parameter results derived from the track table."""
-    lines = table(spark, sf_dir, "lineitem").filter("(l_suppkey % 5 + l_linenumber) % 6 <> 0")
+    lines = table(spark, sf_dir, "lineitem")
     tagger = F.expr("CASE l_returnflag WHEN 'A' THEN 'OSKaon' WHEN 'N' THEN 'OSMuon' ELSE 'SSPion' END")
     return lines.groupBy(
         tagger.alias("tagger"),

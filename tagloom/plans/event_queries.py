@@ -144,15 +144,21 @@ def keyed_attach(spark: SparkSession, sf: str) -> DataFrame:
     return joins.attach_by_key(b.tracks(spark, sf), weights, "entry")
 
 
+# the configured axes; the part table lists the combinations that exist
+GRID_AXES = {
+    "p_brand": [f"Brand#{i}" for i in range(1, 26)],
+    "p_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+    "p_size": list(range(1, 51)),
+}
+
+
 @query(
     "J6_missing_grid_points",
-    f"""SELECT t AS tagger, s AS seed, l AS numlayers, bs AS batch_size FROM (SELECT unnest(['OSKaon', 'OSMuon', 'SSPion']) AS t),
-      (SELECT CAST(unnest(range(5)) AS INT) AS s), (SELECT CAST(unnest(range(1, 8)) AS INT) AS l), (SELECT unnest([128, 256, 384, 512]) AS bs)
-      WHERE NOT EXISTS (SELECT 1 FROM ({b.GRID_SQL}) g WHERE g.tagger = t AND g.seed = s AND g.numlayers = l AND g.batch_size = bs)""",
+    f"""SELECT * FROM (SELECT 'Brand#' || unnest(range(1, 26)) AS p_brand), (SELECT unnest({GRID_AXES['p_type']}) AS p_type),
+      (SELECT CAST(unnest(range(1, 51)) AS INT) AS p_size) EXCEPT SELECT p_brand, p_type, p_size FROM part""",
 )
 def missing_grid_points(spark: SparkSession, sf: str) -> DataFrame:
-    axes = {"tagger": ["OSKaon", "OSMuon", "SSPion"], **b.GRID_AXES}
-    return joins.missing_grid_points(b.grid_results(spark, sf), axes)
+    return joins.missing_grid_points(b.table(spark, sf, "part"), GRID_AXES)
 
 
 @query(

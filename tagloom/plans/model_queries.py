@@ -279,9 +279,9 @@ def mass_fit_yields(spark: SparkSession, sf: str) -> DataFrame:
 @query("M14_mass_fit_shapes")
 def mass_fit_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """Simulation fit for the tails, then the data fit with the tails fixed."""
-    df = b.candidates(spark, sf, "entry", "mass_peak")
+    df = b.candidates(spark, sf, "entry", "mass_peak", "simulated")
     start = replace(SHAPE, mean=5279.0)
-    simulated = weights.fit_mass(df.filter("entry % 3 = 0"), "mass_peak", start, simulation=True)
+    simulated = weights.fit_mass(df.filter("simulated = 1"), "mass_peak", start, simulation=True)
     return weights.fit_mass(df, "mass_peak", replace(simulated.shape, c0=0.1, c1=-0.2, c2=0.03)).table(spark)
 
 

@@ -87,11 +87,11 @@ RESULT_KEYS = {
 }
 
 
-@query("S7_json_results_scan", f"SELECT tagger, seed, numlayers, batch_size, n, power, sigma FROM ({b.GRID_SQL}) WHERE numlayers <= 2")
+@query("S7_json_results_scan", f"SELECT tagger, seed, numlayers, batch_size, n, power, sigma FROM ({b.GRID_SQL})")
 def json_results_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Nested JSON files written by key directories, keys read back from the paths."""
     root = shared_dir(spark, "results")
-    rows = b.grid_results(spark, sf).filter("numlayers <= 2")
+    rows = b.grid_results(spark, sf)
     nested = rows.select(*RESULT_KEYS, F.struct(F.col("power").alias("value"), "sigma").alias("power"), "n")
     nested.write.partitionBy(*RESULT_KEYS).json(root)
     found = results.scan_results(spark, root, RESULT_SCHEMA, RESULT_KEYS)
