@@ -77,13 +77,9 @@ def _chebyshev(x, s: Shape):
     return 1.0 + u * s.c0 + (u * u * 2.0 - 1.0) * s.c1 + (u * u * u * 4.0 - u * 3.0) * s.c2
 
 
-def _grid(s: Shape, points: int = 20001) -> np.ndarray:
-    return np.linspace(s.low, s.high, points)
-
-
-def norms(s: Shape) -> tuple[float, float, float]:
+def norms(s: Shape, points: int = 4001) -> tuple[float, float, float]:
     """Integrals of the three unnormalised shapes over the window (parameters only, no data)."""
-    x = _grid(s)
+    x = np.linspace(s.low, s.high, points)
     return (
         float(np.trapezoid(_crystal_ball(x, s, _Arrays), x)),
         float(np.trapezoid(_gauss(x, s, _Arrays), x)),
@@ -91,13 +87,13 @@ def norms(s: Shape) -> tuple[float, float, float]:
     )
 
 
-def signal_density(x, s: Shape, ops=_Columns):
-    ball, gauss, _ = norms(s)
+def signal_density(x, s: Shape, ops=_Columns, integrals: tuple[float, float, float] | None = None):
+    ball, gauss, _ = integrals or norms(s)
     return _crystal_ball(x, s, ops) * (s.fraction / ball) + _gauss(x, s, ops) * ((1.0 - s.fraction) / gauss)
 
 
-def background_density(x, s: Shape):
-    return _chebyshev(x, s) / norms(s)[2]
+def background_density(x, s: Shape, integrals: tuple[float, float, float] | None = None):
+    return _chebyshev(x, s) / (integrals or norms(s))[2]
 
 
 @dataclass(frozen=True)
@@ -143,17 +139,16 @@ def fit_spectrum(
     free = [*SHAPE_ONLY, *(TAILS if simulation else BACKGROUND)]
     edges = np.linspace(start.low, start.high, len(n) + 1)
     width = edges[1] - edges[0]
-    nodes = [edges[:-1], edges[:-1] + width / 2, edges[1:]]
+    nodes = np.linspace(start.low, start.high, 2 * len(n) + 1)  # bin edges and centres
 
     def expected(theta: np.ndarray) -> np.ndarray:
         s = replace(start, **dict(zip(free, map(float, theta))))
-        simpson = (1.0, 4.0, 1.0)
-        sig = sum(c * signal_density(x, s, _Arrays) for c, x in zip(simpson, nodes)) * (width / 6.0)
-        out = theta[len(free)] * sig
+        integrals = norms(s, 2001)
+        density = theta[len(free)] * signal_density(nodes, s, _Arrays, integrals)
         if not simulation:
-            bkg = sum(c * background_density(x, s) for c, x in zip(simpson, nodes)) * (width / 6.0)
-            out = out + theta[len(free) + 1] * bkg
-        return np.maximum(out, 1e-9)
+            density = density + theta[len(free) + 1] * background_density(nodes, s, integrals)
+        simpson = density[:-2:2] + 4.0 * density[1:-1:2] + density[2::2]
+        return np.maximum(simpson * (width / 6.0), 1e-9)
 
     def deviance(mu: np.ndarray) -> float:
         return float(2.0 * np.sum(mu - n + np.where(n > 0, n * np.log(np.maximum(n, 1e-300) / mu), 0.0)))
