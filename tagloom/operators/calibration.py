@@ -408,12 +408,7 @@ def calibration_curve(
     edges = value_edges(rows, "eta")
     values = rows.groupBy(*by, "eta").agg(*_curve_sums())
     ordered = running_sums(values, "eta", ["sum_w"], edges, by)
-    totals = values.groupBy(*by).agg(F.sum("sum_w").alias("_total"))
-    if by:
-        ordered = ordered.join(totals, by)
-    else:
-        ordered = ordered.withColumn("_total", totals.scalar())
-    share = F.floor(bins * F.col("sum_w_before") / F.col("_total"))
+    share = F.floor(bins * F.col("sum_w_before") / F.col("sum_w_total"))
     placed = ordered.withColumn("bin", F.greatest(F.least(share, F.lit(bins - 1)), F.lit(0)))
     merged = placed.groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in _CURVE_SUMS])
     return merged.select(*_curve_figures(by))

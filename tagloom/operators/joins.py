@@ -37,14 +37,7 @@ def outer_join_taggers(
         )
         stacked = row if stacked is None else stacked.unionByName(row)
     if not order:
-        return stacked.groupBy(key).agg(
-            *[F.max(c).alias(c) for c in shared],
-            *[
-                F.max(F.when(F.col("_tagger") == name, F.col(c))).alias(f"{name}_{c}")
-                for name in taggers
-                for c in columns
-            ],
-        )
+        return widen_taggers(stacked, key, "_tagger", list(taggers), shared, columns)
     row = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *columns])])
     firsts = [F.min(F.when(F.col("_tagger") == name, row)).alias(f"_{name}") for name in taggers]
     folded = stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in shared], *firsts)
@@ -55,6 +48,21 @@ def outer_join_taggers(
     )
 
 
+def widen_taggers(
+    long: DataFrame,
+    key: str,
+    tagger: str,
+    names: Sequence[str],
+    shared: Iterable[str] = (),
+    columns: Sequence[str] = ("d", "eta"),
+) -> DataFrame:
+    """Long (event, tagger) rows, unique per pair, to one row per event with a column set per tagger."""
+    return long.groupBy(key).agg(
+        *[F.max(c).alias(c) for c in shared],
+        *[F.max(F.when(F.col(tagger) == name, F.col(c))).alias(f"{name}_{c}") for name in names for c in columns],
+    )
+
+
 def keep_listed(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key occurs in the list."""
     return df.join(keys, on, "left_semi")

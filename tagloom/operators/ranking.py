@@ -123,7 +123,7 @@ def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[f
 def running_sums(
     df: DataFrame, value: str, sums: Iterable[str], edges: list[float], by: Iterable[str] = ()
 ) -> DataFrame:
-    """Exclusive running sums ``<name>_before`` of the columns ``sums`` in order of ``value``.
+    """Exclusive running sums ``<name>_before`` in order of ``value``, and totals ``<name>_total``.
 
     ``df`` holds one row per (by, value). ``edges`` cut the value range into buckets; bucket totals
     become offsets (at most ``len(edges) + 1`` rows per class) and only rows of one bucket are
@@ -136,10 +136,12 @@ def running_sums(
     earlier = (Window.unboundedPreceding, -1)
     over_buckets = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*earlier)
     offsets = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    whole = Window.partitionBy(*by)
     offsets = offsets.select(
         *by,
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{s}").over(over_buckets), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(*earlier)
     local = bucketed.select(
@@ -147,7 +149,9 @@ def running_sums(
     )
     joined = local.join(offsets, [*by, "_bucket"])
     return joined.select(
-        *df.columns, *[(F.col(f"_o_{s}") + F.col(f"_l_{s}")).alias(f"{s}_before") for s in sums]
+        *df.columns,
+        *[(F.col(f"_o_{s}") + F.col(f"_l_{s}")).alias(f"{s}_before") for s in sums],
+        *[f"{s}_total" for s in sums],
     )
 
 
@@ -163,9 +167,7 @@ def exact_quantile(df: DataFrame, value: str, fraction: float, out: str = "quant
     edges = value_edges(clean, "_v")
     counted = clean.groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_sums(counted, "_v", ["n"], edges)
-    last = clean.agg(F.count(F.lit(1)) - F.lit(1)).scalar().cast("double")
-    position = last * F.lit(float(fraction))
-    placed = ranked.withColumn("_position", position)
+    placed = ranked.withColumn("_position", (F.col("n_total") - 1).cast("double") * float(fraction))
 
     def value_at(rank: Column) -> Column:
         here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))

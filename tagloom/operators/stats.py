@@ -150,13 +150,11 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """False and true positive rates when everything at or above a score is called positive."""
     points = roc_points(df, score, label)
-    pos = df.filter(F.col(label) == 1).agg(F.count(F.lit(1))).scalar()
-    neg = df.filter(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
-    return points.select(
-        "score",
-        F.try_divide((neg - F.col("neg_before")).cast("double"), neg).alias("fpr"),
-        F.try_divide((pos - F.col("pos_before")).cast("double"), pos).alias("tpr"),
-    )
+    rates = {
+        out: F.try_divide((F.col(f"{c}_total") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_total"))
+        for out, c in (("fpr", "neg"), ("tpr", "pos"))
+    }
+    return points.select("score", *[rate.alias(name) for name, rate in rates.items()])
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -316,11 +314,14 @@ def pivot_heatmap(
 ) -> DataFrame:
     """Row axis x column axis table of the best metric with the global colour range."""
     wide = results.groupBy(rows).pivot(columns, list(values)).agg(F.max(metric))
-    limits = results.filter(F.col(columns).isin(list(values))).groupBy(rows, columns).agg(F.max(metric).alias("_m"))
-    ends = limits.agg(F.min("_m").alias("vmin"), F.max("_m").alias("vmax"))
-    renamed = wide.withColumnsRenamed({str(v): f"{columns}_{v}" for v in values})
-    return renamed.withColumns(
-        {"vmin": ends.select("vmin").scalar(), "vmax": ends.select("vmax").scalar()}
+    wide = wide.withColumnsRenamed({str(v): f"{columns}_{v}" for v in values})
+    cells = [F.col(c) for c in wide.columns if c != rows]
+    everything = Window.partitionBy()  # one row per value of the row axis
+    return wide.withColumns(
+        {
+            "vmin": F.min(F.least(*cells) if len(cells) > 1 else cells[0]).over(everything),
+            "vmax": F.max(F.greatest(*cells) if len(cells) > 1 else cells[0]).over(everything),
+        }
     )
 
 

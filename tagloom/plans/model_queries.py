@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import tagging as tag
-from tagloom.operators import calibration, cuts, models, networks, preprocessing, stats, weights
+from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, weights
 from tagloom.operators.sampling import hash_split
 from tagloom.plans import bindings as b
 from tagloom.plans.column_queries import K, src
-from tagloom.plans.event_queries import PER_TAGGER, per_tagger_events, wide_taggers
+from tagloom.plans.event_queries import PER_TAGGER, per_tagger_events
 from tagloom.plans.flagship import FIGURES, performance_sql, rounded
 from tagloom.plans.registry import query
 
@@ -416,7 +416,7 @@ def combine_taggers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def combine_wide(spark: SparkSession, sf: str) -> DataFrame:
     made = calibration.combine_wide([(f"{t}_d", f"{t}_eta") for t in "ANR"])
-    df = wide_taggers(spark, sf).withColumns(made)
+    df = joins.widen_taggers(per_tagger_events(spark, sf), "entry", "flag", ["A", "N", "R"]).withColumns(made)
     return rounded(df.select("entry", "d", "eta"), "eta", digits=7)
 
 

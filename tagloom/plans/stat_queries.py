@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators import calibration, events, hist, joins, stats
@@ -233,7 +233,7 @@ def hist_difference(spark: SparkSession, sf: str) -> DataFrame:
 def fit_pulls(spark: SparkSession, sf: str) -> DataFrame:
     """Pulls of a spectrum against a flat model with the same total."""
     counted = hist.histogram(b.table(spark, sf, "orders"), "o_totalprice", 0.0, 5e5, 50)
-    model = counted.agg(F.sum("n") / 50.0).scalar()
+    model = F.sum("n").over(Window.partitionBy()) / 50.0  # one row per bin
     made = hist.pulls(counted.withColumn("model", model), "n", "model")
     return rounded(made, "model", "pull", digits=6).select("bin", "n", "model", "pull")
 
@@ -524,7 +524,7 @@ def power_table(spark: SparkSession, sf: str) -> DataFrame:
     df = per_tagger_events(spark, sf).select("entry", F.col("flag").alias("tagger"), "d", "eta")
     df = df.join(b.candidates(spark, sf, "entry", "B_ID"), "entry")
     made = stats.tagging_performance(df, "d", "eta", "B_ID", by=["tagger"])
-    total = stats.sum_of_taggers(made, "tagging_power").scalar()
+    total = F.sum("tagging_power").over(Window.partitionBy())  # one row per tagger
     percent = {
         "efficiency_percent": F.col("tag_efficiency"),
         "power_percent": F.col("tagging_power"),
