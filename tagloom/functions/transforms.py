@@ -60,3 +60,14 @@ def round_to(x: Column, digits: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """Round half away from zero to ``digits`` decimals in floating point.
+
+    Built-in ``round`` goes through decimal objects per value; this stays in primitive arithmetic and
+    so inside generated code. Not for NaN; values times 10**digits must fit a 64-bit integer.
+    """
+    value = F.col(x) if isinstance(x, str) else x
+    scale = float(10**digits)
+    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale + 0.0

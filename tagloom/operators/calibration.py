@@ -13,12 +13,13 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom.functions.transforms import inverse_link, link
 from tagloom.operators.ranking import running_sums, value_edges
+from tagloom.session import local_table
 
 MARGIN = 1e-9  # keeps probabilities inside the open unit interval
 FLAVOURS = (1, -1)
@@ -92,11 +93,9 @@ def clipped(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0 - MARGIN)), F.lit(MARGIN))
 
 
-def link_of(mistag: Column, name: str | Column) -> Column:
-    """Link value of a mistag; the link may differ per row."""
-    if isinstance(name, str):
-        return link(name, clipped(mistag))
-    return F.when(name == "logit", link("logit", clipped(mistag))).otherwise(clipped(mistag))
+def link_of(mistag: Column, name: str) -> Column:
+    """Link value of a mistag kept inside the open unit interval."""
+    return link(name, clipped(mistag))
 
 
 def polynomial(x: Column, coefficients: list[Column]) -> Column:
@@ -107,20 +106,17 @@ def polynomial(x: Column, coefficients: list[Column]) -> Column:
     return out
 
 
-def _omega(u: Column, name: Column) -> Column:
-    return clipped(F.when(name == "logit", inverse_link("logit", u)).otherwise(u))
-
-
 def fit_rows(
     df: DataFrame, tagger: str, decision: str, mistag: str, flavour: str, weight: str | None, mixing: Column | None
 ) -> DataFrame:
-    """The columns the fit needs, tagged rows only: tagger, flavour sign, wrong, eta, w, chi."""
+    """The columns the fit needs, of tagged rows only; the logarithm is taken once, not per step."""
     d, eta = F.col(decision), F.col(mistag)
     return df.filter((d != 0) & (eta < 0.5)).select(
         F.col(tagger).alias("tagger"),
         F.signum(F.col(flavour)).cast("int").alias("sign"),
         (d * F.signum(F.col(flavour)) < 0).cast("double").alias("wrong"),
-        eta.alias("eta"),
+        clipped(eta).alias("eta"),
+        link_of(eta, "logit").alias("log_odds"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
         (mixing if mixing is not None else F.lit(0.0)).alias("chi"),
     )
@@ -226,26 +222,24 @@ def _solve(row, n: int, width: int):
 
 def _score_sums(rows: DataFrame, fit: Calibration, active: set, width: int) -> dict:
     """Gradient, information and squared-weight information sums of the active groups."""
-    state = []
-    for tagger, sign in sorted(active):
-        values = list(map(float, fit.fits[(tagger, sign)].values))
-        values += [0.0] * (width - len(values))
-        state.append((tagger, sign, fit.links[tagger], fit.centres[tagger], *values))
-    fields = [
-        T.StructField("tagger", T.StringType()),
-        T.StructField("sign", T.IntegerType()),
-        T.StructField("link", T.StringType()),
-        T.StructField("centre", T.DoubleType()),
-        *[T.StructField(f"p{k}", T.DoubleType()) for k in range(width)],
-    ]
-    current = rows.sparkSession.createDataFrame(state, T.StructType(fields))
+    groups = sorted(active)
+    state: dict[str, list] = {
+        "tagger": [t for t, _ in groups],
+        "sign": pa.array([s for _, s in groups], pa.int32()),
+        "logit": [fit.links[t] == "logit" for t, _ in groups],
+        "centre": [fit.centres[t] for t, _ in groups],
+    }
+    for k in range(width):
+        values = [fit.fits[g].values for g in groups]
+        state[f"p{k}"] = [float(v[k]) if k < len(v) else 0.0 for v in values]
+    current = local_table(rows.sparkSession, pa.table(state))
     joined = rows.join(current, ["tagger", "sign"])  # a local relation of two rows per tagger
-    x = link_of(F.col("eta"), F.col("link")) - F.col("centre")
+    x = F.when(F.col("logit"), F.col("log_odds")).otherwise(F.col("eta")) - F.col("centre")
     staged = joined.withColumn("x", x)
     u = polynomial(F.col("x"), [F.col(f"p{k}") for k in range(width)])
-    staged = staged.withColumn("omega", _omega(u, F.col("link")))
+    staged = staged.withColumn("omega", clipped(F.when(F.col("logit"), inverse_link("logit", u)).otherwise(u)))
     omega, chi = F.col("omega"), F.col("chi")
-    slope = F.when(F.col("link") == "logit", omega * (1.0 - omega)).otherwise(F.lit(1.0)) * (1.0 - 2.0 * chi)
+    slope = F.when(F.col("logit"), omega * (1.0 - omega)).otherwise(F.lit(1.0)) * (1.0 - 2.0 * chi)
     pi = clipped(omega + chi - 2.0 * omega * chi)
     staged = staged.withColumns({"slope": slope, "pi": pi})
     spread = F.col("pi") * (1.0 - F.col("pi"))

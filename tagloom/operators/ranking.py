@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import local_table
+
 
 MAX_LOCAL_ROWS = 10_000
 
@@ -29,8 +31,8 @@ def bounded_local(df: DataFrame, limit: int = MAX_LOCAL_ROWS) -> DataFrame:
     A local relation has an exactly known size, so Catalyst broadcasts it by its own threshold; a
     larger table keeps its distributed plan and is joined by shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+    table = df.limit(limit + 1).toArrow()
+    return local_table(df.sparkSession, table) if table.num_rows <= limit else df
 
 
 def hash_cut_points(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.functions.tagging import final_decision, final_mistag, tag_decision
 from tagloom.operators.cuts import add_selected
 from tagloom.operators.events import best_track_per_event
@@ -222,7 +223,7 @@ def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (128 * (1 + F.col("l_partkey") % 4)).cast("int").alias("batch_size"),
     ).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("l_discount"), 9).alias("power"),
-        F.round(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))) / 10.0, 9).alias("sigma"),
-        F.round(F.avg("l_quantity") / 1000.0, 9).alias("sigma_cal"),
+        fixed(F.avg("l_discount"), 9).alias("power"),
+        fixed(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))) / 10.0, 9).alias("sigma"),
+        fixed(F.avg("l_quantity") / 1000.0, 9).alias("sigma_cal"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.functions import kinematics as kin
 from tagloom.functions import tagging as tag
 from tagloom.operators import cuts, events, features
@@ -18,7 +19,7 @@ T = ("B_Tr_T_PX", "B_Tr_T_PY", "B_Tr_T_PZ")
 
 def rounded(df: DataFrame, columns: dict, digits: int = 6) -> DataFrame:
     """Row keys plus the named expressions rounded for comparison."""
-    return df.select(*b.ROW_KEYS, *[F.round(c, digits).alias(n) for n, c in columns.items()])
+    return df.select(*b.ROW_KEYS, *[fixed(c, digits).alias(n) for n, c in columns.items()])
 
 
 def src(*names: str) -> str:
@@ -56,7 +57,7 @@ def min_abs_per_event(spark: SparkSession, sf: str) -> DataFrame:
 )
 def min_abs_nested(spark: SparkSession, sf: str) -> DataFrame:
     df = events.min_abs_nested(b.table(spark, sf, "embeddings"), "embedding", None, "min_abs")
-    return df.select("vec_id", "label", F.round(F.col("min_abs").cast("double"), 6).alias("min_abs"))
+    return df.select("vec_id", "label", fixed(F.col("min_abs").cast("double"), 6).alias("min_abs"))
 
 
 @query(
@@ -163,7 +164,7 @@ def poca_features(spark: SparkSession, sf: str) -> DataFrame:
         made["B_Tr_T_atanPT_PZ"].alias("atan_pt_pz"),
     )
     digits = {"diff_p": 5, "t": 6, "evip": 5, "log_evip": 5, "atan_pt_pz": 6}
-    return df.select(*b.ROW_KEYS, *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return df.select(*b.ROW_KEYS, *[fixed(c, n).alias(c) for c, n in digits.items()])
 
 
 @query(
@@ -178,9 +179,9 @@ def proj_and_ratio(spark: SparkSession, sf: str) -> DataFrame:
     made = features.projection_columns()
     return df.select(
         *b.ROW_KEYS,
-        F.round(made["P_proj"], 2).alias("p_proj"),
-        F.round(made["logP_proj"], 6).alias("log_p_proj"),
-        F.round(made["B_Tr_T_EoverP"], 8).alias("e_over_p"),
+        fixed(made["P_proj"], 2).alias("p_proj"),
+        fixed(made["logP_proj"], 6).alias("log_p_proj"),
+        fixed(made["B_Tr_T_EoverP"], 8).alias("e_over_p"),
     )
 
 
@@ -326,7 +327,7 @@ def tag_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("P21_eta_assign_and_flip", f"WITH {b.TAGGED_SQL} SELECT {K}, selected, d, round(eta, 8) AS eta FROM tagged")
 def eta_assign_and_flip(spark: SparkSession, sf: str) -> DataFrame:
-    return b.tagged_tracks(spark, sf).select(*b.ROW_KEYS, "selected", "d", F.round("eta", 8).alias("eta"))
+    return b.tagged_tracks(spark, sf).select(*b.ROW_KEYS, "selected", "d", fixed("eta", 8).alias("eta"))
 
 
 @query(
@@ -352,10 +353,10 @@ def decay_time(spark: SparkSession, sf: str) -> DataFrame:
     time = tag.decay_time(x, "c_ps")
     return df.select(
         "entry",
-        F.round(time, 6).alias("time_c_ps"),
-        F.round(tag.decay_time(x, "fs"), 6).alias("time_fs"),
-        F.round(tag.decay_time(x, "c_fs"), 6).alias("time_c_fs"),
-        F.round(tag.oscillation_phase_time(time, tag.frequency_of("Bs")), 6).alias("time_mod"),
+        fixed(time, 6).alias("time_c_ps"),
+        fixed(tag.decay_time(x, "fs"), 6).alias("time_fs"),
+        fixed(tag.decay_time(x, "c_fs"), 6).alias("time_c_fs"),
+        fixed(tag.oscillation_phase_time(time, tag.frequency_of("Bs")), 6).alias("time_mod"),
     )
 
 
@@ -465,7 +466,7 @@ BOOST = f"""j AS (SELECT *, (bp / (er + B_M) - ep) / B_M AS k FROM {COS}),
 def bdt_inputs(spark: SparkSession, sf: str) -> DataFrame:
     source = [f"{e} AS {n}" for n, e in {**b.KEYS, **_input_roles()}.items()]
     df = features.signal_inputs(b.table(spark, sf, "lineitem").selectExpr(*source), b.ROW_KEYS)
-    return df.select(*b.ROW_KEYS, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.SIGNAL_INPUTS])
+    return df.select(*b.ROW_KEYS, *[fixed(F.col(c).cast("double"), 5).alias(c) for c in features.SIGNAL_INPUTS])
 
 
 @query(
@@ -521,7 +522,7 @@ def good_run_filter(spark: SparkSession, sf: str) -> DataFrame:
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     df = b.tracks(spark, sf, "B_Tr_T_OWNPVIPCHI2", "B_Tr_T_OWNPVIP", "prob")
     passed = cuts.quality_passed(F.col("B_Tr_T_OWNPVIPCHI2") - 10.0, F.col("B_Tr_T_OWNPVIP"))
-    return df.select(*b.ROW_KEYS, cuts.gated_score(F.round("prob", 8), passed).alias("score"))
+    return df.select(*b.ROW_KEYS, cuts.gated_score(fixed("prob", 8), passed).alias("score"))
 
 
 @query(

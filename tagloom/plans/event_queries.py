@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.functions import tagging as tag
 from tagloom.operators import cuts, events, joins, ranking, sampling, stats
 from tagloom.plans import bindings as b
@@ -14,7 +15,7 @@ from tagloom.plans.registry import query
 
 @query("W1_best_track_per_event", f"WITH {b.BEST_SQL} SELECT {K}, selected, d, round(eta, 8) AS eta FROM best")
 def best_track_per_event(spark: SparkSession, sf: str) -> DataFrame:
-    return b.best_tracks(spark, sf).select(*b.ROW_KEYS, "selected", "d", F.round("eta", 8).alias("eta"))
+    return b.best_tracks(spark, sf).select(*b.ROW_KEYS, "selected", "d", fixed("eta", 8).alias("eta"))
 
 
 @query(
@@ -50,7 +51,7 @@ def best_candidate_per_tagger(spark: SparkSession, sf: str) -> DataFrame:
         for goal in ("nominal", "ratio")
     ]
     out = joins.concat_tables(both)
-    return out.select("tagger", *ties, "power", "sigma", F.round("ratio", 6).alias("ratio"), "goal")
+    return out.select("tagger", *ties, "power", "sigma", fixed("ratio", 6).alias("ratio"), "goal")
 
 
 @query(
@@ -123,7 +124,7 @@ def wide_taggers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def outer_join_taggers(spark: SparkSession, sf: str) -> DataFrame:
     wide = wide_taggers(spark, sf)
-    return wide.withColumns({f"{t}_eta": F.round(f"{t}_eta", 8) for t in "ANR"})
+    return wide.withColumns({f"{t}_eta": fixed(f"{t}_eta", 8) for t in "ANR"})
 
 
 @query(

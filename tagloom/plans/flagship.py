@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.operators.stats import tagging_performance
 from tagloom.plans import bindings as b
 from tagloom.plans.registry import query
@@ -17,7 +18,7 @@ FIGURES = (
 
 def rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     """Round the named double columns: sums of floats depend on the order of addition."""
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
+    return df.withColumns({n: fixed(F.col(n), digits) for n in names})
 
 
 def performance_sql(source: str, by: str = "", weight: str = "1e0", digits: int = 8) -> str:

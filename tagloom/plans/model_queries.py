@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.functions import tagging as tag
 from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, weights
 from tagloom.operators.sampling import hash_split
@@ -354,7 +355,7 @@ def _parameters_sql(digits: int) -> str:
 
 
 def fitted(df: DataFrame, link: str = "logit", weight: str | None = "w", iterations: int = NEWTON) -> calibration.Calibration:
-    return calibration.calibrate(df, "tagger", "d", "eta", "B_ID", weight, link, 2, iterations, tolerance=0.0, fallback=False)
+    return calibration.calibrate(df, "tagger", "d", "eta", "B_ID", weight, link, 2, iterations, tolerance=1e-9, fallback=False)
 
 
 @query("M16_glm_calibrate_logit", f"WITH {LONG_SQL}, {_newton_sql('w', 'logit')}, {_parameters_sql(5)}")
@@ -431,7 +432,7 @@ def oscillation_time_input(spark: SparkSession, sf: str) -> DataFrame:
     chi = {
         f"chi_{m}": tag.mixing_probability(time, tag.frequency_of(f"B{m}"), tag.WIDTH_DIFFERENCE[f"B{m}"]) for m in "ds"
     }
-    return df.select("entry", F.round(time, 6).alias("time"), *[F.round(c, 6).alias(n) for n, c in chi.items()])
+    return df.select("entry", fixed(time, 6).alias("time"), *[fixed(c, 6).alias(n) for n, c in chi.items()])
 
 
 @query("M20_mixing_calibration")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.functions import kinematics as kin
 from tagloom.plans import bindings as b
 from tagloom.plans.column_queries import K, src
@@ -47,7 +48,7 @@ def jagged_flatten(spark: SparkSession, sf: str) -> DataFrame:
         F.col("vec_id").alias("entry"), "label", F.col("embedding").alias("x"), F.reverse("embedding").alias("y")
     )
     flat = tables.flatten(df, ["x", "y"])
-    return flat.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("x", "y")})
+    return flat.withColumns({c: fixed(F.col(c).cast("double"), 6) for c in ("x", "y")})
 
 
 @query("S4_chunked_append", f"SELECT {K}, round(prob, 8) AS prob FROM {src('prob')}")
@@ -124,7 +125,7 @@ def incremental_features(spark: SparkSession, sf: str) -> DataFrame:
     def derive(df: DataFrame) -> DataFrame:
         tracks = df.selectExpr(*names)
         dphi = kin.phi_distance(F.col("B_PHI"), F.col("B_Tr_T_Phi"))
-        return tracks.select(*b.ROW_KEYS, F.round(dphi, 6).alias("dphi"))
+        return tracks.select(*b.ROW_KEYS, fixed(dphi, 6).alias("dphi"))
 
     incremental.run_available(incremental.incremental_features(_lineitem_stream(spark, sf), derive), output, checkpoint)
     return spark.read.parquet(output)

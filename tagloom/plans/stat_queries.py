@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.transforms import fixed
 from tagloom.operators import calibration, events, hist, joins, stats
 from tagloom.plans import bindings as b
 from tagloom.plans.column_queries import MERGED_CASE, ORIGIN, PLAIN_CASE, classified, src
@@ -531,4 +532,4 @@ def power_table(spark: SparkSession, sf: str) -> DataFrame:
         "power_error_percent": F.col("tagging_power_err"),
         "sum_power_percent": total,
     }
-    return made.select("tagger", *[F.round(100.0 * c, 4).alias(n) for n, c in percent.items()])
+    return made.select("tagger", *[fixed(100.0 * c, 4).alias(n) for n, c in percent.items()])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tagloom", cores: int | str = "*") -> SparkSession:
@@ -46,3 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tagloom-"))
+
+
+def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A small driver-side table as a local relation.
+
+    Arrow tables below the session's local-relation threshold need no job to read and carry their
+    exact size, so Catalyst can broadcast them from the start.
+    """
+    return spark.createDataFrame(table)
