@@ -96,23 +96,30 @@ def four_product(energy_a: Column, a: Vector, energy_b: Column, b: Vector) -> Co
     return energy_a * energy_b - dot(a, b)
 
 
-def cos_theta_star(
-    parent_mass: Column, parent: Vector, daughter_mass: Column, daughter: Vector
-) -> Column:
-    """Cosine of the daughter's polar angle in the parent's rest frame.
+def boost_factor(parent_mass: Column, parent: Vector, daughter_mass: Column, daughter: Vector) -> Column:
+    """Factor k of the boost into the parent's rest frame: p* = p + k P.
 
-    Standard Lorentz boost with velocity -p/E of the parent, written so that the boost factor never
-    divides by the velocity: p* = p + b * ((g / (g + 1)) * g * (b.p) - g * E), b = parent velocity.
+    With E, M, P of the parent and e, p of the daughter, k = ((p.P) / (E + M) - e) / M. It needs no
+    velocity, so a parent at rest is no special case. Used several times per row; materialise it as a
+    column first.
     """
-    parent_energy = energy(parent_mass, parent)
-    velocity = tuple(p / parent_energy for p in parent)
-    gamma = parent_energy / parent_mass
-    along = dot(velocity, daughter)
-    factor = gamma * gamma / (gamma + F.lit(1.0)) * along - gamma * energy(daughter_mass, daughter)
-    boosted = tuple(p + v * factor for p, v in zip(daughter, velocity))
+    along = dot(parent, daughter) / (energy(parent_mass, parent) + parent_mass)
+    return (along - energy(daughter_mass, daughter)) / parent_mass
+
+
+def boosted_cosine(parent: Vector, daughter: Vector, factor: Column) -> Column:
+    """Cosine of the polar angle of p + k P."""
+    boosted = tuple(p + q * factor for p, q in zip(daughter, parent))
     return F.try_divide(boosted[2], F.sqrt(norm2(boosted)))
 
 
+def cos_theta_star(
+    parent_mass: Column, parent: Vector, daughter_mass: Column, daughter: Vector
+) -> Column:
+    """Cosine of the daughter's polar angle in the parent's rest frame, as one expression."""
+    return boosted_cosine(parent, daughter, boost_factor(parent_mass, parent, daughter_mass, daughter))
+
+
 def transformed_direction(x: Column, margin: float = 1e-6) -> Column:
     """Stretch a direction cosine near +1 and -1 logarithmically; 0 outside [-1, 1]."""
     room = F.lit(1.0 + margin) - F.abs(x)

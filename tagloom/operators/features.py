@@ -122,7 +122,7 @@ SIGNAL_INPUTS = {
     "lab1_PT": ("copy", ("piplus_PT",)),
     "lab1_CosTheta": (
         "angle",
-        ("B_M", "B_PX", "B_PY", "B_PZ", "piplus_M", "piplus_PX", "piplus_PY", "piplus_PZ"),
+        ("B_PX", "B_PY", "B_PZ", "piplus_PX", "piplus_PY", "piplus_PZ"),
     ),
     "lab345_MIN_PT": ("least", ("hplus_PT", "hminus_PT", "piminus_PT")),
     "lab345_MIN_MINIPCHI2_Log": (
@@ -140,7 +140,7 @@ _SIGNAL_KINDS = {
     "direction": kin.transformed_direction,
     "log": kin.safe_log,
     "flight": kin.transverse_flight,
-    "angle": lambda m, x, y, z, dm, dx, dy, dz: kin.cos_theta_star(m, (x, y, z), dm, (dx, dy, dz)),
+    "angle": lambda x, y, z, dx, dy, dz: kin.boosted_cosine((x, y, z), (dx, dy, dz), F.col("_boost")),
     "least": F.least,
     "log_least": lambda *c: kin.safe_log(F.least(*c)),
     "greatest": F.greatest,
@@ -148,9 +148,14 @@ _SIGNAL_KINDS = {
 
 
 def signal_inputs(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Project the classifier inputs of the signal selection."""
+    """Project the classifier inputs of the signal selection.
+
+    The boost factor behind the angle gets its own projection, so it is evaluated once per row.
+    """
+    parent, bachelor = signal_vector(), tuple(F.col(f"piplus_P{axis}") for axis in "XYZ")
+    factor = kin.boost_factor(F.col("B_M"), parent, F.col("piplus_M"), bachelor)
     inputs = [
         _SIGNAL_KINDS[kind](*[F.col(c) for c in columns]).alias(name)
         for name, (kind, columns) in SIGNAL_INPUTS.items()
     ]
-    return df.select(*keep, *inputs)
+    return df.withColumn("_boost", factor).select(*keep, *inputs)
