@@ -10,16 +10,20 @@ def standardise(x: Column, mean: Column | float, scale: Column | float) -> Colum
     return (x - mean) / scale
 
 
-def yeo_johnson(x: Column, power: float) -> Column:
-    """Yeo-Johnson transform with a fixed power."""
-    up = F.log1p(x) if power == 0 else (F.pow(x + 1.0, F.lit(float(power))) - 1.0) / power
-    mirror = 2.0 - power
-    down = (
-        -F.log1p(-x)
-        if mirror == 0
-        else -(F.pow(1.0 - x, F.lit(float(mirror))) - 1.0) / mirror
-    )
-    return F.when(x >= 0, up).otherwise(down)
+def yeo_johnson(x: Column, power: float | Column) -> Column:
+    """Yeo-Johnson transform; the power is a constant or a column.
+
+    Both branches are sign(x) * (exp(q * L) - 1) / q with L = log(1 + |x|) and q = power for x >= 0,
+    2 - power below, and L itself where q = 0.
+    """
+    p = power if isinstance(power, Column) else F.lit(float(power))
+    return yeo_johnson_log(F.signum(x), F.log1p(F.abs(x)), p)
+
+
+def yeo_johnson_log(sign: Column, log1p_abs: Column, power: Column) -> Column:
+    """The transform from a sign and log(1 + |x|), for evaluating many powers of one value."""
+    q = F.when(sign >= 0, power).otherwise(2.0 - power)
+    return sign * F.when(q == 0, log1p_abs).otherwise(F.expm1(q * log1p_abs) / q)
 
 
 def elu(x: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.transforms import standardise, yeo_johnson
+from tagloom.functions.transforms import standardise, yeo_johnson, yeo_johnson_log
+from tagloom.session import spread
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -30,24 +31,32 @@ def log_likelihoods(df: DataFrame, features: Sequence[str], grids: Mapping[str,
     """Profile log-likelihood of every candidate power of every feature, in one pass over the rows.
 
     llf = -n/2 log(var(transformed)) + (power - 1) sum sign(x) log(1 + |x|); the variance comes from
-    the built-in merging moments, so wide value ranges stay stable.
+    the built-in merging moments, so wide value ranges stay stable. Every row is paired with the
+    candidates of its features inside the scan task and folded there, so one small generated
+    aggregate serves any grid and only (feature, power) sums are shuffled.
     """
-    aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(features):
-        x = F.col(f).cast("double")
-        aggregates.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j_{i}"))
-        aggregates += [F.var_pop(yeo_johnson(x, p)).alias(f"v_{i}_{k}") for k, p in enumerate(grids[f])]
-    row = df.agg(*aggregates)
-    out = {}
-    figures = [
-        (-0.5 * F.col("n") * F.log(F.col(f"v_{i}_{k}")) + (p - 1.0) * F.col(f"j_{i}")).alias(f"l_{i}_{k}")
-        for i, f in enumerate(features)
-        for k, p in enumerate(grids[f])
-    ]
-    values = row.select(*figures).first()
-    for i, f in enumerate(features):
-        out[f] = [float(values[f"l_{i}_{k}"]) for k in range(len(grids[f]))]
-    return out
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.signum(f).alias("sign"),
+                F.log1p(F.abs(F.col(f))).alias("size"),
+                F.array(*[F.lit(float(p)) for p in grids[f]]).alias("powers"),
+            )
+            for f in features
+        ]
+    )
+    single = df.select(F.explode(pairs).alias("_p")).select("_p.*").filter("size IS NOT NULL")
+    rows = single.select("feature", "sign", "size", F.explode("powers").alias("power"))
+    sign, size, power = F.col("sign"), F.col("size"), F.col("power")
+    found = rows.groupBy("feature", "power").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.var_pop(yeo_johnson_log(sign, size, power)).alias("variance"),
+        F.sum(sign * size).alias("jacobian"),
+    )
+    llf = -0.5 * F.col("n") * F.log("variance") + (power - 1.0) * F.col("jacobian")
+    values = {(r["feature"], r["power"]): float(r["llf"]) for r in found.select("feature", "power", llf.alias("llf")).collect()}
+    return {f: [values[(f, float(p))] for p in grids[f]] for f in features}
 
 
 def fit_powers(
@@ -59,12 +68,16 @@ def fit_powers(
     """
     spans = {f: (low, high) for f in features}
     best: dict[str, tuple[float, float]] = {}
-    for _ in range(rounds):
-        grids = {f: [round(a + (b - a) * k / (points - 1), 9) for k in range(points)] for f, (a, b) in spans.items()}
-        found = log_likelihoods(df, features, grids)
-        for f in features:
-            k = max(range(points), key=lambda j: found[f][j])
-            best[f] = (grids[f][k], found[f][k])
-            step = (spans[f][1] - spans[f][0]) / (points - 1)
-            spans[f] = (grids[f][k] - step, grids[f][k] + step)
+    slim = spread(df.select(*[F.col(f).cast("double").alias(f) for f in features])).persist()
+    try:
+        for _ in range(rounds):
+            grids = {f: [round(a + (b - a) * k / (points - 1), 9) for k in range(points)] for f, (a, b) in spans.items()}
+            found = log_likelihoods(slim, features, grids)
+            for f in features:
+                k = max(range(points), key=lambda j: found[f][j])
+                best[f] = (grids[f][k], found[f][k])
+                step = (spans[f][1] - spans[f][0]) / (points - 1)
+                spans[f] = (grids[f][k] - step, grids[f][k] + step)
+    finally:
+        slim.unpersist()
     return best

@@ -37,11 +37,11 @@ def split_by_event(
     train = F.floor(F.lit(train_fraction) * both.cast("double"))
     cuts = hash_cut_points(events, "_h", {"train": train, "val": both}).collect()  # two rows
     last = {row["cut"]: row["cut_hash"] for row in cuts}
-    here, chain = order_hash([event], seed), F
-    for name in ("train", "val"):
-        if name in last:
-            chain = chain.when(here <= last[name], name)
-    return df.withColumn(out, F.lit("test") if chain is F else chain.otherwise("test"))
+    here = order_hash([event], seed)
+    # both comparisons are always evaluated, so the hash is a shared subexpression
+    beyond = [(here > last.get(name, "")).cast("int") for name in ("train", "val")]
+    names = F.array(F.lit("train"), F.lit("val"), F.lit("test"))
+    return df.withColumn(out, F.element_at(names, beyond[0] + beyond[1] + 1))
 
 
 def hash_split(df: DataFrame, keys: Iterable[str], parts: dict[str, float], seed: int, out: str = "subset") -> DataFrame:
@@ -117,17 +117,20 @@ def balanced_sets(
 
     Level 0 balances (sign of flavour, label) in train, val and test; level 1 only in train and val;
     level 2 balances the label alone in train and val. Train and val keep selected rows only, test
-    keeps its unselected rows untouched. One pass over all subsets: the subset is a balancing scope.
+    keeps its unselected rows untouched. One pass over all subsets: the subset is a balancing scope, and
+    a subset that is not balanced has its own group sizes as targets.
     """
     balanced = ["train", "val", "test"] if level == 0 else ["train", "val"]
     work = df.withColumn("_sign", (F.col(flavour) > 0).cast("int"))
+    work = work.withColumn("_row_hash", order_hash(row_keys, seed))
     classes = [subset, label] if level == 2 else [subset, "_sign", label]
-    chosen = work.filter((F.col(selected) == 1) & F.col(subset).isin(balanced))
     expected = (2 if level == 2 else 4) if strict else None
-    kept = balance_classes(chosen, classes, row_keys, seed, expected, [subset])
-    test_rows = F.col(subset) == "test"
-    rest = work.filter(test_rows & (F.col(selected) == 0)) if level == 0 else work.filter(test_rows)
-    return kept.unionByName(rest).drop("_sign")
+    in_balance = F.col(subset).isin(balanced)
+    size = F.when(in_balance, F.col("smallest_group")).otherwise(F.col("group_size"))
+    chosen = work.filter(F.col(selected) == 1)
+    kept = take_by_hash(chosen, "_row_hash", size, classes, [subset], expected, in_balance)
+    rest = work.filter((F.col(selected) == 0) & (F.col(subset) == "test"))
+    return kept.unionByName(rest).select(*df.columns)
 
 
 def hold_out(df: DataFrame, file_column: str, reserved: str, enabled: bool = True) -> DataFrame:

@@ -65,3 +65,12 @@ def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
     exact size, so Catalyst can broadcast them from the start.
     """
     return spark.createDataFrame(table)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for repeated work on a narrow input that arrives in fewer partitions than cores.
+
+    Inputs of cluster size already have more partitions than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
