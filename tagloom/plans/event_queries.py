@@ -87,13 +87,13 @@ def shuffle(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "A14_group_first",
     f"""WITH g AS (SELECT {', '.join(f'{e} AS {n}' for n, e in b.KEYS.items())}, {', '.join(GAPS)} FROM lineitem)
-      SELECT {K}, a, b FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY subentry, track_part, track_supp) AS rn
+      SELECT {K}, a, b FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY subentry, track_part, track_supp, a, b) AS rn
         FROM g WHERE a IS NOT NULL AND NOT isnan(b)) WHERE rn = 1""",
 )
 def group_first(spark: SparkSession, sf: str) -> DataFrame:
     keys = [f"{e} AS {n}" for n, e in b.KEYS.items()]
     complete = cuts.drop_incomplete(b.table(spark, sf, "lineitem").selectExpr(*keys, *GAPS), ["a", "b"])
-    return events.first_per_group(complete, ["entry"], ["subentry", "track_part", "track_supp"])
+    return events.first_per_group(complete, ["entry"], ["subentry", "track_part", "track_supp", "a", "b"])
 
 
 # joins ------------------------------------------------------------------------------------------
