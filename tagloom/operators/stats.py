@@ -212,10 +212,24 @@ def binned_performance(
     Bin rows and the overall row come from the same scan: the additive sums are aggregated per bin
     once and rolled up from there.
     """
-    by = list(by)
-    w = F.col(weight) if weight else None
+    binned = df.withColumn("bin", F.coalesce(bucket_of(value, edges), F.lit(-2)))
+    return rolled_up_performance(binned, "bin", decision, mistag, flavour, weight, by, overall)
+
+
+def rolled_up_performance(
+    df: DataFrame,
+    bin_column: str,
+    decision: str,
+    mistag: str,
+    flavour: str,
+    weight: str | None = None,
+    by: Iterable[str] = (),
+    overall: bool = True,
+) -> DataFrame:
+    """Performance per value of a bin column; bin -2 (outside) counts only towards the whole."""
+    by, w = list(by), F.col(weight) if weight else None
     sums = perf.performance_sums(F.col(decision), F.col(mistag), F.col(flavour), w)
-    parts = df.withColumn("bin", F.coalesce(bucket_of(value, edges), F.lit(-2))).groupBy(*by, "bin").agg(*sums)
+    parts = df.groupBy(*by, F.col(bin_column).alias("bin")).agg(*sums)
     if overall:
         parts = parts.withColumn("bin", F.explode(F.array(F.col("bin"), F.lit(-1))))
         parts = parts.groupBy(*by, "bin").agg(*[F.sum(s).alias(s) for s in perf.SUMS])
