@@ -148,3 +148,19 @@ def test_stream_appends_only_new_files(spark, tmp_path):
         incremental.run_available(derived, out, state)
     got = sorted((r["id"], r["twice"]) for r in spark.read.parquet(out).collect())
     assert got == [(i, 2 * i) for i in range(10)]
+
+
+def test_scoring_functions_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    file = tmp_path / "f.bin"
+    file.write_bytes(cloudpickle.dumps(networks.forward))
+    code = (
+        "import pickle, numpy as np; f = pickle.load(open('f.bin', 'rb'));"
+        "print(f([(np.ones((1, 2)), np.zeros(1))], np.zeros((1, 2)))[0])"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+    assert out.stdout.strip() == "0.5", out.stderr
