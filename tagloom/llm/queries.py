@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import simhash
+from tagloom.llm import bpe, simhash
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
 
@@ -18,3 +18,27 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+def byte_vocabulary() -> str:
+    """Where the installed public byte-level vocabulary lies; the operators take any other path as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def encoding_digests(documents: DataFrame, vocabulary_path: str) -> DataFrame:
+    """Token count and digests of the tokens and of the text decoded from them, per document."""
+    coded = bpe.decode(bpe.encode(documents, vocabulary_path), vocabulary_path)
+    return coded.select(
+        F.col("key").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_bpe_round_trip")
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    return encoding_digests(table(spark, sf_dir, "documents"), byte_vocabulary())
