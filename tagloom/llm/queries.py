@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, simhash, toxicity
+from tagloom.llm import bpe, simhash, toxicity, urlfilter
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -57,3 +57,43 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+SITE_RULES = (
+    urlfilter.site_rule("allow", "org", "/"),
+    urlfilter.site_rule("block", "example.org", "/es/"),
+    urlfilter.site_rule("block", "example.org", "/en/1"),
+    urlfilter.site_rule("allow", "com", "/fr/"),
+    urlfilter.site_rule("block", "com", "/de/"),
+)
+PATTERN_RULES = tuple(urlfilter.pattern_rule("block", p) for p in ("^spam-farm^", "^cheap-pills^", "^casino^", "^xxx^", "/ads/*.js^"))
+
+URL_SQL = r"""
+WITH parts AS (SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*[^?#]*((?s:.*))', 1), '') AS rest
+  FROM pages),
+ruled AS (SELECT *, translate('//' || host || path || rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts),
+found AS (SELECT *, CASE WHEN rule IS NOT NULL OR (host = '' AND path = '') THEN NULL
+         WHEN regexp_matches(key, '[^a-z0-9]cheap-pills([^a-z0-9]|$)') THEN '^cheap-pills^'
+         WHEN regexp_matches(key, '[^a-z0-9]spam-farm([^a-z0-9]|$)') THEN '^spam-farm^'
+         WHEN regexp_matches(key, '(?s)/ads/.*\.js([^a-z0-9]|$)') THEN '/ads/*.js^'
+         WHEN regexp_matches(key, '[^a-z0-9]casino([^a-z0-9]|$)') THEN '^casino^'
+         WHEN regexp_matches(key, '[^a-z0-9]xxx([^a-z0-9]|$)') THEN '^xxx^' END AS pattern
+  FROM ruled)
+SELECT page_id, host, path, rule, pattern, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM found"""
+
+
+@query("op3_url_filters", URL_SQL)
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    found = urlfilter.judged(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
+    return found.select("page_id", "host", "path", "rule", "pattern", "verdict")
