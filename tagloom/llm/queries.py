@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, simhash, toxicity, urlfilter
+from tagloom.llm import bpe, htmltext, simhash, toxicity, urlfilter
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -97,3 +97,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     found = urlfilter.judged(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
     return found.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmltext.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
