@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, htmltext, simhash, toxicity, urlfilter
+from tagloom.llm import bpe, htmltext, quantiser, simhash, toxicity, urlfilter
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -104,3 +104,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = htmltext.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_embedding_near_dedup")
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.95 or more."""
+    found = quantiser.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+    same = F.coalesce(F.col("key") == F.col("component"), F.lit(False))
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), same.alias("kept"))
