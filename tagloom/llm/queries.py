@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, htmltext, quantiser, simhash, toxicity, urlfilter
+from tagloom.llm import bpe, decontaminate, htmltext, quantiser, simhash, toxicity, urlfilter
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -112,3 +112,29 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quantiser.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
     same = F.coalesce(F.col("key") == F.col("component"), F.lit(False))
     return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), same.alias("kept"))
+
+
+LEAKS_SQL = r"""
+WITH i AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM
+    (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ish AS (SELECT item_id, n, k, n - k + 1 AS m, array_to_string(w[p + 1 : p + k], ' ') AS s, count(*) AS c
+  FROM i, unnest(range(n - k + 1)) AS t(p) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dsh AS MATERIALIZED (SELECT r, doc_id, len(w) AS nd, k, p, array_to_string(w[p + 1 : p + k], ' ') AS s
+  FROM (SELECT * FROM d, (SELECT DISTINCT k FROM i)), unnest(range(greatest(len(w) - k + 1, 0))) AS t(p)),
+mt AS MATERIALIZED (SELECT r, doc_id, nd, item_id, n, m, dsh.k, c, p, s FROM dsh JOIN ish USING (s, k)),
+wn AS (SELECT DISTINCT r, doc_id, nd, item_id, n, m, k, greatest(0, least(st, greatest(nd - n, 0))) AS st
+  FROM mt, unnest(range(p - m + 1, p + 1)) AS t(st)),
+ov AS (SELECT wn.r, wn.doc_id, wn.item_id, wn.st, wn.m, least(wn.n, wn.nd) AS words, least(wn.n, wn.nd) - wn.k + 1 AS mw, mt.s, least(count(*), any_value(mt.c)) AS o
+  FROM wn JOIN mt ON wn.r = mt.r AND wn.item_id = mt.item_id AND mt.p BETWEEN wn.st AND wn.st + least(wn.n, wn.nd) - wn.k GROUP BY ALL),
+sm AS (SELECT r, doc_id, item_id, st, words, sum(o)::DOUBLE / (any_value(m) + any_value(mw) - sum(o))::DOUBLE AS similarity
+  FROM ov GROUP BY r, doc_id, item_id, st, words)
+SELECT doc_id, item_id, similarity, st::INT AS start, words::INT AS words FROM sm WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, st) = 1"""
+
+
+@query("op7_benchmark_decontamination", LEAKS_SQL)
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it leaks, with the most similar window."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item").alias("item_id"), "similarity", "start", "words")
