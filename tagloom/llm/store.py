@@ -49,3 +49,15 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 8_000_000) -> It
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+#: Rows of a few numbers that may be broadcast; some tens of MB in an executor.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(table: DataFrame) -> DataFrame:
+    """A written table of a few numeric columns, marked for broadcast if its counted rows are within the bound.
+
+    Beyond the bound it comes back as it is, and the same join runs by shuffle.
+    """
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST_ROWS else table
