@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, htmltext, linededup, quantiser, simhash, toxicity, urlfilter
+from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, quantiser, simhash, toxicity, urlfilter
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -159,3 +161,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that an equal or near line precedes, with the place of the earliest such line."""
     gone = linededup.duplicate_lines(table(spark, sf_dir, "documents"))
     return gone.select(F.col("doc").alias("doc_id"), "line", F.col("first_doc").alias("first_doc_id"), "first_line")
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the context-tree model and under word counts."""
+    found = ctw.scored(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("key", "doc_id").withColumn("bits_per_byte", F.col("score") / (F.col("n_bytes") + 1) * float(-1 / math.log10(2)))
