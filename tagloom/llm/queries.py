@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, quantiser, simhash, toxicity, urlfilter
+from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, quantiser, simhash, toxicity, urlfilter, warc
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -168,3 +168,31 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under the context-tree model and under word counts."""
     found = ctw.scored(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("key", "doc_id").withColumn("bits_per_byte", F.col("score") / (F.col("n_bytes") + 1) * float(-1 / math.log10(2)))
+
+
+def damaged_replica(archive: DataFrame) -> DataFrame:
+    """A replica with bit rot: by its hash one record in 64 has its first byte changed, is overwritten or is lost."""
+    fate = F.substring(F.sha2("record", 256), 9, 2)
+    record = F.when(fate == "00", F.concat(F.lit("X"), F.expr("substring(record, 2)"))).when(fate == "01", F.expr("repeat('#', octet_length(record))"))
+    return archive.withColumn("fate", fate).where("fate not in ('02', '03')").select("file", "offset", F.coalesce(record, "record").alias("record"))
+
+
+FIXITY_SQL = r"""
+WITH p AS (SELECT DISTINCT coalesce(CAST(page_id AS VARCHAR), '') AS k, coalesce(url, '') AS u, coalesce(html, '') AS p FROM pages),
+r AS (SELECT 'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || k || '>' || e || 'WARC-Target-URI: ' || u || e
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(p) || e || e || p || e || e AS record
+  FROM p, (SELECT chr(13) || chr(10) AS e)),
+h AS (SELECT record, sha256(record) AS h, greatest(1, ceil((SELECT count(*) FROM r) / 1000.0))::BIGINT AS files FROM r),
+f AS (SELECT record, h, 'crawl-' || lpad(CAST(CAST('0x' || h[1:8] AS BIGINT) % files AS VARCHAR), 8, '0') || '.warc' AS file FROM h),
+o AS (SELECT file, h AS expected, record, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY h
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", h[9:10] AS fate FROM f)
+SELECT file, "offset", length, CASE WHEN fate IN ('02', '03') THEN 'missing' ELSE 'changed' END AS kind, expected,
+  CASE fate WHEN '00' THEN sha256('X' || substr(record, 2)) WHEN '01' THEN sha256(repeat('#', length)) END AS found
+FROM o WHERE fate IN ('00', '01', '02', '03')"""
+
+
+@query("op2_warc_fixity_audit", FIXITY_SQL)
+def op2_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged record of a replica of the archive of all pages."""
+    archive = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.audit(archive, damaged_replica(archive))
