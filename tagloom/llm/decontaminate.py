@@ -54,6 +54,13 @@ def _bit(x: Column, j: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(1)).cast("int")
 
 
+def _blocks(fp: Column, count: int) -> Column:
+    """The fingerprint's bits in ``count`` blocks. A loop over the blocks, as one expression for each makes giant methods."""
+    edges = [round(i * BITS / count) for i in range(count + 1)]
+    cuts = F.array(*(F.struct(F.lit(lo).alias("shift"), F.lit((1 << hi - lo) - 1 if hi - lo < BITS else -1).cast("long").alias("mask")) for lo, hi in zip(edges, edges[1:])))
+    return F.transform(cuts, lambda c: F.call_function("shiftrightunsigned", fp, c["shift"]).bitwiseAND(c["mask"]))
+
+
 def common_weight(one: Column, other: Column) -> Column:
     """Sum over the distinct values of two arrays of the lesser number of occurrences."""
     counts = F.aggregate(
@@ -133,15 +140,12 @@ def leaks(
     windows = windows.where("size(shingles) > 0").withColumn("fp", fingerprint(F.col("shingles")))
     windows = written(windows, "windows")
 
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    masks = [((1 << hi) - 1 ^ (1 << lo) - 1) - (1 << 64 if hi == BITS else 0) for lo, hi in zip(edges, edges[1:])]
-    blocks = lambda fp: F.posexplode(F.array(*(fp.bitwiseAND(F.lit(m)) for m in masks)))
-    left = windows.select("key", "iid", "start", "fp", blocks(F.col("fp")).alias("block", "part")).alias("l")
-    right = items.select("iid", F.col("fp").alias("ifp"), blocks(F.col("fp")).alias("block", "part")).alias("r")
-    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(b)) for b, m in enumerate(masks)))
+    blocks = F.posexplode(_blocks(F.col("fp"), radius + 1)).alias("block", "part")
+    left = windows.select("key", "iid", "start", "fp", blocks).alias("l")
+    right = items.select("iid", F.col("fp").alias("ifp"), blocks).alias("r")
+    agree = F.zip_with(_blocks(F.col("fp"), radius + 1), _blocks(F.col("ifp"), radius + 1), lambda a, b: a == b)
     same = (F.col("l.iid") == F.col("r.iid")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.part") == F.col("r.part"))
-    once = (first == F.col("l.block")) & (F.bit_count(differ) <= radius)
+    once = (F.array_position(agree, True) == F.col("l.block") + 1) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     close = left.join(right, same & once).select(F.col("l.key").alias("key"), F.col("l.iid").alias("iid"), F.col("l.start").alias("start"))
 
     checked = close.join(windows, ["key", "iid", "start"]).join(items.select("iid", "m", "weights", "items"), "iid")
