@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.expressions import checked
+
 # On data the true-origin term is replaced by the in-signal-tree flag.
 SIMULATION_SIGNAL_TERM = "(B_Tr_T_Origin_Flag !=0)"
 DATA_SIGNAL_TERM = "(B_Tr_T_IsInTree != 1)"
@@ -68,18 +70,25 @@ def cut_predicate(text: str, data: bool = False) -> str:
     return re.sub(r"==", "=", joined)
 
 
+def _predicate(df: DataFrame, text: str, data: bool) -> Column:
+    """The cut text as a column, if it holds nothing but columns of ``df``, numbers, operators and known functions."""
+    predicate = cut_predicate(text, data)
+    checked(predicate, df.columns)
+    return F.expr(predicate)
+
+
 def add_selected(df: DataFrame, text: str, data: bool = False, out: str = "selected") -> DataFrame:
     """Add a 0/1 column for the cut text; no row is dropped. A missing value counts as not passed.
 
     Comparisons with NaN are true for ``>`` in Spark, so incomplete rows should be dropped before.
     """
-    passed = F.coalesce(F.expr(cut_predicate(text, data)), F.lit(False))
+    passed = F.coalesce(_predicate(df, text, data), F.lit(False))
     return df.withColumn(out, passed.cast("int"))
 
 
 def keep_passing(df: DataFrame, text: str, data: bool = False) -> DataFrame:
     """Filter by the cut text; the comparison terms reach the file scan."""
-    return df.filter(F.expr(cut_predicate(text, data)))
+    return df.filter(_predicate(df, text, data))
 
 
 def without_truth(columns: Iterable[str]) -> list[str]:
@@ -150,9 +159,11 @@ def mass_window(df: DataFrame, mass: str, low: float = 5200.0, high: float = 540
 
 
 def keep_block(df: DataFrame, fill: str, block: str) -> DataFrame:
-    """Rows of one data block; any other name keeps everything."""
-    if block not in DATA_BLOCKS:
+    """Rows of one data block, or of all data; an unknown name is an error."""
+    if block == "all":
         return df
+    if block not in DATA_BLOCKS:
+        raise ValueError(f"unknown data block {block!r}")
     low, high = DATA_BLOCKS[block]
     return df.filter((F.col(fill) > low) & (F.col(fill) < high))
 

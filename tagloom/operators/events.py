@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.ranking import join_null_safe
+
 
 def first_per_group(df: DataFrame, keys: Iterable[str], order: Iterable[Column | str]) -> DataFrame:
     """First row of every group in a total order.
@@ -38,7 +40,7 @@ def min_abs_per_event(df: DataFrame, value: str, keys: Iterable[str], out: str)
     """
     keys = list(keys)
     lowest = df.groupBy(*keys).agg(F.min(F.abs(F.col(value))).alias(out))
-    return df.join(lowest, keys)
+    return join_null_safe(df, lowest, keys)
 
 
 def min_abs_nested(df: DataFrame, tracks: str, value: Column | None, out: str) -> DataFrame:
@@ -51,7 +53,7 @@ def drop_multiple_candidates(df: DataFrame, keys: Iterable[str], candidate: str)
     """Keep the rows of the lowest candidate number within each (run, event)."""
     keys = list(keys)
     lowest = df.groupBy(*keys).agg(F.min(candidate).alias("_keep"))
-    return df.join(lowest, keys).filter(F.col(candidate) == F.col("_keep")).drop("_keep")
+    return join_null_safe(df, lowest, keys).filter(F.col(candidate).eqNullSafe(F.col("_keep"))).drop("_keep")
 
 
 def event_key(file_key: Column, run: Column, event: Column) -> Column:

@@ -22,9 +22,9 @@ def outer_join_taggers(
     side, because a coalesced key loses its partitioning) the tables are stacked and folded by key in
     one aggregation, which shuffles every table once and combines map-side.
 
-    Without ``order`` every table must hold one row per event (as left by the best-track reduction)
-    and the fold is a plain hash aggregation. With ``order`` a tagger that lists an event more than
-    once contributes its first row in that order.
+    Without ``order`` every table must hold one row per event (as left by the best-track reduction),
+    which the fold, a plain hash aggregation, checks. With ``order`` a tagger that lists an event more than
+    once contributes its first row in that order. A row without an event key has no partner and stays by itself.
     """
     shared, order = list(shared), list(order)
     stacked = None
@@ -38,9 +38,10 @@ def outer_join_taggers(
         stacked = row if stacked is None else stacked.unionByName(row)
     if not order:
         return widen_taggers(stacked, key, "_tagger", list(taggers), shared, columns)
+    stacked, alone = _apart(stacked, key)
     row = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *columns])])
     firsts = [F.min(F.when(F.col("_tagger") == name, row)).alias(f"_{name}") for name in taggers]
-    folded = stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in shared], *firsts)
+    folded = stacked.groupBy(key, alone).agg(*[F.max(c).alias(c) for c in shared], *firsts)
     return folded.select(
         key,
         *shared,
@@ -56,11 +57,28 @@ def widen_taggers(
     shared: Iterable[str] = (),
     columns: Sequence[str] = ("d", "eta"),
 ) -> DataFrame:
-    """Long (event, tagger) rows, unique per pair, to one row per event with a column set per tagger."""
-    return long.groupBy(key).agg(
+    """Long (event, tagger) rows, unique per pair, to one row per event with a column set per tagger.
+
+    A pair that occurs twice is an error: its columns would be taken from different rows. A row without an event
+    key stays by itself.
+    """
+    long, alone = _apart(long, key)
+    counts = [F.count_if(F.col(tagger) == name).alias(f"_n_{i}") for i, name in enumerate(names)]
+    wide = long.groupBy(key, alone).agg(
         *[F.max(c).alias(c) for c in shared],
         *[F.max(F.when(F.col(tagger) == name, F.col(c))).alias(f"{name}_{c}") for name in names for c in columns],
+        *counts,
     )
+    most = F.greatest(*[F.col(f"_n_{i}") for i in range(len(names))], F.lit(0))
+    failure = F.raise_error(F.lit("widen_taggers: several rows of one event and tagger")).cast("boolean")
+    checked = wide.filter(F.when(most <= 1, F.lit(True)).otherwise(failure))
+    return checked.select(key, *shared, *[f"{name}_{c}" for name in names for c in columns])
+
+
+def _apart(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """A grouping column that keeps rows without a key apart from each other."""
+    number = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_alone", number), "_alone"
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -69,10 +87,16 @@ def keep_listed(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFram
 
 
 def attach_by_key(df: DataFrame, extra: DataFrame, on: str | list[str], check: bool = True) -> DataFrame:
-    """Attach columns (e.g. weights) by key; a row without a partner is an error when checked."""
+    """Attach columns (e.g. weights) by key; rows are neither lost nor multiplied.
+
+    A key that ``extra`` lists twice is an error; so is, when checked, a row without a partner.
+    """
     on = [on] if isinstance(on, str) else list(on)
     added = [c for c in extra.columns if c not in on]
-    joined = df.join(extra.withColumn("_hit", F.lit(True)), on, "left")
+    twice = F.raise_error(F.lit("attach_by_key: key listed twice")).cast("boolean")
+    single = extra.groupBy(*on).agg(*[F.first(c).alias(c) for c in added], F.count(F.lit(1)).alias("_n"))
+    single = single.withColumn("_hit", F.when(F.col("_n") == 1, F.lit(True)).otherwise(twice)).drop("_n")
+    joined = df.join(single, on, "left")
     if check:
         failure = F.raise_error(F.lit("attach_by_key: row without partner")).cast("boolean")
         joined = joined.filter(F.when(F.col("_hit"), F.lit(True)).otherwise(failure))

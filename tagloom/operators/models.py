@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.cuts import SIMULATION_SIGNAL_TERM, cut_predicate, gated_score
-from tagloom.operators.ranking import bounded_local
+from tagloom.operators.ranking import bounded_local, join_null_safe
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataF
     sizes = bounded_local(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
     rows, classes = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
     weights = sizes.select(label, (F.lit(rows / classes) / F.col("_n")).alias(out))
-    return df.join(weights, label)
+    return join_null_safe(df, weights, [label])
 
 
 def train_tree(

@@ -11,6 +11,9 @@ from tagloom.functions.transforms import standardise, yeo_johnson, yeo_johnson_l
 from tagloom.session import spread
 
 
+MOST_ROUNDS = 60
+
+
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(mean, population standard deviation) per feature; a constant feature gets scale 1."""
     stats = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)]
@@ -60,24 +63,38 @@ def log_likelihoods(df: DataFrame, features: Sequence[str], grids: Mapping[str,
 
 
 def fit_powers(
-    df: DataFrame, features: Sequence[str], low: float = -2.0, high: float = 4.0, points: int = 13, rounds: int = 3
+    df: DataFrame, features: Sequence[str], low: float = -2.0, high: float = 4.0, points: int = 13, tolerance: float = 1e-6
 ) -> dict[str, tuple[float, float]]:
     """(power, log-likelihood) per feature by repeated grid refinement around the best point.
 
-    All features share one pass per round, so the number of scans does not grow with their number.
+    A feature is done when its grid step is below ``tolerance``. A best point on the edge of the grid moves
+    the range outwards first. All features share one pass per round, so the number of scans does not grow with their
+    number; a feature that is done takes part no more. A feature without spread has no optimum and gets the power 1.
     """
     spans = {f: (low, high) for f in features}
     best: dict[str, tuple[float, float]] = {}
     slim = spread(df.select(*[F.col(f).cast("double").alias(f) for f in features])).persist()
     try:
-        for _ in range(rounds):
-            grids = {f: [round(a + (b - a) * k / (points - 1), 9) for k in range(points)] for f, (a, b) in spans.items()}
-            found = log_likelihoods(slim, features, grids)
-            for f in features:
+        for f, same in slim.agg(*[F.coalesce(F.min(f) == F.max(f), F.lit(True)).alias(f) for f in features]).first().asDict().items():
+            if same:
+                best[f] = (1.0, float("nan"))
+                del spans[f]
+        for _ in range(MOST_ROUNDS):
+            if not spans:
+                return best
+            grids = {f: [round(a + (b - a) * k / (points - 1), 12) for k in range(points)] for f, (a, b) in spans.items()}
+            found = log_likelihoods(slim, list(spans), grids)
+            for f, (a, b) in list(spans.items()):
                 k = max(range(points), key=lambda j: found[f][j])
                 best[f] = (grids[f][k], found[f][k])
-                step = (spans[f][1] - spans[f][0]) / (points - 1)
-                spans[f] = (grids[f][k] - step, grids[f][k] + step)
+                step = (b - a) / (points - 1)
+                if k in (0, points - 1):  # the optimum may lie outside
+                    spans[f] = (grids[f][k] - (b - a) / 2, grids[f][k] + (b - a) / 2)
+                elif step < tolerance:
+                    del spans[f]
+                else:
+                    spans[f] = (grids[f][k] - step, grids[f][k] + step)
+        raise ArithmeticError(f"no optimal power found for {sorted(spans)}")
     finally:
         slim.unpersist()
     return best

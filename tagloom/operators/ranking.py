@@ -35,6 +35,14 @@ def bounded_local(df: DataFrame, limit: int = MAX_LOCAL_ROWS) -> DataFrame:
     return local_table(df.sparkSession, table) if table.num_rows <= limit else df
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Inner join in which a missing key equals a missing key, so that no row of ``df`` is lost."""
+    keys = list(keys)
+    renamed = other.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, same).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def hash_cut_points(
     df: DataFrame,
     hash_col: str,
@@ -106,7 +114,7 @@ def take_by_hash(
         if (fewest or 0) < expected:
             raise ValueError(f"cannot balance: {fewest or 0} of {expected} classes present")
     if by:
-        joined = df.join(cuts, by)
+        joined = join_null_safe(df, cuts, by)
         return joined.filter(F.col(hash_col) <= F.col("cut_hash")).select(*df.columns)
     last = cuts.select("cut_hash").first()
     return df.filter(F.col(hash_col) <= last["cut_hash"]) if last else df.limit(0)
@@ -131,14 +139,14 @@ def running_sums(
 ) -> DataFrame:
     """Exclusive running sums ``<name>_before`` in order of ``value``, and totals ``<name>_total``.
 
-    ``df`` holds one row per (by, value). ``edges`` cut the value range into buckets; bucket totals
+    ``df`` holds one row per (by, value); NaN and missing values come last, in a bucket of their own. ``edges`` cut the value range into buckets; bucket totals
     become offsets (at most ``len(edges) + 1`` rows per class) and only rows of one bucket are
     ordered together.
     """
     by, sums = list(by), list(sums)
     cuts = [e for e in edges if e not in (float("-inf"), float("inf"))]
     bounds = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=bounds, inputCol=value, outputCol="_bucket").transform(df)
+    bucketed = Bucketizer(splits=bounds, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(df)
     earlier = (Window.unboundedPreceding, -1)
     over_buckets = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*earlier)
     offsets = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -153,7 +161,7 @@ def running_sums(
     local = bucketed.select(
         "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_l_{s}") for s in sums]
     )
-    joined = local.join(offsets, [*by, "_bucket"])
+    joined = join_null_safe(local, offsets, [*by, "_bucket"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.col(f"_l_{s}")).alias(f"{s}_before") for s in sums],
@@ -213,13 +221,13 @@ def dense_ids(df: DataFrame, major: str, minor: str, out: str, width: int = 1_00
     local = F.row_number().over(Window.partitionBy(major, "_b").orderBy(minor)) - 1
     numbered = (
         keys.withColumn("_l", local)
-        .join(off_b, [major, "_b"])
-        .join(off_major, ["_a", major])
-        .join(off_a, "_a")
+        .transform(join_null_safe, off_b, [major, "_b"])
+        .transform(join_null_safe, off_major, ["_a", major])
+        .transform(join_null_safe, off_a, ["_a"])
         .select(
             major,
             minor,
             (F.col("_oa") + F.col("_om") + F.col("_ob") + F.col("_l")).cast("long").alias(out),
         )
     )
-    return df.join(numbered, [major, minor])
+    return join_null_safe(df, numbered, [major, minor])

@@ -47,14 +47,18 @@ def split_by_event(
 def hash_split(df: DataFrame, keys: Iterable[str], parts: dict[str, float], seed: int, out: str = "subset") -> DataFrame:
     """Random split by hash: fractions hold in expectation, no counting pass needed.
 
-    A fraction becomes a fixed-width hexadecimal bound on the leading hash digits.
+    Fractions are not negative and add up to one. A row belongs to the first part whose upper bound its
+    hash, read as a number in [0, 1), is below; the last part that is not empty takes the rest.
     """
-    position = F.substring(order_hash(keys, seed), 1, 8)
+    if any(f < 0 for f in parts.values()) or abs(sum(parts.values()) - 1.0) > 1e-9:
+        raise ValueError("fractions must not be negative and must add up to one")
+    position = F.conv(F.substring(order_hash(keys, seed), 1, 8), 16, 10).cast("long")
+    used = [name for name, fraction in parts.items() if fraction > 0]
     chain, upper = F, 0.0
-    for name, fraction in list(parts.items())[:-1]:
-        upper += fraction
-        chain = chain.when(position < format(int(upper * 16**8), "08x"), name)
-    return df.withColumn(out, chain.otherwise(list(parts)[-1]))
+    for name in used[:-1]:
+        upper += parts[name]
+        chain = chain.when(position < int(upper * 16**8), name)
+    return df.withColumn(out, chain.otherwise(used[-1]) if len(used) > 1 else F.lit(used[0]))
 
 
 def balance_classes(

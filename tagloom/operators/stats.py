@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import performance as perf
 from tagloom.functions.transforms import error_digits, finite, round_to
-from tagloom.operators.ranking import running_sums, value_edges
+from tagloom.operators.ranking import join_null_safe, running_sums, value_edges
 
 
 def value_counts(df: DataFrame, by: Iterable[str], within: Iterable[str] = ()) -> DataFrame:
@@ -21,9 +21,9 @@ def value_counts(df: DataFrame, by: Iterable[str], within: Iterable[str] = ()) -
     by, within = list(by), list(within)
     counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     if within:
-        counted = counted.join(counted.groupBy(*within).agg(F.sum("n").alias("_total")), within)
+        counted = join_null_safe(counted, counted.groupBy(*within).agg(F.sum("n").alias("_total")), within)
     else:
-        counted = counted.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
+        counted = counted.withColumn("_total", counted.agg(F.sum("n")).scalar())
     return counted.select(*by, "n", (100.0 * F.col("n") / F.col("_total")).alias("percent"))
 
 
@@ -138,7 +138,11 @@ def mask_counts(df: DataFrame, masks: Mapping[str, Column]) -> DataFrame:
 
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row per distinct score: class counts at and strictly below it (exact, range-bucketed)."""
+    """One row per distinct score: class counts at and strictly below it (exact, range-bucketed).
+
+    A row whose score is missing or not a number has no rank and is left out.
+    """
+    df = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     edges = value_edges(df, score)
     counted = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
@@ -148,13 +152,17 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """False and true positive rates when everything at or above a score is called positive."""
+    """False and true positive rates when everything at or above a score is called positive.
+
+    The curve begins at (0, 0), where nothing is: that row has no score.
+    """
     points = roc_points(df, score, label)
     rates = {
         out: F.try_divide((F.col(f"{c}_total") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_total"))
         for out, c in (("fpr", "neg"), ("tpr", "pos"))
     }
-    return points.select("score", *[rate.alias(name) for name, rate in rates.items()])
+    start = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "score double, fpr double, tpr double")
+    return points.select("score", *[rate.alias(name) for name, rate in rates.items()]).union(start)
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import kinematics as kin
 from tagloom.functions import tagging as tag
 from tagloom.functions.transforms import fixed
-from tagloom.operators import cuts, events, features
+from tagloom.operators import cuts, events, expressions, features
 from tagloom.plans import bindings as b
 from tagloom.plans.registry import query
 
@@ -532,3 +532,24 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
 def float_downcast(spark: SparkSession, sf: str) -> DataFrame:
     df = b.tracks(spark, sf, "prob")
     return df.select(*b.ROW_KEYS, F.col("prob").cast("float").cast("double").alias("prob32"))
+
+
+FORMULAS = {
+    "ratio": "abs(B_Tr_T_PIDK) / (1 + B_Tr_T_PT)",
+    "bounded": "min(max(prob, 0.1), 0.9)",
+    "angle": "arctan2(sin(prob), cos(prob)) - sqrt(prob) * 2.5e-1",
+    "passes": "(prob > 0.25) & !(B_Tr_T_PIDK == 0) | prob >= 0.9",
+}
+
+
+@query(
+    "X1_formula_dictionary",
+    f"""SELECT {K}, round(abs(B_Tr_T_PIDK) / (1 + B_Tr_T_PT), 8) AS ratio, round(least(greatest(prob, 1e-1), 9e-1), 8) AS bounded,
+      round(atan2(sin(prob), cos(prob)) - sqrt(prob) * 2.5e-1, 8) + 0e0 AS angle, (prob > 2.5e-1 AND NOT (B_Tr_T_PIDK = 0)) OR prob >= 9e-1 AS passes
+      FROM {src("B_Tr_T_PIDK", "B_Tr_T_PT", "prob")}""",
+)
+def formula_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns from user-written formulas."""
+    df = expressions.derive(b.tracks(spark, sf, "B_Tr_T_PIDK", "B_Tr_T_PT", "prob"), FORMULAS)
+    kept = df.select(*b.ROW_KEYS, *FORMULAS)
+    return kept.withColumns({n: fixed(F.col(n), 8) for n in ("ratio", "bounded", "angle")})

@@ -50,12 +50,13 @@ def yeo_johnson_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _power_fit_sql() -> str:
-    grid = "(SELECT f, round(lo + (hi - lo) * unnest(range(13)) / 12e0, 9) AS lam FROM {span})"
+    grid = "(SELECT f, round(lo + (hi - lo) * unnest(range(13)) / 12e0, 12) AS lam FROM {span})"
     ctes = [
         "x AS (SELECT 'pidk' AS f, (l_quantity - 2.55e1) / 1e1 AS v FROM lineitem UNION ALL SELECT 'prob', l_extendedprice / 1.05e5 FROM lineitem)",
         "s0 AS (SELECT DISTINCT f, -2e0 AS lo, 4e0 AS hi FROM x)",
     ]
-    for i in range(3):
+    rounds = 9  # steps shrink by 6 from 0.5 to 3e-7
+    for i in range(rounds):
         ctes.append(
             f"l{i} AS (SELECT g.f, g.lam, -5e-1 * count(*) * ln(var_pop({_yj('v', 'lam')})) + (lam - 1) * sum(sign(v) * ln(1 + abs(v))) AS llf "
             f"FROM x JOIN {grid.format(span=f's{i}')} g ON x.f = g.f GROUP BY g.f, g.lam)"
@@ -63,14 +64,14 @@ def _power_fit_sql() -> str:
         ctes.append(f"b{i} AS (SELECT f, arg_max(lam, llf) AS lam, max(llf) AS llf FROM l{i} GROUP BY f)")
         step = f"(s{i}.hi - s{i}.lo) / 12e0"
         ctes.append(f"s{i + 1} AS (SELECT f, lam - {step} AS lo, lam + {step} AS hi FROM b{i} JOIN s{i} USING (f))")
-    return "WITH " + ", ".join(ctes) + " SELECT f AS feature, round(lam, 6) + 0e0 AS power, round(llf, 2) AS llf FROM b2"
+    return "WITH " + ", ".join(ctes) + " SELECT f AS feature, round(lam, 4) + 0e0 AS power, round(llf, 2) AS llf FROM b8"
 
 
 @query("M7_yeo_johnson_fit", _power_fit_sql())
 def yeo_johnson_fit(spark: SparkSession, sf: str) -> DataFrame:
     df = b.table(spark, sf, "lineitem").selectExpr("(l_quantity - 2.55e1) / 1e1 AS pidk", "l_extendedprice / 1.05e5 AS prob")
     found = preprocessing.fit_powers(df, ["pidk", "prob"])
-    rows = [(f, round(p, 6), round(llf, 2)) for f, (p, llf) in found.items()]
+    rows = [(f, round(p, 4), round(llf, 2)) for f, (p, llf) in found.items()]
     return spark.createDataFrame(rows, "feature string, power double, llf double")
 
 

@@ -263,7 +263,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     "A15_roc_curve",
     f"""WITH {b.TAGGED_SQL}, {SPLIT_SQL}, v AS (SELECT prob, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS m FROM lab GROUP BY prob),
       r AS (SELECT prob, sum(p) OVER w AS tp, sum(m) OVER w AS fp, sum(p) OVER () AS np, sum(m) OVER () AS nm FROM v WINDOW w AS (ORDER BY prob DESC ROWS UNBOUNDED PRECEDING))
-      SELECT round(prob, 9) AS score, round(CAST(fp AS DOUBLE) / nm, 8) AS fpr, round(CAST(tp AS DOUBLE) / np, 8) AS tpr FROM r""",
+      SELECT round(prob, 9) AS score, round(CAST(fp AS DOUBLE) / nm, 8) AS fpr, round(CAST(tp AS DOUBLE) / np, 8) AS tpr FROM r
+      UNION ALL SELECT CAST(NULL AS DOUBLE), 0e0, 0e0""",
 )
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     made = stats.roc_curve(scored(spark, sf), "prob", "label")

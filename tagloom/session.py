@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,24 +39,31 @@ def local_session(app: str = "tagloom", cores: int | str = "*") -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new, empty location below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) falls back to a temporary folder, which
-    is then remembered for the session so that ``checkpoint()`` uses it too.
+    Without that setting the warehouse serves if it lies in a store that all machines reach. Only a
+    local session (tests, a laptop) falls back to a temporary folder, remembered for the session; on a
+    cluster every machine would write to a disk of its own, so there it is an error.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = shared_root(
+        context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir(),
+        spark.conf.get("spark.sql.warehouse.dir"),
+        context.master,
+    )
     if base is None:
-        base = tempfile.mkdtemp(prefix="tagloom-")
-        context.setCheckpointDir(base)
-        base = context.getCheckpointDir() or base
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding the cluster's own folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tagloom-"))
+def shared_root(checkpoints: str | None, warehouse: str | None, master: str) -> str | None:
+    """The folder for written intermediates; None: a local session may use its own disk."""
+    if checkpoints:
+        return checkpoints
+    if warehouse and urlparse(warehouse).scheme not in ("", "file"):
+        return f"{warehouse.rstrip('/')}/_tagloom"
+    if master == "local" or master.startswith("local["):
+        return None
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:

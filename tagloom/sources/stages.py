@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STAGE_KEYS = ("decay", "tagger", "cut", "features", "asym")
-
 
 def write_stage(df: DataFrame, root: str, labels: Mapping[str, str]) -> None:
     """Write a stage below directories named by its labels (decay=.../tagger=.../...).
@@ -34,36 +31,34 @@ def read_stage(spark: SparkSession, root: str, **labels: str) -> DataFrame:
     return df
 
 
-def append_in_chunks(df: DataFrame, key: str, chunks: int, path: str) -> None:
+def append_in_chunks(df: DataFrame, key: str, chunks: int, path: str, batch: str) -> None:
     """Process a table in ``chunks`` equal key ranges, appending each to one output table.
 
-    All chunks run in one parallel job; a chunk is a directory, so repeating an interrupted run
-    replaces chunks instead of duplicating rows.
+    ``batch`` names what is appended (an input file, a run): it is the outer directory, so another batch adds
+    rows and a repeated one replaces its own. All chunks run in one parallel job; rows are ranged by key,
+    so a chunk is written by few tasks. A row without a key is in the chunk -1.
     """
     ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if ends["lo"] is None:
-        df.limit(0).withColumn("chunk", F.lit(0)).write.mode("append").parquet(path)
-        return
-    step = max(-(-(ends["hi"] - ends["lo"] + 1) // chunks), 1)
-    chunk = F.floor((F.col(key) - F.lit(ends["lo"])) / F.lit(step)).cast("int")
-    (
-        df.withColumn("chunk", chunk)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("chunk")
-        .parquet(path)
-    )
+    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
+    step = max(-(-(hi - lo + 1) // chunks), 1)
+    chunk = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(step)).cast("int"), F.lit(-1))
+    target = f"{path.rstrip('/')}/batch={batch}"
+    ranged = df.withColumn("chunk", chunk).repartitionByRange("chunk", key)
+    ranged.write.mode("overwrite").partitionBy("chunk").parquet(target)
+
+
+def _complete(spark: SparkSession, root: str) -> bool:
+    """Whether a finished job has written ``root``: a job that broke off leaves no marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def cached_sets(
     spark: SparkSession, root: str, build: Callable[[], DataFrame], subset: str = "subset", overwrite: bool = False
 ) -> DataFrame:
     """Train, validation and test sets on disk (zstd); built only if absent or on request."""
-    if not overwrite:
-        try:
-            return spark.read.parquet(root)
-        except AnalysisException:
-            pass
+    if not overwrite and _complete(spark, root):
+        return spark.read.parquet(root)
     build().write.mode("overwrite").option("compression", "zstd").partitionBy(subset).parquet(root)
     return spark.read.parquet(root)
 
@@ -75,9 +70,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV set with an explicit schema (no inference pass)."""
     return spark.read.schema(schema).option("header", "true").csv(path)
-
-
-def columns_for(df: DataFrame, wanted: Iterable[str]) -> list[str]:
-    """Wanted columns that exist, in the wanted order (optional columns of older files)."""
-    have = set(df.columns)
-    return [c for c in wanted if c in have]

@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from tagloom.functions import performance as perf
 
 
-def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """New Parquet files below ``path``; ``glob`` restricts the file names."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """New Parquet files below ``path``; ``glob`` restricts the file names.
+
+    ``files_per_batch`` limits the rate of a live stream. A replay of history must not set it: between batches
+    the watermark moves, and rows of later files that are older than it would be late.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
@@ -59,6 +65,23 @@ def windowed_performance(
     w = F.col(weight) if weight else None
     sums = perf.performance_sums(F.col(decision), F.col(mistag), F.col(flavour), w)
     grouped = stream.withWatermark(time, delay).groupBy(F.window(time, width)).agg(*sums)
+    return _window_figures(grouped)
+
+
+def open_windows(
+    history: DataFrame, closed: DataFrame, time: str, width: str, decision: str, mistag: str, flavour: str, weight: str | None = None
+) -> DataFrame:
+    """Figures of the windows that a finished replay has not emitted, from the replayed rows as a batch.
+
+    ``closed`` is what ``windowed_performance`` wrote; both together cover every window of ``history`` once.
+    """
+    w = F.col(weight) if weight else None
+    sums = perf.performance_sums(F.col(decision), F.col(mistag), F.col(flavour), w)
+    grouped = _window_figures(history.groupBy(F.window(time, width)).agg(*sums))
+    return grouped.join(closed.select("window_start"), "window_start", "left_anti").select(*grouped.columns)
+
+
+def _window_figures(grouped: DataFrame) -> DataFrame:
     figures = [c.alias(n) for n, c in perf.performance_columns().items()]
     return grouped.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", "n_tagged", *figures
