@@ -54,12 +54,16 @@ class Calibration:
         return np.mean(found, axis=0)
 
     def parameter_table(self, spark: SparkSession) -> DataFrame:
-        """Rows (tagger, style, name, value, error): flavour and delta parameters."""
+        """Rows (tagger, style, name, value, error, converged): flavour and delta parameters.
+
+        A group that ran out of steps, or whose weights do not add up to more than zero, is not converged; the
+        latter has no values.
+        """
         rows = []
         for (tagger, sign), fit in sorted(self.fits.items()):
             errors = np.sqrt(np.maximum(np.diag(fit.covariance), 0.0))
             for k, (value, error) in enumerate(zip(fit.values, errors)):
-                rows.append((tagger, "flavour", f"p{k}{'+' if sign > 0 else '-'}", float(value), float(error)))
+                rows.append((tagger, "flavour", f"p{k}{'+' if sign > 0 else '-'}", float(value), float(error), fit.converged))
         for tagger in sorted(self.links):
             if all((tagger, s) in self.fits for s in FLAVOURS):
                 values, covariance = self.delta_style(tagger)
@@ -67,8 +71,8 @@ class Calibration:
                 half = len(values) // 2
                 for k, (value, error) in enumerate(zip(values, errors)):
                     name = f"p{k}" if k < half else f"Dp{k - half}"
-                    rows.append((tagger, "delta", name, float(value), float(error)))
-        return spark.createDataFrame(rows, "tagger string, style string, name string, value double, error double")
+                    rows.append((tagger, "delta", name, float(value), float(error), all(self.fits[(tagger, s)].converged for s in FLAVOURS)))
+        return spark.createDataFrame(rows, "tagger string, style string, name string, value double, error double, converged boolean")
 
 
 def delta_parameters(plus, minus, cov_plus, cov_minus) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +163,8 @@ def calibrate(
         rows.unpersist()
 
 
-def _link_value(name: str, x: float) -> float:
-    x = min(max(x, 0.01), 0.99)
+def _link_value(name: str, x: float, margin: float = MARGIN) -> float:
+    x = min(max(x, margin), 1.0 - margin)
     return float(np.log(x / (1.0 - x))) if name == "logit" else float(x)
 
 
@@ -181,14 +185,19 @@ def _newton(
     active = set()
     for name in names:
         groups = {sign: means[(name, sign)] for sign in FLAVOURS if (name, sign) in means}
+        if any(g["w"] <= 0.0 for g in groups.values()):
+            fit.centres[name] = float("nan")
+            nothing = np.full(npar[name], np.nan)
+            fit.fits.update({(name, sign): GroupFit(nothing, np.full((npar[name],) * 2, np.nan)) for sign in groups})
+            continue
         mean_eta = sum(g["eta"] for g in groups.values()) / sum(g["w"] for g in groups.values())
         fit.centres[name] = _link_value(fit.links[name], mean_eta)
         for sign, group in groups.items():
             start = np.zeros(npar[name])
-            start[0] = _link_value(fit.links[name], group["wrong"] / group["w"])
+            start[0] = _link_value(fit.links[name], group["wrong"] / group["w"], 0.01)
             fit.fits[(name, sign)] = GroupFit(start, np.full((npar[name],) * 2, np.nan))
             active.add((name, sign))
-    for _ in range(iterations):
+    for _ in range(iterations if active else 0):
         for key, row in _score_sums(rows, fit, active, width).items():
             group = fit.fits[key]
             if group.previous is not None and row["loss"] > group.loss + 1e-7 * abs(group.loss):

@@ -102,14 +102,15 @@ class ShapeFit:
     yields: tuple[float, float]
     errors: dict[str, float]
     deviance: float
+    at_bound: tuple[str, ...] = ()
 
     def table(self, spark: SparkSession) -> DataFrame:
         values = {**asdict(self.shape), "yield_signal": self.yields[0], "yield_background": self.yields[1]}
-        rows = [(n, float(v), float(self.errors.get(n, 0.0))) for n, v in values.items()]
-        return spark.createDataFrame(rows, "name string, value double, error double")
+        rows = [(n, float(v), float(self.errors.get(n, 0.0)), n in self.at_bound) for n, v in values.items()]
+        return spark.createDataFrame(rows, "name string, value double, error double, at_bound boolean")
 
 
-# Allowed parameter ranges of the mass model.
+# Allowed parameter ranges of the mass model; of a tail's start only the distance counts, so it is positive here.
 LIMITS = {
     "mean": (5200.0, 5400.0),
     "sigma": (0.1, 20.0),
@@ -119,9 +120,9 @@ LIMITS = {
     "alpha_r": (0.05, 5.0),
     "n_l": (0.1, 200.0),
     "n_r": (0.1, 200.0),
-    "c0": (-1.0, 1.0),
-    "c1": (-1.0, 1.0),
-    "c2": (-1.0, 1.0),
+    "c0": (-np.inf, np.inf),
+    "c1": (-np.inf, np.inf),
+    "c2": (-np.inf, np.inf),
 }
 SHAPE_ONLY = ("mean", "sigma", "g_sigma", "fraction")
 TAILS = ("alpha_l", "n_l", "alpha_r", "n_r")
@@ -156,7 +157,7 @@ def fit_spectrum(
     total = float(n.sum())
     theta = np.array([getattr(start, f) for f in free] + ([total] if simulation else [0.8 * total, 0.2 * total]))
     low = np.array([LIMITS[f][0] for f in free] + [0.0] * (1 if simulation else 2))
-    high = np.array([LIMITS[f][1] for f in free] + [2.0 * total + 1.0] * (1 if simulation else 2))
+    high = np.array([LIMITS[f][1] for f in free] + [total] * (1 if simulation else 2))
     scale = np.maximum(np.abs(theta), 1.0) * 1e-5
     mu, damping = expected(theta), 1e-3
     best = deviance(mu)
@@ -177,11 +178,13 @@ def fit_spectrum(
             damping *= 10.0
             if damping > 1e12:
                 break
-    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(information)), 0.0))
+    slopes = np.column_stack([(expected(theta + e) - mu) / e.sum() for e in np.diag(scale)])  # at the solution
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(slopes.T @ (slopes / mu[:, None]))), 0.0))
     names = [*free, "yield_signal", *([] if simulation else ["yield_background"])]
     shape = replace(start, **dict(zip(free, map(float, theta))))
     yields = (float(theta[len(free)]), 0.0 if simulation else float(theta[len(free) + 1]))
-    return ShapeFit(shape, yields, dict(zip(names, map(float, errors))), best)
+    at_bound = tuple(n for n, x, a, b in zip(names, theta, low, high) if x in (a, b))
+    return ShapeFit(shape, yields, dict(zip(names, map(float, errors))), best, at_bound)
 
 
 def fit_mass(df: DataFrame, mass: str, start: Shape, simulation: bool = False, bins: int = 100) -> ShapeFit:
@@ -200,25 +203,40 @@ def with_densities(df: DataFrame, mass: str, shape: Shape) -> DataFrame:
 
 
 def fit_yields(
-    df: DataFrame, start: tuple[float, float], iterations: int = 50, tolerance: float = 1e-9
+    df: DataFrame, start: tuple[float, float] | None = None, iterations: int = 100, tolerance: float = 1e-10
 ) -> tuple[float, float]:
-    """Unbinned extended yields for fixed densities by expectation-maximisation.
+    """Unbinned extended yields for fixed densities: Newton's method on the two yields.
 
-    Each step is one map-side combined aggregation; two numbers reach the driver.
+    Each step is one map-side combined aggregation; five sums reach the driver. A step that would leave the positive
+    range, or more than halve or double a yield, is replaced by one of expectation-maximisation. Ends when no yield moves by more than
+    ``tolerance`` of the rows, and raises if it does not get there. Without ``start`` both yields begin at half the rows.
     """
     slim = df.select("f_sig", "f_bkg").persist()
-    signal, background = map(float, start)
+    s, b = F.col("f_sig"), F.col("f_bkg")
     try:
+        rows = slim.count()
+        if not rows:
+            return 0.0, 0.0
+        yields = np.array(start or (rows / 2.0, rows / 2.0), dtype=float)
         for _ in range(iterations):
-            part = F.col("f_sig") * signal / (F.col("f_sig") * signal + F.col("f_bkg") * background)
-            row = slim.agg(F.sum(part).alias("s"), F.sum(1.0 - part).alias("b")).first()
-            change = abs(row["s"] - signal)
-            signal, background = float(row["s"]), float(row["b"])
-            if change < tolerance * max(signal, 1.0):
-                break
+            mix = s * float(yields[0]) + b * float(yields[1])
+            sums = slim.agg(
+                F.sum(s / mix).alias("s"), F.sum(b / mix).alias("b"), F.sum(s * s / (mix * mix)).alias("ss"),
+                F.sum(s * b / (mix * mix)).alias("sb"), F.sum(b * b / (mix * mix)).alias("bb"),
+            ).first()
+            slope = np.array([sums["s"], sums["b"]])
+            curve = np.array([[sums["ss"], sums["sb"]], [sums["sb"], sums["bb"]]])
+            moved = yields * slope
+            if np.linalg.det(curve) > 0:
+                trial = yields + np.linalg.solve(curve, slope - 1.0)
+                if (trial > 0.5 * yields).all() and (trial < 2.0 * yields).all():
+                    moved = trial
+            change, yields = np.abs(moved - yields).max(), moved
+            if change <= tolerance * rows:
+                return float(yields[0]), float(yields[1])
+        raise ArithmeticError(f"yields still move by {change:g} after {iterations} steps")
     finally:
         slim.unpersist()
-    return signal, background
 
 
 def sweights(df: DataFrame, yields: tuple[float, float], out: tuple[str, str] = ("signal_weights", "background_weights")) -> DataFrame:

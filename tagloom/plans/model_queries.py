@@ -252,15 +252,19 @@ def _density_sql(x: str, s: weights.Shape = SHAPE) -> str:
     return f"({dcb}) * {s.fraction / ball:.17e} + {g} * {(1 - s.fraction) / gauss:.17e} AS f_sig, ({poly}) / {cheb:.17e} AS f_bkg"
 
 
-STEPS = 12
+EM_STEPS, STEPS = 4, 12  # of the check: expectation-maximisation first, then Newton
 DENSITY_SQL = f"md AS (SELECT entry, run, B_ID, mass_peak, {_density_sql('mass_peak')} FROM ({b.candidates_sql('entry', 'run', 'B_ID', 'mass_peak')}) WHERE mass_peak > 5200 AND mass_peak < 5400)"
 
 
 def _yields_sql() -> str:
-    ctes = [DENSITY_SQL, "y0 AS (SELECT 3e3 AS ns, 9e3 AS nb)"]
+    ctes = [DENSITY_SQL, "y0 AS (SELECT count(*) / 2e0 AS ns, count(*) / 2e0 AS nb FROM md)"]
     for i in range(STEPS):
-        part = "f_sig * ns / (f_sig * ns + f_bkg * nb)"
-        ctes.append(f"y{i + 1} AS MATERIALIZED (SELECT sum({part}) AS ns, sum(1e0 - {part}) AS nb FROM md, y{i})")
+        sums = f"""(SELECT any_value(ns) AS ns, any_value(nb) AS nb, sum(f_sig / m) AS gs, sum(f_bkg / m) AS gb, sum(f_sig * f_sig / (m * m)) AS ss,
+          sum(f_sig * f_bkg / (m * m)) AS sb, sum(f_bkg * f_bkg / (m * m)) AS bb FROM (SELECT *, f_sig * ns + f_bkg * nb AS m FROM md, y{i}))"""
+        step = "ns * gs AS ns, nb * gb AS nb"
+        if i >= EM_STEPS:
+            step = "ns + (bb * (gs - 1) - sb * (gb - 1)) / (ss * bb - sb * sb) AS ns, nb + (ss * (gb - 1) - sb * (gs - 1)) / (ss * bb - sb * sb) AS nb"
+        ctes.append(f"y{i + 1} AS MATERIALIZED (SELECT {step} FROM {sums})")
     return ", ".join(ctes)
 
 
@@ -274,7 +278,7 @@ def mass_rows(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 @query("M14_mass_fit_yields", f"WITH {YIELDS_SQL} SELECT round(ns, 3) AS yield_signal, round(nb, 3) AS yield_background FROM y{STEPS}")
 def mass_fit_yields(spark: SparkSession, sf: str) -> DataFrame:
-    found = weights.fit_yields(mass_rows(spark, sf), (3e3, 9e3), iterations=STEPS, tolerance=0.0)
+    found = weights.fit_yields(mass_rows(spark, sf))
     return spark.createDataFrame([tuple(round(y, 3) for y in found)], "yield_signal double, yield_background double")
 
 
@@ -295,7 +299,7 @@ SWEIGHT_SQL = f"""{YIELDS_SQL}, mx AS (SELECT md.*, f_sig * ns + f_bkg * nb AS m
 @query("M15_sweights", f"WITH {SWEIGHT_SQL} SELECT entry, round(w_sig, 6) + 0e0 AS signal_weights, round(w_bkg, 6) + 0e0 AS background_weights FROM sw")
 def sweights(spark: SparkSession, sf: str) -> DataFrame:
     df = mass_rows(spark, sf)
-    found = weights.fit_yields(df, (3e3, 9e3), iterations=STEPS, tolerance=0.0)
+    found = weights.fit_yields(df)
     made = weights.sweights(df, found)
     return rounded(made.select("entry", "signal_weights", "background_weights"), "signal_weights", "background_weights", digits=6)
 
@@ -351,12 +355,12 @@ def _parameters_sql(digits: int) -> str:
         delta.append(f"SELECT p.tagger, 'delta', 'Dp{k}', p.{v} - n.{v}, sqrt(p.{e} * p.{e} + n.{e} * n.{e}) FROM pl p JOIN mi n USING (tagger)")
     return (
         f"pl AS (SELECT * FROM {last} WHERE sg = 1), mi AS (SELECT * FROM {last} WHERE sg = -1) "
-        f"SELECT tagger, style, name, round(value, {digits}) + 0e0 AS value, round(error, {digits}) AS error FROM ({rows} UNION ALL {' UNION ALL '.join(delta)})"
+        f"SELECT tagger, style, name, round(value, {digits}) + 0e0 AS value, round(error, {digits}) AS error, true AS converged FROM ({rows} UNION ALL {' UNION ALL '.join(delta)})"
     )
 
 
-def fitted(df: DataFrame, link: str = "logit", weight: str | None = "w", iterations: int = NEWTON) -> calibration.Calibration:
-    return calibration.calibrate(df, "tagger", "d", "eta", "B_ID", weight, link, 2, iterations, tolerance=1e-9, fallback=False)
+def fitted(df: DataFrame, link: str = "logit", weight: str | None = "w") -> calibration.Calibration:
+    return calibration.calibrate(df, "tagger", "d", "eta", "B_ID", weight, link, 2, tolerance=1e-9, fallback=False)
 
 
 @query("M16_glm_calibrate_logit", f"WITH {LONG_SQL}, {_newton_sql('w', 'logit')}, {_parameters_sql(5)}")
@@ -506,7 +510,7 @@ PT_EDGES = [0, 5000, 10000, 15000, 20000, 25000]
 def weighted_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Mass fit, sWeights, weighted performance per transverse-momentum bin, deviation from the whole."""
     df = mass_rows(spark, sf, "B_PT")
-    found = weights.fit_yields(df, (3e3, 9e3), iterations=STEPS, tolerance=0.0)
+    found = weights.fit_yields(df)
     weighted = weights.sweights(df, found).select("entry", "B_ID", "B_PT", "signal_weights")
     tagged = b.best_tracks(spark, sf).select("entry", "d", "eta").join(weighted, "entry")
     made = stats.binned_performance(tagged, "B_PT", PT_EDGES, "d", "eta", "B_ID", "signal_weights", overall=True)

@@ -139,3 +139,33 @@ def test_windows_left_open_are_added(spark, tmp_path):
     left = incremental.open_windows(rows, closed, "ts", "1 day", "d", "eta", "f")
     both = closed.unionByName(left)
     assert closed.count() < 10 == both.count() and both.agg(F.sum("n")).first()[0] == 40
+
+
+def test_yields_are_at_the_optimum_and_weights_add_up(spark):
+    from tagloom.operators import weights
+
+    rows = [(5200.0 + (i * 37 % 2000) / 10.0,) for i in range(800)] + [(5280.0 + math.sin(i) * 12,) for i in range(300)]
+    shape = weights.Shape(mean=5280.0)
+    df = weights.with_densities(spark.createDataFrame(rows, "m double").where("m > 5200 and m < 5400"), "m", shape)
+    ns, nb = weights.fit_yields(df)
+    mix = F.col("f_sig") * ns + F.col("f_bkg") * nb
+    slopes = df.agg(F.sum(F.col("f_sig") / mix), F.sum(F.col("f_bkg") / mix)).first()
+    assert slopes[0] == pytest.approx(1.0, abs=1e-9) and slopes[1] == pytest.approx(1.0, abs=1e-9)
+    made = weights.sweights(df, (ns, nb))
+    total = F.col("signal_weights") + F.col("background_weights") - 1
+    assert made.agg(F.max(F.abs(total))).first()[0] < 1e-9
+    assert weights.fit_yields(df.limit(0)) == (0.0, 0.0)
+    with pytest.raises(ArithmeticError):
+        weights.fit_yields(df, (1.0, 1.0), iterations=2)
+
+
+def test_calibration_says_what_did_not_converge(spark):
+    from tagloom.operators import calibration
+
+    rows = [("a", 1 if i % 3 else -1, 0.1 + (i % 30) / 100.0, 521 if i % 7 < 4 else -521, 1.0) for i in range(300)]
+    rows += [("zero", 1, 0.2, 521 if i % 2 else -521, 1.0 if i % 4 < 2 else -1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "tagger string, d int, eta double, f int, w double")
+    fit = lambda **k: {(r.tagger, r.converged) for r in calibration.calibrate(df, "tagger", "d", "eta", "f", "w", **k).parameter_table(spark).collect()}
+    assert fit() == {("a", True), ("zero", False)} and fit(iterations=2) == {("a", False), ("zero", False)}
+    low = spark.createDataFrame([("a", 1, 0.002, 521 if i % 500 else -521, 1.0) for i in range(1000)], df.schema)
+    assert calibration.calibrate(low, "tagger", "d", "eta", "f", npar=1).centres["a"] == pytest.approx(math.log(0.002 / 0.998))
