@@ -86,6 +86,8 @@ def tree_paths(model: DecisionTreeClassificationModel, features: Sequence[str],
             del stack[depth:]
             name = names[int(float(leaf[1]))]
             paths.setdefault(name, []).append(" & ".join([*stack, SIMULATION_SIGNAL_TERM]))
+        else:
+            raise ValueError(f"unknown node in the tree: {line.strip()!r}")
     return paths
 
 
@@ -137,14 +139,12 @@ def two_fold_models(df: DataFrame, features: Sequence[str], label: str, number:
 def two_fold_score(df: DataFrame, models: Mapping[int, Model], features: Sequence[str], number: str, passed: Column, out: str = "score") -> DataFrame:
     """Score every row with the model that did not see its parity; gated rows get the default.
 
-    Keyed by row, so the output stays aligned with its input.
+    Each model scores only its own half; a row without a number counts as odd.
     """
-    scored = assemble(df, features)
-    for parity in (0, 1):
-        scored = models[parity].transform(scored)
-        scored = positive_probability(scored, f"_s{parity}").drop("rawPrediction", "probability", "prediction")
-    chosen = F.when(F.pmod(F.col(number), F.lit(2)) == 0, F.col("_s0")).otherwise(F.col("_s1"))
-    return scored.withColumn(out, gated_score(chosen, passed)).select(*df.columns, out)
+    ready, parity = assemble(df, features), F.coalesce(F.pmod(F.col(number), F.lit(2)), F.lit(1))
+    halves = [positive_probability(models[p].transform(ready.filter(parity == p)), "_s") for p in (0, 1)]
+    scored = halves[0].unionByName(halves[1])
+    return scored.withColumn(out, gated_score(F.col("_s"), passed)).select(*df.columns, out)
 
 
 def parameter_scan(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import tagging as tag
@@ -182,6 +182,65 @@ def dt_to_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return scored.filter("B_Tr_T_Origin_Flag <> 0").groupBy("predicted", "cut_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "M1_class_weights",
+    f"""WITH t AS (SELECT {TREE_TRUTH} AS particle FROM {src(*TREE_INPUTS)} v)
+      SELECT particle, count(*) AS n, round((SELECT count(*) FROM t) / (SELECT count(DISTINCT particle) FROM t), 6) AS total_weight FROM t GROUP BY particle""",
+)
+def class_weight_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """What the tree is trained on: every class has the same total weight."""
+    weighted = models.class_weights(tree_rows(spark, sf), "code")
+    sums = weighted.groupBy("particle").agg(F.count(F.lit(1)).alias("n"), F.sum("class_weight").alias("total_weight"))
+    return rounded(sums, "total_weight", digits=6)
+
+
+@query("M2_cuts_reproduce_tree", f"SELECT CAST(count(*) AS BIGINT) AS tracks, CAST(0 AS BIGINT) AS differing FROM {src('B_Tr_T_Origin_Flag')} WHERE B_Tr_T_Origin_Flag <> 0")
+def cuts_reproduce_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported cut texts select exactly the tracks that the tree gives to each class."""
+    found = dt_to_cuts(spark, sf)
+    wrong = F.when(F.col("predicted").eqNullSafe(F.col("cut_class")), 0).otherwise(F.col("n"))
+    return found.agg(F.sum("n").alias("tracks"), F.sum(wrong).cast("long").alias("differing"))
+
+
+@query(
+    "M3_dt_eval_sums",
+    f"""WITH t AS (SELECT {TREE_TRUTH} AS particle FROM {src(*TREE_INPUTS)} v)
+      SELECT particle AS class, 'truth' AS normalised_by, 1e0 AS total FROM t GROUP BY particle
+      UNION ALL SELECT particle, 'prediction', 1e0 FROM t GROUP BY particle""",
+)
+def dt_eval_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Both normalisations of the tree's confusion table: the shares of every class add up to one."""
+    df = tree_rows(spark, sf)
+    model = models.train_tree(df, TREE_INPUTS, "code")
+    scored = model.transform(models.assemble(df, TREE_INPUTS))
+    scored = scored.withColumn("predicted", models.class_names(TREE_CLASSES, F.col("prediction")))
+    parts = []
+    for name, side in (("truth", "particle"), ("prediction", "predicted")):
+        total = F.col("weight") / F.sum("weight").over(Window.partitionBy(side))
+        cells = scored.groupBy("particle", "predicted").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        shares = cells.withColumn("share", total).groupBy(F.col(side).alias("class")).agg(F.sum("share").alias("total"))
+        parts.append(shares.select("class", F.lit(name).alias("normalised_by"), "total"))
+    return rounded(parts[0].unionByName(parts[1]), "total", digits=9)
+
+
+@query("M4_dt_binary_pid_importances")
+def dt_binary_pid_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature importances of the kaon identification tree."""
+    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
+    train = hash_split(df, b.ROW_KEYS, {"train": 0.7, "test": 0.3}, 42).filter("subset = 'train'")
+    model = models.train_tree(train, TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False)
+    return models.feature_importances(model, df, TREE_INPUTS)
+
+
+@query("M4_dt_binary_pid_roc")
+def dt_binary_pid_roc(spark: SparkSession, sf: str) -> DataFrame:
+    """ROC points of that tree on the test sample."""
+    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
+    split = hash_split(df, b.ROW_KEYS, {"train": 0.7, "test": 0.3}, 42)
+    model = models.train_tree(split.filter("subset = 'train'"), TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False)
+    return stats.roc_curve(models.predict(model, split.filter("subset = 'test'"), TREE_INPUTS), "score", "target")
+
+
 @query("M3_dt_eval")
 def dt_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Confusion table of the tree normalised by truth."""
