@@ -159,3 +159,8 @@ def signal_inputs(df: DataFrame, keep: list[str] = ()) -> DataFrame:
         for name, (kind, columns) in SIGNAL_INPUTS.items()
     ]
     return df.withColumn("_boost", factor).select(*keep, *inputs)
+
+
+def end_vertex_distances(axes: str = "XYZ", prefix: str = "B_", out: str = "B_Tr_T_") -> dict[str, Column]:
+    """Distance of a track's first hit from the decay vertex along each axis."""
+    return {f"{out}endSV_{a}": F.abs(F.col(f"{prefix}ENDV_{a}") - _track(f"first{a}", prefix)) for a in axes}

@@ -45,6 +45,8 @@ SIGNAL = {
     "B_OWNPV_Z": "(l_orderkey % 201 - 100) * 1e0",
     "B_ENDV_X": "1e0 + (l_orderkey % 17) / 1e1",
     "B_ENDV_Y": "1e0 + (l_orderkey % 19) / 1e1",
+    "B_ENDV_X": "(l_orderkey % 19) * 1e-1",
+    "B_ENDV_Y": "(l_orderkey % 29) * 1e-1",
     "B_ENDV_Z": "1e1 + (l_orderkey % 23) * 1e0",
     "B_TRUEID": "CASE WHEN l_orderkey % 3 = 0 THEN 521 WHEN l_orderkey % 3 = 1 THEN -521 ELSE 531 END",
     "B_BKGCAT": "CASE WHEN l_orderkey % 5 = 0 THEN 20 ELSE CAST(l_orderkey % 2 AS INT) END",
@@ -62,6 +64,8 @@ TRACK = {
     "B_Tr_T_X": "(l_partkey % 101 - 50) / 1e1",
     "B_Tr_T_Y": "(l_suppkey % 53 - 26) / 1e1",
     "B_Tr_T_Z": "l_extendedprice / 1e3",
+    "B_Tr_T_firstX": "l_tax * 1e1 + l_discount",
+    "B_Tr_T_firstY": "l_quantity / 1e1",
     "B_Tr_T_firstZ": "l_extendedprice / 1e3 + l_quantity",
     "B_Tr_T_OWNPV_Z": "(l_partkey % 201 - 100) * 1e0",
     "B_Tr_T_OWNPVIP": "l_discount - 5.5e-2",

@@ -101,6 +101,17 @@ def delta_q(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, features.energy_releases(), 4)
 
 
+@query(
+    "P5_vertex_diffs_xy",
+    f"""SELECT {K}, round(abs(B_ENDV_X - B_Tr_T_firstX), 6) AS B_Tr_T_endSV_X, round(abs(B_ENDV_Y - B_Tr_T_firstY), 6) AS B_Tr_T_endSV_Y
+      FROM {src("B_ENDV_X", "B_Tr_T_firstX", "B_ENDV_Y", "B_Tr_T_firstY")}""",
+)
+def vertex_diffs_xy(spark: SparkSession, sf: str) -> DataFrame:
+    """Transverse distances of a track's first hit from the decay vertex."""
+    df = b.tracks(spark, sf, "B_ENDV_X", "B_Tr_T_firstX", "B_ENDV_Y", "B_Tr_T_firstY")
+    return rounded(df, features.end_vertex_distances("XY"))
+
+
 @query(
     "P5_vertex_diffs",
     f"""SELECT {K}, round(abs(B_OWNPV_Z - B_Tr_T_OWNPV_Z), 6) AS diff_z, round(abs(B_ENDV_Z - B_Tr_T_firstZ), 6) AS end_sv_z
