@@ -209,7 +209,7 @@ def fit_yields(
 
     Each step is one map-side combined aggregation; five sums reach the driver. A step that would leave the positive
     range, or more than halve or double a yield, is replaced by one of expectation-maximisation. Ends when no yield moves by more than
-    ``tolerance`` of the rows, and raises if it does not get there. Without ``start`` both yields begin at half the rows.
+    ``tolerance`` of the rows, and raises if it does not get there. Without a positive ``start`` both yields begin at half the rows.
     """
     slim = df.select("f_sig", "f_bkg").persist()
     s, b = F.col("f_sig"), F.col("f_bkg")
@@ -217,7 +217,7 @@ def fit_yields(
         rows = slim.count()
         if not rows:
             return 0.0, 0.0
-        yields = np.array(start or (rows / 2.0, rows / 2.0), dtype=float)
+        yields = np.array(start if start and min(start) > 0.0 else (rows / 2.0, rows / 2.0), dtype=float)
         for _ in range(iterations):
             mix = s * float(yields[0]) + b * float(yields[1])
             sums = slim.agg(

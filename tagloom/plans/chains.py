@@ -93,8 +93,16 @@ class Combination:
         return stats.tagging_performance(self.events, "d_cal", "omega", flavour, weight, by)
 
 
-# Polynomial parameters per tagger with the logit link; every other tagger has two.
+# Polynomial parameters with the logit link by the start of a tagger's name, in the present and the older
+# generation of taggers; every other tagger has two.
 LOGIT_PARAMETERS = {"OSKaon": 4}
+OLDER_LOGIT_PARAMETERS = {"OSKaon": 4, "OSElectron": 3}
+
+
+def parameters_of(tagger: str, link: str, older: bool = False) -> int:
+    """Number of polynomial parameters of a tagger's calibration."""
+    known = (OLDER_LOGIT_PARAMETERS if older else LOGIT_PARAMETERS) if link == "logit" else {}
+    return next((n for start, n in known.items() if tagger.startswith(start)), 2)
 
 
 def combine_and_calibrate(
@@ -107,10 +115,11 @@ def combine_and_calibrate(
     link: str = "logit",
     combined_link: str = "mistag",
     carry: Iterable[str] = (),
+    older: bool = False,
 ) -> Combination:
     """Join tagged events of all taggers, calibrate each, combine, calibrate the combination.
 
-    ``time`` names a decay-time column (ps) that switches on the oscillation of neutral modes.
+    ``older`` marks taggers of the older generation. ``time`` names a decay-time column (ps) that switches on the oscillation of neutral modes.
     """
     extra = [c for c in (weight, time) if c] + list(carry)
     shared = list(dict.fromkeys([flavour, *extra]))
@@ -121,7 +130,7 @@ def combine_and_calibrate(
     mixing = None
     if time and decay[:2] in tag.MIXING_FREQUENCY:
         mixing = tag.mixing_probability(F.col(time), tag.frequency_of(decay), tag.WIDTH_DIFFERENCE[decay[:2]])
-    npar = {t: LOGIT_PARAMETERS.get(t, 2) if link == "logit" else 2 for t in taggers}
+    npar = {t: parameters_of(t, link, older) for t in taggers}
     single = calibration.calibrate(long, "tagger", "d", "eta", flavour, weight, link, npar, mixing=mixing)
     made = calibration.apply_calibration(long, single, "tagger", "d", "eta")
     joined = calibration.combine_taggers(made, key, "d_cal", "omega", shared).withColumn("tagger", F.lit("combination"))

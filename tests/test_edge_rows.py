@@ -169,3 +169,11 @@ def test_calibration_says_what_did_not_converge(spark):
     assert fit() == {("a", True), ("zero", False)} and fit(iterations=2) == {("a", False), ("zero", False)}
     low = spark.createDataFrame([("a", 1, 0.002, 521 if i % 500 else -521, 1.0) for i in range(1000)], df.schema)
     assert calibration.calibrate(low, "tagger", "d", "eta", "f", npar=1).centres["a"] == pytest.approx(math.log(0.002 / 0.998))
+
+
+def test_polynomial_order_by_prefix_and_generation():
+    from tagloom.plans.chains import parameters_of
+
+    assert [parameters_of(t, "logit") for t in ("OSKaon", "OSKaon_new", "OSElectron", "SSPion")] == [4, 4, 2, 2]
+    assert [parameters_of(t, "logit", older=True) for t in ("OSKaon", "OSElectronLatest", "OSMuon")] == [4, 3, 2]
+    assert parameters_of("OSKaon", "mistag", older=True) == 2
