@@ -49,8 +49,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, with digests of them and of the text decoded from them."""
-    path = byte_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.round_trip(docs, byte_vocabulary())
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return coded.select(
         F.col("key").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")

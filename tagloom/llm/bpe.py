@@ -238,6 +238,15 @@ def encode(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text
     Special tokens' strings in a text become their tokens, nothing is added, cut off or padded. Every row, repeated
     ones and those without a key too, gives one row; other columns play no part.
     """
+    return _encoded(documents, vocabulary_path, key, text, False)
+
+
+def round_trip(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, text): each row's tokens as by ``encode``, and the text that ``decode`` makes of them, in one pass."""
+    return _encoded(documents, vocabulary_path, key, text, True)
+
+
+def _encoded(documents: DataFrame, vocabulary_path: str, key: str, text: str, back: bool) -> DataFrame:
     spec = vocabulary(documents, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +254,15 @@ def encode(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text
         for batch in batches:
             for part in slices(batch, 1):
                 counts, tokens = tool.encode([t or "" for t in values(part.column(1))])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(tokens))], ["key", "ids"])
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))]
+                if back:
+                    columns.append(pa.array((tool.decode(tokens[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "text"][: len(columns)])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>" + ", text string" * back)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, key: str = "key", ids: str = "ids") -> DataFrame:

@@ -38,7 +38,7 @@ def values(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
-def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``max_bytes`` (one long text: alone)."""
     texts, start, held = batch.column(column), 0, 0
     for i in range(batch.num_rows):

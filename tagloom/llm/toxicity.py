@@ -23,7 +23,7 @@ from tagloom.llm.store import held_out, slices, values
 
 MOST_ROWS = 8192
 BUCKET_BITS = 20
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 NEXT, SKIPPED, SPREAD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 

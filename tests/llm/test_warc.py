@@ -29,7 +29,7 @@ def found(spark, left, right, **more):
     return sorted((r.file, r.offset, r.length, r.kind) for r in warc.audit(*frames, **more).collect())
 
 
-@pytest.mark.parametrize("range_bytes, fanout", [(64, 2), (1000, 3), (1 << 20, 16)])
+@pytest.mark.parametrize("range_bytes, fanout", [(256, 8), (1000, 3), (1 << 20, 16)])
 def test_random_damage(spark, range_bytes, fanout):
     rng = random.Random(range_bytes)
     left = []
