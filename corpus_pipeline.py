@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, linededup, simhash, toxicity
+from tagloom.llm import bpe, decontaminate, linededup, nearcopies, toxicity
 from tagloom.llm.queries import byte_vocabulary
 from tagloom.llm.registry import ORACLES as TEXT_ORACLES
 from tagloom.llm.registry import QUERIES, query, table
 from tagloom.llm.store import written
 
-#: Near copies: SimHash of five-word shingles within seven bits. Pairs of a Jaccard similarity under 0.65 were never that close on the
-#: test tables, those of 0.9 or more mostly were.
+#: Near copies: five-word shingles, a Jaccard similarity of 0.8 or more; SimHash proposes pairs within seven bits.
 WORDS, RADIUS, BLOCKS = 5, 7, 9
 
 
@@ -35,11 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, once. Documents without an id stay."""
-    found = simhash.near_duplicates(docs, words=WORDS, radius=RADIUS, blocks=BLOCKS)
-    kept = written(found.where("key = component").select(F.col("key").alias("doc_id")).distinct(), "kept")
-    once = docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies, that with the smallest id; rows are copies by their texts, with or without an id."""
+    return nearcopies.without_near_copies(docs, words=WORDS, radius=RADIUS, blocks=BLOCKS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,16 +33,20 @@ BUFFER_ROWS = 200_000
 EXPANSIONS = 2_000_000
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of one text over shingles of ``words`` words, repeats included; no words: 0."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """Hashes of the shingles of ``words`` words, repeats included; a shorter text is one shingle, one without words has none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
     size, digest = min(words, len(parts)), xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
+    return [digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
+
+
+def majority(hashes: list[int]) -> int:
+    """SimHash of shingle hashes; none: 0."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65_536):
         block = np.array(hashes[i : i + 65_536], ">u8").view(np.uint8).reshape(-1, 8)
@@ -50,6 +54,11 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of one text over shingles of ``words`` words, repeats included; no words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, fp) for every row; ``fp`` is the fingerprint as a signed 64-bit number."""
 
