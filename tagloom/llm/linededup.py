@@ -20,18 +20,26 @@ from tagloom.llm.store import small_or_shuffled, written
 
 LEAST_WORDS = 5
 ID = ["x", "y"]
+#: A line's place: document key, line number, and 128 bits of the document's text, which tell rows of one key (or without one) apart.
+PLACE = ["doc", "line", "dx", "dy"]
+
+
+def _bits(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
 def lines_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, l, n) for every line: its number from 0, its text without spaces around, its number of words."""
-    rows = documents.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "l"))
+    """(doc, dx, dy, line, l, n) for every line: its number from 0, its text without spaces around, its number of words."""
+    whole = [c.alias(a) for c, a in zip(_bits(F.col(text)), ("dx", "dy"))]
+    rows = documents.select(F.col(key).alias("doc"), *whole, F.posexplode(F.split(F.col(text), "\n")).alias("line", "l"))
     rows = rows.withColumn("l", F.trim("l"))
     return rows.withColumn("n", F.octet_length("l") - F.octet_length(F.replace("l", F.lit(" "), F.lit(""))) + 1)
 
 
 def _identified(lines: DataFrame) -> DataFrame:
     """Lines with 128 bits (x, y) that stand for their text."""
-    return lines.withColumns({"x": F.xxhash64("l"), "y": F.xxhash64(F.lit(7), "l")})
+    return lines.withColumns(dict(zip(ID, _bits(F.col("l")))))
 
 
 def _ends(line: Column, n: Column) -> Column:
@@ -57,8 +65,8 @@ def _candidates(lines: DataFrame) -> DataFrame:
     shared = keyed.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("k")
     shared = small_or_shuffled(written(shared, "shared_ends"))
     ids = small_or_shuffled(written(keyed.join(shared, "k", "left_semi").select(*ID).distinct(), "candidates"))
-    rows = lines.select(*ID, "doc", "line", "l").join(ids, ID, "left_semi")
-    found = rows.groupBy(*ID).agg(F.min(F.struct("doc", "line")).alias("first"), F.first("l").alias("l"))
+    rows = lines.select(*ID, *PLACE, "l").join(ids, ID, "left_semi")
+    found = rows.groupBy(*ID).agg(F.min(F.struct(*PLACE)).alias("first"), F.first("l").alias("l"))
     return written(found, "candidate_lines")
 
 
@@ -119,31 +127,41 @@ def _near(candidates: DataFrame) -> DataFrame:
     return near.select("own.x", "own.y", F.col("own.first").alias("own"), "first")
 
 
-def duplicate_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc, line, first_doc, first_line) for every line that goes, with the place of the earliest equal or near line.
-
-    Places are ordered by document key (a missing key is the least) and line number. Lines of fewer than ``least_words`` words
-    always stay. Rows with one key are one document, and the lines at one place of it one line: repeated rows lose nothing to
-    each other. A null or empty text has no line to lose; an empty table gives an empty one; other columns play no part.
-    """
+def _gone(documents: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
+    """(doc, line, dx, dy, first) for every line that goes; ``first``: the place of the earliest equal or near line."""
     lines = _identified(lines_of(documents, key, text).where(F.col("n") >= least_words))
     near = written(_near(_candidates(lines)), "near")
-    places = lines.groupBy(*ID).agg(F.min(F.struct("doc", "line")).alias("own"), F.max(F.struct("doc", "line")).alias("last"))
+    places = lines.groupBy(*ID).agg(F.min(F.struct(*PLACE)).alias("own"), F.max(F.struct(*PLACE)).alias("last"))
     equal = places.where(F.col("own") < F.col("last")).select(*ID, "own", F.col("own").alias("first"))
     changed = equal.unionByName(near).groupBy(*ID).agg(F.min("own").alias("own"), F.min("first").alias("first"))
     changed = small_or_shuffled(written(changed, "changed"))
-    gone = lines.select(*ID, "doc", "line").join(changed, ID).where(F.struct("doc", "line") > F.col("first"))
+    gone = lines.select(*ID, *PLACE).join(changed, ID).where(F.struct(*PLACE) > F.col("first"))
+    return gone.select(*PLACE, "first").distinct()
+
+
+def duplicate_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, line, first_doc, first_line) for every line that goes, with the place of the earliest equal or near line.
+
+    Places are ordered by document key (a missing key is the least), line number and text. Lines of fewer than ``least_words`` words
+    always stay. Rows with one key and one text are one document, and the lines at one place of it one line: repeated rows lose
+    nothing to each other. Rows with one key, or without one, and different texts are different documents. A null or empty text
+    has no line to lose; an empty table gives an empty one; other columns play no part.
+    """
+    gone = _gone(documents, key, text, least_words)
     return gone.select("doc", "line", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")).distinct()
 
 
 def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``documents`` without the lines that go; a document of which no line is left goes as well, all others stay.
 
-    Columns and rows are otherwise as they were; a text that loses no line is the same to the last byte.
+    A row loses only lines of its own text. Columns and rows are otherwise as they were; a text that loses no line is the same to
+    the last byte.
     """
-    gone = duplicate_lines(documents, key, text, least_words)
-    gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
-    rows = documents.join(written(gone, "gone_lines"), F.col(key).eqNullSafe(F.col("_doc")), "left")
+    gone = _gone(documents, key, text, least_words)
+    gone = gone.groupBy(*(F.col(c).alias(f"_{c}") for c in ("doc", "dx", "dy"))).agg(F.collect_set("line").alias("_gone"))
+    x, y = _bits(F.col(text))
+    own = (x == F.col("_dx")) & (y == F.col("_dy")) & F.col(key).eqNullSafe(F.col("_doc"))
+    rows = documents.join(written(gone, "gone_lines"), own, "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda l, i: ~F.array_contains(F.col("_gone"), i))
     rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     rows = rows.where("_kept is null or size(_kept) > 0")

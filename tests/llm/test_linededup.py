@@ -97,6 +97,16 @@ def test_texts_are_rebuilt(spark):
     assert d.deduplicated(df.limit(0)).collect() == [] and d.duplicate_lines(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_key_are_told_apart_by_text(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(8)) for x in "abce")
+    docs = [(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (5, f"{e}\n{a}"), (5, f"{c} more\nan own line of 5")]
+    df, got = run(spark, docs)
+    assert (None, 1, None, 1) in got
+    texts = [r.text for r in d.deduplicated(df).collect()]
+    left = [t for text in texts for t in text.split("\n")]
+    assert sorted(left) == sorted([a, b, c, e, "an own line of 5"])
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = QUERIES["op5_line_dedup"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
