@@ -7,13 +7,14 @@ counts into offsets, and only look at single rows inside one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.session import local_table
+from tagloom.session import local_table, shared_dir
 
 
 MAX_LOCAL_ROWS = 10_000
@@ -197,37 +198,35 @@ def exact_quantile(df: DataFrame, value: str, fraction: float, out: str = "quant
     return ends.select(between.alias(out))
 
 
-def dense_ids(df: DataFrame, major: str, minor: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """Number the distinct (major, minor) integer pairs 0, 1, 2, ... in sorted order.
+def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "position", total: str | None = None) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... in ascending order (missing values first) of ``order``.
 
-    Offsets are built over blocks of ``width`` consecutive integers, so no ordered group can hold
-    more than ``width`` distinct keys whatever the skew of the rows.
+    Rows are dealt into sorted ranges and written once; a row's number is its place in its range plus the counted rows of
+    earlier ranges. A group of any share of the table spreads over as many ranges as it needs; only counts, one per group
+    and range, are summed in a window. Rows that agree in ``order`` are numbered in either order. ``total`` names a column for
+    the rows of the group. ``df`` must not have columns ``_at``, ``_range``, ``_first`` or ``_before``.
     """
-    earlier = (Window.unboundedPreceding, -1)
-
-    def before(partition: list[str], order: str) -> Column:
-        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*earlier)
-        return F.coalesce(F.sum("_n").over(window), F.lit(0))
-
-    keys = df.select(major, minor).distinct()
-    keys = keys.withColumn("_b", F.floor(F.col(minor) / F.lit(width)))
-    keys = keys.withColumn("_a", F.floor(F.col(major) / F.lit(width)))
-    minor_blocks = keys.groupBy("_a", major, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    majors = minor_blocks.groupBy("_a", major).agg(F.sum("_n").alias("_n"))
-    major_blocks = majors.groupBy("_a").agg(F.sum("_n").alias("_n"))
-    off_a = major_blocks.select("_a", before([], "_a").alias("_oa"))
-    off_major = majors.select("_a", major, before(["_a"], major).alias("_om"))
-    off_b = minor_blocks.select(major, "_b", before([major], "_b").alias("_ob"))
-    local = F.row_number().over(Window.partitionBy(major, "_b").orderBy(minor)) - 1
-    numbered = (
-        keys.withColumn("_l", local)
-        .transform(join_null_safe, off_b, [major, "_b"])
-        .transform(join_null_safe, off_major, ["_a", major])
-        .transform(join_null_safe, off_a, ["_a"])
-        .select(
-            major,
-            minor,
-            (F.col("_oa") + F.col("_om") + F.col("_ob") + F.col("_l")).cast("long").alias(out),
-        )
-    )
-    return join_null_safe(df, numbered, [major, minor])
+    by, keys = list(by), [*by, *order]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    path = shared_dir(df.sparkSession, "ranges")
+    ranges.write.parquet(path)
+    placed = df.sparkSession.read.schema(ranges.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if by:
+        whole = Window.partitionBy(*by)
+        before = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = counts.select(*by, "_range", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    else:  # one row per range, as many as there are shuffle partitions
+        rows = sorted(counts.collect())
+        ends = list(accumulate((r["_n"] for r in rows), initial=0))
+        found = [(r["_range"], r["_first"], before, ends[-1]) for r, before in zip(rows, ends)]
+        offsets = df.sparkSession.createDataFrame(found, "_range bigint, _first bigint, _before bigint, _total bigint")
+    position = (F.col("_at") - F.col("_first") + F.col("_before")).alias(out)
+    totals = [F.col("_total").alias(total)] if total else []
+    return join_null_safe(placed, offsets, [*by, "_range"]).select(*df.columns, position, *totals)
+
+
+def dense_ids(df: DataFrame, major: str, minor: str, out: str) -> DataFrame:
+    """Number the distinct (major, minor) pairs 0, 1, 2, ... in sorted order, whatever their type, range or skew."""
+    keys = numbered(df.select(major, minor).distinct(), [major, minor], out=out)
+    return join_null_safe(df, keys, [major, minor])

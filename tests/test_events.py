@@ -79,7 +79,7 @@ def test_dense_ids_match_group_numbers(spark):
     rng = random.Random(2)
     data = [(rng.randrange(0, 40), rng.randrange(-30, 30)) for _ in range(800)]
     df = spark.createDataFrame(data, "run int, event int")
-    got = ranking.dense_ids(df, "run", "event", "id", width=7).distinct().toPandas()
+    got = ranking.dense_ids(df, "run", "event", "id").distinct().toPandas()
     want = {k: i for i, k in enumerate(sorted(set(data)))}
     assert {(r.run, r.event): r.id for r in got.itertuples()} == want
 
