@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, quantiser, simhash, toxicity, urlfilter, warc
+from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, quantiser, simhash, toxicity, urlfilter, warc
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -196,3 +196,36 @@ def op2_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every damaged record of a replica of the archive of all pages."""
     archive = warc.archived(table(spark, sf_dir, "pages"))
     return warc.audit(archive, damaged_replica(archive))
+
+
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+_FIELDS = "concat(" + ", ".join("coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format(c) for c in MANIFEST_COLUMNS) + ")"
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))) AS c FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256({_FIELDS}) AS leaf, changed FROM (
+    SELECT *, (SELECT sha256({_FIELDS}) FROM (SELECT d.doc_id, d.source, d.lang, CASE WHEN xor(d.c, 4294967295) % 7 = 0 THEN d.n_chars + 1 ELSE d.n_chars END AS n_chars, d.text)) AS changed FROM d))),
+levels AS (SELECT grp, 0 AS lv, list(leaf ORDER BY pos) AS ns FROM l GROUP BY grp
+  UNION ALL SELECT grp, lv + 1, list_transform(range(0, len(ns), 2), lambda i: sha256(ns[i + 1] || coalesce(ns[i + 2], ''))) FROM levels WHERE len(ns) > 1),
+subs AS (SELECT grp, ns[1] AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos FROM levels WHERE len(ns) = 1),
+tops AS (SELECT 1000 AS lv, list(subroot ORDER BY pos) AS ns FROM subs
+  UNION ALL SELECT lv + 1, list_transform(range(0, len(ns), 2), lambda i: sha256(ns[i + 1] || coalesce(ns[i + 2], ''))) FROM tops WHERE len(ns) > 1),
+steps AS (SELECT l.grp, l.pos, lv, ns, l.pos >> lv AS p FROM l JOIN levels USING (grp) WHERE len(ns) > 1
+  UNION ALL SELECT l.grp, l.pos, lv, ns, subs.pos >> (lv - 1000) FROM l JOIN subs USING (grp), tops WHERE len(ns) > 1),
+proof AS (SELECT grp, pos, list(CASE WHEN p % 2 = 1 THEN ns[p] || '|' ELSE '|' || coalesce(ns[p + 2], '') END ORDER BY lv) AS s FROM steps GROUP BY grp, pos),
+r AS (SELECT l.*, subroot, (SELECT ns[1] FROM tops WHERE len(ns) = 1) AS root, coalesce(s, []) AS s FROM l JOIN subs USING (grp) LEFT JOIN proof ON l.grp = proof.grp AND l.pos = proof.pos)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(s, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM (
+  SELECT *, list_reduce(list_prepend(changed, s), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM r)"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by language; each row's proof, and the root it leads to after tampering with a seventh of them."""
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 0, F.lit(False))
+    values = [F.col(c) if c != "n_chars" else F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) for c in MANIFEST_COLUMNS]
+    rows = manifest.built(documents, MANIFEST_COLUMNS, "lang", "doc_id", {"changed": manifest.leaf(values)}).proofs()
+    proof, root = F.col("proof"), manifest.folded(F.col("changed"), F.col("proof"))
+    digests = rows.select(F.col("key").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", F.sha2(manifest.proof_text(proof), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
