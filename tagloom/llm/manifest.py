@@ -144,7 +144,7 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """(grp, at, key, hash, columns kept, proof, subroot, root) of every row."""
         none = F.array().cast(PROOF)
-        root = self.root().select(F.lit("").alias("grp"), none.alias("proof"), "root")
+        root = written(self.root().select(F.lit("").alias("grp"), none.alias("proof"), "root"), "root")
         over = proofs(self.top, root.drop("root"), self.fanout, self.step)
         over = over.join(root.drop("proof"), "grp").select(F.col("key").alias("grp"), "proof", F.col("hash").alias("subroot"), "root")
         over = written(over, "group_paths")
