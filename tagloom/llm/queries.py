@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, quantiser, simhash, toxicity, urlfilter, warc
+from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, quantiser, simhash, toxicity, treapsearch, urlfilter, warc
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -229,3 +229,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     proof, root = F.col("proof"), manifest.folded(F.col("changed"), F.col("proof"))
     digests = rows.select(F.col("key").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", F.sha2(manifest.proof_text(proof), 256).alias("proof_sha256"), root.alias("folded_root"))
     return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SEARCH_SQL = r"""
+WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+tf AS MATERIALIZED (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+st AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM len),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // l)))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN len USING (r), st GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    found = treapsearch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
