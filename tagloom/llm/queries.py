@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, quantiser, simhash, toxicity, treapsearch, urlfilter, warc
+from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, packing, quantiser, simhash, toxicity, treapsearch, urlfilter, warc
 from tagloom.llm.store import held_out
 from tagloom.llm.registry import QUERIES, query, table  # noqa: F401
 
@@ -250,3 +250,12 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all documents for every benchmark item."""
     found = treapsearch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
     return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2, with_ids=False)
+    return found.withColumnRenamed("key", "doc_id")
