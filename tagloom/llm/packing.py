@@ -15,6 +15,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,28 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagloom.llm.bpe import vocabulary
+from tagloom.llm.store import slices
 
 CAPACITY = 4096
 #: In tokens of padding: a cut between sentences, a cut inside one, and a further sequence.
 SENTENCE_PENALTY, INNER_PENALTY, SEQUENCE_CHARGE = 16, 256, 64
 #: A run ends with the document that brings it to so many tokens.
 RUN_TOKENS = 1_000_000
-#: Texts taken from a batch at once, and characters of distinct words whose tokens a worker keeps.
-SLICE_BYTES, MOST_CHARACTERS = 4_000_000, 4_000_000
-LONG_WORD = 100
+#: Bytes of a worker's store of pieces, at about PIECE_BYTES for each besides its tokens; bits of its table of first choices.
+MOST_STORE_BYTES, PIECE_BYTES, SLOT_BITS = 64_000_000, 32, 21
+SLICE_BYTES = 8_000_000
 
-WORDS = re.compile(r"[^ \t\r\n]+|\n")
+LAST = frozenset(".!?…。！？।\"'”’)]»")
 END = re.compile(r"[.!?…。！？।]+[\"'”’)\]»]*$")
 
+# Classes of bytes: white space but line breaks, line breaks, ASCII letters, other ASCII marks and digits.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[32, 9, 13]] = 0
+_KIND[10] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[[*range(33, 65), *range(91, 97), *range(123, 127)]] = 3
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -50,66 +60,116 @@ class Costs:
         return 0 if length & (length - 1) == 0 else self.capacity - length
 
 
+def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the pieces that are tokenised apart, of UTF-8 texts that lie one behind the other.
+
+    Neither the vocabulary's normaliser nor its splitter joins anything across two of them. Texts are cut at white space, a line
+    break being a piece, and behind an ASCII letter before another ASCII mark, where the splitter always ends a word. Only texts
+    that may hold the name of a special token are cut at white space alone.
+    """
+    kind = _KIND[data]
+    inside, line = kind > 0, kind == 1
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[:-1] == 2) & (kind[1:] == 3)
+    marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for k in np.unique(np.searchsorted(bounds, marks, "right") - 1):
+        cut[bounds[k] + 1 : bounds[k + 1]] = False
+    cut[1:] |= np.append(line[1:], False) | line | ~inside
+    cut[bounds] = True
+    begins = np.flatnonzero(inside & cut[:-1])
+    return begins, np.flatnonzero(inside & (cut[1:] | np.append(~inside[1:], True))) + 1
+
+
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left = ends - begins
+    out = [left.astype(np.uint64) * m for m in _MIX]
+    rows, at = np.arange(len(begins)), begins
+    while len(rows):
+        size = left[rows]
+        word = eights[at] & (~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64)))
+        for h, m in zip(out, _MIX[::-1]):
+            x = (h[rows] ^ word) * m
+            h[rows] = x ^ (x >> np.uint64(31))
+        left[rows] -= 8
+        more = size > 8
+        rows, at = rows[more], at[more] + 8
+    return out[0], out[1]
+
+
 class Words:
-    """Token numbers of white-space-separated words. Neither the normaliser nor the splitter of the vocabulary joins anything
-    across ASCII white space, so a text's tokens are its words' tokens in order, and words repeat."""
+    """Token numbers of pieces of texts, by the tokenizers library. Pieces repeat, so a bounded number of bytes of them is kept, known
+    by 128 bits of hash; when it is used up those met least go."""
 
     def __init__(self, spec: str):
         self.tool = Tokenizer.from_str(spec)
         self.tool.no_truncation()
         self.tool.no_padding()
-        self.reset()
-
-    def reset(self) -> None:
-        self.places: dict[str, int] = {"\n": 0}
-        self.sizes, self.starts, self.ends = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool)
-        self.tokens, self.held = np.zeros(0, np.uint32), 0
-
-    def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tool.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.places)
-        self.places.update((w, first + i) for i, w in enumerate(words))
-        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ends = np.concatenate([self.ends, np.fromiter((END.search(w) is not None for w in words), bool, len(words))])
-        self.tokens = np.concatenate([self.tokens, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
-        self.held += sum(map(len, words))
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers, and the places behind the ends of sentences and lines."""
-        words = WORDS.findall(text)
-        if self.held > MOST_CHARACTERS:
-            self.reset()
-        at = np.fromiter((self.places.get(w, -1) for w in words), np.int64, len(words))
-        unseen = {words[k] for k in np.flatnonzero(at < 0)}
-        if long := {w for w in unseen if len(w) > LONG_WORD}:
-            return self._mixed(words, long)
-        if unseen:
-            self.learn(list(unseen))
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        tokens = self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-        return tokens, ends[self.ends[at]]
-
-    def _mixed(self, words: list[str], long: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A text with words too long to keep: these are encoded where they stand."""
-        tokens, ends, size, run = [], [], 0, []
-        for word in [*words, None]:
-            if word is not None and word not in long:
-                run.append(word)
-                continue
-            parts = [self.encode(" ".join(run))] if run else []
-            if word is not None:
-                ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, np.uint32)
-                parts.append((ids, np.array([len(ids)] if END.search(word) else [], np.int64)))
-            for ids, stops in parts:
-                tokens.append(ids)
-                ends.append(stops + size)
-                size += len(ids)
-            run = []
-        return np.concatenate(tokens), np.concatenate(ends)
+        self._keep(*[np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, np.int32, np.uint32)])
+
+    def _keep(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, stop: np.ndarray, hits: np.ndarray, tokens: np.ndarray) -> None:
+        """Store these pieces, ``tokens`` in their order; the last of each slot is found at once, the others by search."""
+        self.key, self.check, self.size, self.stop, self.hits, self.tokens = key, check, size, stop, hits, tokens
+        self.start = np.cumsum(size, dtype=np.int64) - size
+        self.order = np.argsort(key)
+        self.sorted = key[self.order]
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(len(key), dtype=np.int32)
+        self.held = PIECE_BYTES * len(key) + 4 * len(tokens)
+
+    def _forget_rare(self) -> None:
+        order = np.argsort(-self.hits, kind="stable")
+        keep = np.sort(order[np.cumsum(PIECE_BYTES + 4 * self.size[order]) <= MOST_STORE_BYTES // 2])
+        self._keep(self.key[keep], self.check[keep], self.size[keep], self.stop[keep], self.hits[keep] // 2, self._tokens(keep))
+
+    def _tokens(self, at: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(self.size[at], dtype=np.int64)
+        return self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - self.size[at]), self.size[at])]
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Places in the store; -1: not there."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = self.slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
+        other = np.flatnonzero(self.key[at] != key)
+        found = np.minimum(np.searchsorted(self.sorted, key[other]), len(self.sorted) - 1)
+        at[other] = np.where(self.sorted[found] == key[other], self.order[found], -1)
+        return np.where((at >= 0) & (self.check[at] == check), at, -1)
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the UTF-8 texts between ``bounds`` its token numbers, and the places behind the ends of sentences and lines."""
+        if self.held > MOST_STORE_BYTES:
+            self._forget_rare()
+        begins, ends = pieces(data, bounds)
+        key, check = hashes(data, begins, ends)
+        at = self._find(key, check)
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            _, first = np.unique(key[unseen], return_index=True)
+            new = unseen[first]
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(begins[new].tolist(), ends[new].tolist())]
+            found = [e.ids for e in self.tool.encode_batch(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            tokens = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            stops = np.array([w == "\n" or w[-1] in LAST and END.search(w) is not None for w in words], bool)
+            more = key[new], check[new], sizes, stops, np.zeros(len(new), np.int32), tokens
+            self._keep(*[np.concatenate(x) for x in zip((self.key, self.check, self.size, self.stop, self.hits, self.tokens), more)])
+            at[unseen] = self._find(key[unseen], check[unseen])
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
+        tokens, upto, stop = self._tokens(at), np.cumsum(self.size[at], dtype=np.int64), np.flatnonzero(self.stop[at])
+        edge = np.searchsorted(begins, bounds)
+        token_bounds, cut = np.concatenate([[0], upto])[edge], np.searchsorted(stop, edge)
+        return [(tokens[a:b], upto[stop[c:d]] - a) for a, b, c, d in zip(token_bounds, token_bounds[1:], cut, cut[1:])]
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of an Arrow column of texts, and where each begins and the last ends."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
 
 
 def places(stops: list[np.ndarray], sizes: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +292,17 @@ def packed(documents: DataFrame, vocabulary_path: str, end: int, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, held, number = _tool(spec), Run(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i in range(batch.num_rows):
-                tokens, stops = tool.encode(batch.column(1)[i].as_py() or "")
-                held.add(batch.column(0)[i : i + 1], np.concatenate([tokens, stop]), stops)
-                if held.size >= run_tokens:
-                    pieces, number = held.packed(number, costs, with_ids)
-                    held = Run()
-                    yield pieces
+            for part in slices(batch, 1, SLICE_BYTES):
+                for i, (tokens, stops) in enumerate(tool.encode(*_bytes(part.column(1)))):
+                    held.add(part.column(0)[i : i + 1], np.concatenate([tokens, stop]), stops)
+                    if held.size >= run_tokens:
+                        pieces, number = held.packed(number, costs, with_ids)
+                        held = Run()
+                        yield pieces
         if held.size:
             yield held.packed(number, costs, with_ids)[0]
 
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ordered.mapInArrow(run, schema + ", ids array<int>" * with_ids)

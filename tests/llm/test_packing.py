@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -56,23 +57,49 @@ ODD = [
 ]
 
 
-def test_words_give_the_library_s_tokens(library):
+def encoded(words, texts):
+    return words.encode(*packing._bytes(pa.array(["skipped", *texts], pa.string())[1:]))
+
+
+def test_pieces_give_the_library_s_tokens(library):
     words = packing.Words(open(PATH, encoding="utf-8").read())
     rng = random.Random(3)
-    marks = [*" \n\t\r.,!?'\"<|>aAbzé̸́ 　中0٣İΣß🙂", "<|endoftext|>", "'s", "word", "x" * 120]
-    for text in [t or "" for t in ODD] + ["".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(3000)]:
-        ids, stops = words.encode(text)
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
-        assert (np.diff(stops) >= 0).all() and (not len(stops) or stops[-1] <= len(ids))
+    marks = [*" \n\t\r.,!?'\"<|>aAbzé̸́ 　中0٣İΣß🙂", "<|endoftext|>", "'s", "word", "x" * 120]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(3000)]
+    for at in range(0, len(texts), 70):
+        for text, (ids, stops) in zip(texts[at : at + 70], encoded(words, texts[at : at + 70])):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+            assert (np.diff(stops) >= 0).all() and (not len(stops) or 0 <= stops[0] and stops[-1] <= len(ids))
+
+
+def test_pieces_and_hashes():
+    text = "It's one,two.\n\n  é.b c"
+    data, bounds = packing._bytes(pa.array([text, "", "d" * 40, "x<|a|>b,c"]))
+    begins, ends = packing.pieces(data, bounds)
+    cut = [data[a:b].tobytes().decode() for a, b in zip(begins, ends)]
+    assert cut == ["It", "'s", "one", ",two", ".", "\n", "\n", "é.b", "c", "d" * 40, "x<|a|>b,c"]
+    words = [b"%d" % i * (1 + i % 9) for i in range(5000)] + [b"a" * n for n in range(1, 300)]
+    ends = np.cumsum([len(w) for w in words])
+    key, check = packing.hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert len(set(key.tolist())) == len(set(check.tolist())) == len(set(words))
+
+
+def test_ends_of_sentences():
+    words = packing.Words(open(PATH, encoding="utf-8").read())
+    (ids, stops), (_, none) = encoded(words, ['One two. "Three!"\nfour', "no end"])
+    assert len(ids) == 7 and stops.tolist() == [3, 6, 6] and none.tolist() == []
 
 
-def test_word_store_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_CHARACTERS", 50)
+@pytest.mark.parametrize("bits", [1, 21])
+def test_store_is_bounded(library, monkeypatch, bits):
+    monkeypatch.setattr(packing, "MOST_STORE_BYTES", 2000)
+    monkeypatch.setattr(packing, "SLOT_BITS", bits)
     words = packing.Words(open(PATH, encoding="utf-8").read())
     for i in range(40):
-        text = f"some words{i}, more{i * i}."
-        assert words.encode(text)[0].tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(words.places) < 20
+        texts = [f"some words{i}, more{i * i}.", "some " + "long" * 200 * (i % 2)]
+        assert [e[0].tolist() for e in encoded(words, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert words.held < 2000 + 2000
+    assert words._find(*packing.hashes(np.frombuffer(b"some", np.uint8), np.array([0]), np.array([4]))) >= 0
 
 
 @pytest.mark.parametrize("seed", range(40))
