@@ -121,7 +121,7 @@ def feature_importances(model, df: DataFrame, features: Sequence[str]) -> DataFr
 
 def logistic_on_score(df: DataFrame, score: str, label: str):
     """Logistic regression of the label on one score."""
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0, tol=1e-10, maxIter=200)
     return model.fit(assemble(df, [score]).select("_x", F.col(label).cast("double").alias(label)))
 
 

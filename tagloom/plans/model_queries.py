@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tagging as tag
 from tagloom.functions.transforms import fixed
-from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, weights
+from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, training, weights
 from tagloom.operators.sampling import hash_split
 from tagloom.plans import bindings as b
 from tagloom.plans.column_queries import K, src
@@ -124,31 +124,51 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({"label": label, "held": (F.col("entry") % 5 == 0).cast("int")})
 
 
+NET_PLAN = training.Plan((16, 16), learning_rate=1e-2, batch_size=4096, dropout=0.1, min_delta=1e-3)
+NET_GRID = training.grid([1e-4, 1e-3, 1e-2], [2048, 4096, 8192], [1, 2, 3], [3, 8, 16], dropout=0.1, min_delta=3e-3)
+
+
 @query("M9_nn_train")
 def nn_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Loss per epoch of a short training."""
+    """Losses by epoch of a mini-batch training with dropout, up to its early stop."""
     df = training_rows(spark, sf)
-    return networks.train(df, NET_INPUTS, "label", "held", hidden=(8, 8), learning_rate=0.02, epochs=5).loss_table(df)
+    return training.train(df, NET_INPUTS, "label", "held", b.ROW_KEYS, NET_PLAN).loss_table(df)
+
+
+def _logistic_sql(steps: int = 12) -> str:
+    """Newton's method on the likelihood of intercept and slope."""
+    net = _net_sql(src(*NET_INPUTS), list(NET_INPUTS), NET, K + ", (prob + B_Tr_T_PROBNN_K + (track_part % 7) / 1e1 > 1.3) AS label")
+    for depth in range(len(NET.layers) - 1):  # the label is made with the first layer and carried on
+        net = net.replace("(prob + B_Tr_T_PROBNN_K + (track_part % 7) / 1e1 > 1.3) AS label", "label", 1)
+    net = net.replace("round(1e0 / (1e0 + exp(-", "(1e0 / (1e0 + exp(-").replace("))), 8) AS prob_nn", ")))) AS prob_nn")
+    ctes = [f"n AS MATERIALIZED (SELECT label::INT AS label, prob_nn AS nn FROM ({net}))", "b0 AS (SELECT 0e0 AS a, 0e0 AS s)"]
+    for i in range(steps):
+        sums = "sum(label - p) AS g0, sum((label - p) * nn) AS g1, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * nn) AS h1, sum(p * (1 - p) * nn * nn) AS h2"
+        ctes.append(f"c{i} AS (SELECT any_value(a) AS a, any_value(s) AS s, {sums} FROM (SELECT *, 1e0 / (1e0 + exp(-a - s * nn)) AS p FROM n, b{i}))")
+        ctes.append(f"b{i + 1} AS (SELECT a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, s + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS s FROM c{i})")
+    return (
+        f"WITH {', '.join(ctes)} SELECT label, count(*) AS n, round(avg(nn), 6) + 0e0 AS mean_score, round(avg(1e0 / (1e0 + exp(-a - s * nn))), 5) + 0e0 AS mean_probability "
+        f"FROM n, b{steps} GROUP BY label"
+    )
 
 
-@query("M10_logreg_on_score")
+@query("M10_logreg_on_score", _logistic_sql())
 def logreg_on_score(spark: SparkSession, sf: str) -> DataFrame:
     """Regression of the label on the network output; the score distribution before and after."""
     df = training_rows(spark, sf)
     scored = networks.score_columns(df, NET_INPUTS, NET, "nn").select("nn", "label")
     model = models.logistic_on_score(scored, "nn", "label")
-    return models.predict(model, scored, ["nn"], "p").groupBy("label").agg(
+    sums = models.predict(model, scored, ["nn"], "p").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("nn").alias("mean_score"), F.avg("p").alias("mean_probability")
     )
+    return rounded(rounded(sums, "mean_score", digits=6), "mean_probability", digits=5)
 
 
 @query("M11_grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All 81 networks of the grid, trained in one scan an epoch, each up to its own stop."""
     df = training_rows(spark, sf)
-    found = models.parameter_scan(df, NET_INPUTS, "label", [[4], [4, 4]], [0.03, 0.1], iterations=8)
-    ranked = found.withColumn("sigma", F.lit(0.01))
-    ties = ["numlayers", "numneurons", "learning_rate"]
-    return stats.best_candidate(ranked, [], "auc", "sigma", "nominal", ties).select(*ties, "auc")
+    return training.scan_table(df, NET_GRID, training.train_many(df, NET_INPUTS, "label", "held", b.ROW_KEYS, NET_GRID))
 
 
 # trees --------------------------------------------------------------------------------------------------
