@@ -1,8 +1,7 @@
-"""Tree and linear models on Spark ML, tree-to-cut export, two-fold scoring and parameter scans."""
+"""Tree and linear models on Spark ML, tree-to-cut export, and two-fold scoring."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
@@ -11,15 +10,13 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators import trees
 from tagloom.operators.cuts import SIMULATION_SIGNAL_TERM, cut_predicate, gated_score
 from tagloom.operators.ranking import bounded_local, join_null_safe
 
@@ -56,38 +53,29 @@ def train_tree(
     min_gain: float = 0.009,
     balanced: bool = True,
     seed: int = 42,
+    bins: int = 32,
 ) -> DecisionTreeClassificationModel:
-    """Class-balanced decision tree; rows stay distributed, splits come from binned statistics."""
+    """Class-balanced decision tree; rows stay distributed, splits come from statistics in ``bins`` bins a feature.
+
+    A feature with no more distinct values than bins is split exactly."""
     work = class_weights(df, label) if balanced else df.withColumn("class_weight", F.lit(1.0))
     work = assemble(work, features).select("_x", label, "class_weight")
     tree = DecisionTreeClassifier(
-        featuresCol="_x", labelCol=label, weightCol="class_weight", maxDepth=depth, minInfoGain=min_gain, seed=seed
+        featuresCol="_x", labelCol=label, weightCol="class_weight", maxDepth=depth, minInfoGain=min_gain, maxBins=bins, seed=seed
     )
     return tree.fit(work)
 
 
-def tree_paths(model: DecisionTreeClassificationModel, features: Sequence[str], names: Sequence[str]) -> dict[str, list[str]]:
-    """Root-to-leaf conditions by predicted class, thresholds with four decimals.
+def tree_paths(model: DecisionTreeClassificationModel, df: DataFrame, features: Sequence[str], names: Sequence[str]) -> dict[str, list[str]]:
+    """Root-to-leaf conditions by predicted class, thresholds with four decimals, all tests of one feature merged.
 
-    Every path ends with the term that excludes the signal's own tracks. Read from the model's
-    printed form, whose size is bounded by the tree depth.
+    Every path ends with the term that excludes the signal's own tracks. ``df`` gives the session; a tree has few leaves.
     """
+    lines = trees.cut_lines(trees.path_limits(trees.node_table(model, df), model.depth), features)
     paths: dict[str, list[str]] = {}
-    stack: list[str] = []
-    for line in model.toDebugString.splitlines()[1:]:
-        depth = (len(line) - len(line.lstrip())) - 2
-        branch = re.match(r"\s*(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
-        leaf = re.match(r"\s*Predict: (\S+)", line)
-        if branch:
-            feature, side, threshold = features[int(branch[1])], branch[2], float(branch[3])
-            del stack[depth:]
-            stack.append(f"({feature} {side} {threshold:.4f})")
-        elif leaf:
-            del stack[depth:]
-            name = names[int(float(leaf[1]))]
-            paths.setdefault(name, []).append(" & ".join([*stack, SIMULATION_SIGNAL_TERM]))
-        else:
-            raise ValueError(f"unknown node in the tree: {line.strip()!r}")
+    for row in lines.orderBy("node").collect():
+        text = " & ".join([row["line"], SIMULATION_SIGNAL_TERM] if row["line"] else [SIMULATION_SIGNAL_TERM])
+        paths.setdefault(names[int(row["prediction"])], []).append(text)
     return paths
 
 
@@ -139,31 +127,9 @@ def two_fold_models(df: DataFrame, features: Sequence[str], label: str, number:
 def two_fold_score(df: DataFrame, models: Mapping[int, Model], features: Sequence[str], number: str, passed: Column, out: str = "score") -> DataFrame:
     """Score every row with the model that did not see its parity; gated rows get the default.
 
-    Each model scores only its own half; a row without a number counts as odd.
+    Both ensembles are expressions over the features, so it is one projection of one scan. A row without a number counts as odd.
     """
-    ready, parity = assemble(df, features), F.coalesce(F.pmod(F.col(number), F.lit(2)), F.lit(1))
-    halves = [positive_probability(models[p].transform(ready.filter(parity == p)), "_s") for p in (0, 1)]
-    scored = halves[0].unionByName(halves[1])
-    return scored.withColumn(out, gated_score(F.col("_s"), passed)).select(*df.columns, out)
-
-
-def parameter_scan(
-    df: DataFrame, features: Sequence[str], label: str, layers: Sequence[Sequence[int]], steps: Sequence[float], iterations: int = 20, parallelism: int = 4, seed: int = 42
-) -> DataFrame:
-    """Area under the curve for every (hidden layers, step size) of a perceptron, held-out part."""
-    work = assemble(df, features).select("_x", F.col(label).cast("double").alias("_y")).persist()
-    net = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", maxIter=iterations, seed=seed, solver="gd")
-    shapes = [[len(features), *hidden, 2] for hidden in layers]
-    grid = ParamGridBuilder().addGrid(net.layers, shapes).addGrid(net.stepSize, list(steps)).build()
-    judge = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="_y")
-    try:
-        search = TrainValidationSplit(
-            estimator=net, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, parallelism=parallelism, seed=seed
-        )
-        found = search.fit(work).validationMetrics
-    finally:
-        work.unpersist()
-    rows = [
-        (len(p[net.layers]) - 2, int(p[net.layers][1]), float(p[net.stepSize]), float(auc)) for p, auc in zip(grid, found)
-    ]
-    return df.sparkSession.createDataFrame(rows, "numlayers int, numneurons int, learning_rate double, auc double")
+    parity = F.coalesce(F.pmod(F.col(number), F.lit(2)), F.lit(1))
+    named = [f"`{f}`" for f in features]
+    score = [F.expr(trees.compiled(models[p], df, named)) for p in (0, 1)]
+    return df.withColumn(out, gated_score(F.when(parity == 0, score[0]).otherwise(score[1]), passed))

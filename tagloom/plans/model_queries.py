@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import tagging as tag
 from tagloom.functions.transforms import fixed
-from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, training, weights
+from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, training, trees, weights
 from tagloom.operators.sampling import hash_split
 from tagloom.plans import bindings as b
+from tagloom.plans import tree_sql
 from tagloom.plans.column_queries import K, src
 from tagloom.plans.event_queries import PER_TAGGER, per_tagger_events
 from tagloom.plans.flagship import FIGURES, performance_sql, rounded
@@ -184,22 +185,20 @@ def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumn("code", models.class_codes(TREE_CLASSES, F.col("particle")))
 
 
-@query("M1_dt_train")
-def dt_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature importances of the class-balanced tree."""
-    df = tree_rows(spark, sf)
-    return models.feature_importances(models.train_tree(df, TREE_INPUTS, "code"), df, TREE_INPUTS)
+TREE_BINS = 64  # more than the distinct values of any input: the library then tries every split
+TREE_SOURCE = f"SELECT {K}, {TREE_TRUTH} AS particle, {', '.join(TREE_INPUTS)}, B_Tr_T_Origin_Flag FROM {src(*TREE_INPUTS, 'B_Tr_T_Origin_Flag')} v"
+CODE_SQL = "CASE particle " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(TREE_CLASSES)) + " END"
+BALANCED_ROWS = f"""SELECT row_number() OVER () AS id, *, {CODE_SQL} AS code, count(*) OVER () / (SELECT count(DISTINCT particle) FROM ({TREE_SOURCE})) / CAST(count(*) OVER (PARTITION BY particle) AS DOUBLE) AS w
+  FROM ({TREE_SOURCE})"""
+GROWN = tree_sql.grown(BALANCED_ROWS, TREE_INPUTS, len(TREE_CLASSES), 6, 0.009)
 
 
-@query("M2_dt_to_cuts")
-def dt_to_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks per class passing the exported cut texts, against the tree's own prediction."""
+@query("M1_dt_train", tree_sql.importances(GROWN, TREE_INPUTS))
+def dt_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature importances of the class-balanced tree."""
     df = tree_rows(spark, sf)
-    model = models.train_tree(df, TREE_INPUTS, "code")
-    texts = models.cut_texts(models.tree_paths(model, TREE_INPUTS, TREE_CLASSES))
-    scored = models.apply_cut_texts(models.assemble(df, TREE_INPUTS), texts)
-    scored = model.transform(scored).withColumn("predicted", models.class_names(TREE_CLASSES, F.col("prediction")))
-    return scored.filter("B_Tr_T_Origin_Flag <> 0").groupBy("predicted", "cut_class").agg(F.count(F.lit(1)).alias("n"))
+    model = models.train_tree(df, TREE_INPUTS, "code", bins=TREE_BINS)
+    return rounded(models.feature_importances(model, df, TREE_INPUTS), "importance", digits=6)
 
 
 @query(
@@ -214,6 +213,24 @@ def class_weight_sums(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sums, "total_weight", digits=6)
 
 
+NAMED = f"CASE prediction {' '.join(f'WHEN {i} THEN {chr(39)}{c}{chr(39)}' for i, c in enumerate(TREE_CLASSES))} END"
+
+
+@query(
+    "M2_dt_to_cuts",
+    f"""WITH {', '.join(GROWN)}, src AS MATERIALIZED ({BALANCED_ROWS})
+      SELECT {NAMED} AS predicted, {NAMED} AS cut_class, count(*) AS n FROM src JOIN leaf USING (id) WHERE B_Tr_T_Origin_Flag <> 0 GROUP BY prediction""",
+)
+def dt_to_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks per class passing the exported cut texts, against the tree's own prediction."""
+    df = tree_rows(spark, sf)
+    model = models.train_tree(df, TREE_INPUTS, "code", bins=TREE_BINS)
+    texts = models.cut_texts(models.tree_paths(model, df, TREE_INPUTS, TREE_CLASSES))
+    scored = models.apply_cut_texts(models.assemble(df, TREE_INPUTS), texts)
+    scored = model.transform(scored).withColumn("predicted", models.class_names(TREE_CLASSES, F.col("prediction")))
+    return scored.filter("B_Tr_T_Origin_Flag <> 0").groupBy("predicted", "cut_class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("M2_cuts_reproduce_tree", f"SELECT CAST(count(*) AS BIGINT) AS tracks, CAST(0 AS BIGINT) AS differing FROM {src('B_Tr_T_Origin_Flag')} WHERE B_Tr_T_Origin_Flag <> 0")
 def cuts_reproduce_tree(spark: SparkSession, sf: str) -> DataFrame:
     """The exported cut texts select exactly the tracks that the tree gives to each class."""
@@ -243,60 +260,137 @@ def dt_eval_sums(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(parts[0].unionByName(parts[1]), "total", digits=9)
 
 
-@query("M4_dt_binary_pid_importances")
+PID_SOURCE = f"""SELECT row_number() OVER () AS id, *, CASE WHEN particle = 'OSKaon' THEN 1 ELSE 0 END AS code, CASE WHEN subset = 'train' THEN 1e0 ELSE 0e0 END AS w
+  FROM (SELECT *, CASE WHEN CAST(('0x' || substr(md5(concat_ws('_', {K}, '42')), 1, 8)) AS BIGINT) < {int(0.7 * 16**8)} THEN 'train' ELSE 'test' END AS subset FROM ({TREE_SOURCE}))"""
+PID_GROWN = tree_sql.grown(PID_SOURCE, TREE_INPUTS, 2, 5, 0.0)
+PID_SCORES = f"src AS MATERIALIZED ({PID_SOURCE}), sc AS (SELECT subset, src.code, leaf.c1 / leaf.w AS score FROM src JOIN leaf USING (id))"
+
+
+def pid_split(spark: SparkSession, sf: str) -> DataFrame:
+    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
+    return hash_split(df, b.ROW_KEYS, {"train": 0.7, "test": 0.3}, 42)
+
+
+def pid_tree(split: DataFrame):
+    train = split.filter("subset = 'train'")
+    return models.train_tree(train, TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False, bins=TREE_BINS)
+
+
+@query("M4_dt_binary_pid_importances", tree_sql.importances(PID_GROWN, TREE_INPUTS))
 def dt_binary_pid_importances(spark: SparkSession, sf: str) -> DataFrame:
     """Feature importances of the kaon identification tree."""
-    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
-    train = hash_split(df, b.ROW_KEYS, {"train": 0.7, "test": 0.3}, 42).filter("subset = 'train'")
-    model = models.train_tree(train, TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False)
-    return models.feature_importances(model, df, TREE_INPUTS)
+    split = pid_split(spark, sf)
+    return rounded(models.feature_importances(pid_tree(split), split, TREE_INPUTS), "importance", digits=6)
 
 
-@query("M4_dt_binary_pid_roc")
+@query(
+    "M4_dt_binary_pid_roc",
+    f"""WITH {', '.join(PID_GROWN)}, {PID_SCORES}, v AS (SELECT round(score, 9) AS s, count(*) FILTER (code = 1) AS p, count(*) FILTER (code = 0) AS m FROM sc WHERE subset = 'test' GROUP BY ALL),
+      r AS (SELECT s, sum(p) OVER w AS tp, sum(m) OVER w AS fp, sum(p) OVER () AS np, sum(m) OVER () AS nm FROM v WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+      SELECT s AS score, round(CAST(fp AS DOUBLE) / nm, 8) AS fpr, round(CAST(tp AS DOUBLE) / np, 8) AS tpr FROM r
+      UNION ALL SELECT CAST(NULL AS DOUBLE), 0e0, 0e0""",
+)
 def dt_binary_pid_roc(spark: SparkSession, sf: str) -> DataFrame:
     """ROC points of that tree on the test sample."""
-    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
-    split = hash_split(df, b.ROW_KEYS, {"train": 0.7, "test": 0.3}, 42)
-    model = models.train_tree(split.filter("subset = 'train'"), TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False)
-    return stats.roc_curve(models.predict(model, split.filter("subset = 'test'"), TREE_INPUTS), "score", "target")
+    split = pid_split(spark, sf)
+    scored = rounded(models.predict(pid_tree(split), split.filter("subset = 'test'"), TREE_INPUTS), "score", digits=9)
+    return rounded(stats.roc_curve(scored, "score", "target"), "fpr", "tpr", digits=8)
 
 
-@query("M3_dt_eval")
+@query(
+    "M3_dt_eval",
+    f"""WITH {', '.join(GROWN)}, src AS MATERIALIZED ({BALANCED_ROWS}), p AS (SELECT particle AS truth, prediction FROM src JOIN leaf USING (id)), t AS (SELECT truth, count(*) AS n FROM p GROUP BY truth)
+      SELECT truth, {', '.join(f"CASE WHEN any_value(n) > 0 THEN printf('%.2f', 100e0 * count(*) FILTER (prediction = {i}) / any_value(n)) ELSE 'Not predicted' END AS {c}" for i, c in enumerate(TREE_CLASSES))}
+      FROM p JOIN t USING (truth) GROUP BY truth""",
+)
 def dt_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Confusion table of the tree normalised by truth."""
     df = tree_rows(spark, sf)
-    model = models.train_tree(df, TREE_INPUTS, "code")
+    model = models.train_tree(df, TREE_INPUTS, "code", bins=TREE_BINS)
     scored = model.transform(models.assemble(df, TREE_INPUTS))
     scored = scored.withColumn("predicted", models.class_names(TREE_CLASSES, F.col("prediction")))
     return stats.confusion_table(scored, "particle", "predicted", TREE_CLASSES)
 
 
-@query("M4_dt_binary_pid")
+@query(
+    "M4_dt_binary_pid",
+    f"""WITH {', '.join(PID_GROWN)}, {PID_SCORES}, v AS (SELECT subset, round(score, 9) AS s, count(*) FILTER (code = 1) AS p, count(*) FILTER (code = 0) AS m FROM sc GROUP BY ALL),
+      r AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY subset ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v)
+      SELECT subset, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(m) AS BIGINT) AS negatives, round(sum(p * (below + 5e-1 * m)) / (sum(p) * CAST(sum(m) AS DOUBLE)), 8) AS auc FROM r GROUP BY subset""",
+)
 def dt_binary_pid(spark: SparkSession, sf: str) -> DataFrame:
     """Area under the curve of a depth-5 kaon identification tree on both hash-split samples."""
-    df = tree_rows(spark, sf).withColumn("target", (F.col("particle") == "OSKaon").cast("double"))
-    parts = {"train": 0.7, "test": 0.3}
-    split = hash_split(df, b.ROW_KEYS, parts, 42).persist()
+    split = pid_split(spark, sf).persist()
     try:
-        model = models.train_tree(split.filter("subset = 'train'"), TREE_INPUTS, "target", depth=5, min_gain=0.0, balanced=False)
-        out = None
-        for name in parts:
-            scored = models.predict(model, split.filter(F.col("subset") == name), TREE_INPUTS)
+        model, out = pid_tree(split), None
+        for name in ("train", "test"):
+            scored = rounded(models.predict(model, split.filter(F.col("subset") == name), TREE_INPUTS), "score", digits=9)
             auc = stats.roc_auc(scored, "score", "target").withColumn("subset", F.lit(name))
             out = auc if out is None else out.unionByName(auc)
-        return out
+        return rounded(out, "auc")
     finally:
         split.unpersist()
 
 
+def bdt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    target = F.expr(f"CASE WHEN ({TREE_TRUTH}) = 'OSKaon' THEN 1 ELSE 0 END")
+    return b.tracks(spark, sf, *TREE_INPUTS, "B_Tr_T_OWNPVIPCHI2", "B_Tr_T_OWNPVIP").withColumn("target", target)
+
+
+def bdt_gate() -> Column:
+    return cuts.quality_passed(F.col("B_Tr_T_OWNPVIPCHI2") - 10.0, F.col("B_Tr_T_OWNPVIP"))
+
+
 @query("M12_bdt_two_fold_score")
 def bdt_two_fold_score(spark: SparkSession, sf: str) -> DataFrame:
-    df = b.tracks(spark, sf, *TREE_INPUTS, "B_Tr_T_OWNPVIPCHI2", "B_Tr_T_OWNPVIP").withColumn(
-        "target", F.expr(f"CASE WHEN ({TREE_TRUTH}) = 'OSKaon' THEN 1 ELSE 0 END")
-    )
-    fitted = models.two_fold_models(df, TREE_INPUTS, "target", "entry", trees=3, depth=3)
-    passed = cuts.quality_passed(F.col("B_Tr_T_OWNPVIPCHI2") - 10.0, F.col("B_Tr_T_OWNPVIP"))
-    return models.two_fold_score(df, fitted, TREE_INPUTS, "entry", passed).select(*b.ROW_KEYS, "score")
+    """Score of every track by the ensemble of 20 trees fitted to the other parity."""
+    df = bdt_rows(spark, sf)
+    fitted = models.two_fold_models(df, TREE_INPUTS, "target", "entry")
+    return models.two_fold_score(df, fitted, TREE_INPUTS, "entry", bdt_gate()).select(*b.ROW_KEYS, "score")
+
+
+@query("M12_compiled_equals_library", f"SELECT count(*) AS tracks, CAST(0 AS BIGINT) AS differing FROM {src('prob')} v")
+def compiled_equals_library(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks whose score by the compiled ensemble differs from the library's own prediction."""
+    df = bdt_rows(spark, sf)
+    model = models.two_fold_models(df, TREE_INPUTS, "target", "entry")[0]
+    both = models.predict(model, df, TREE_INPUTS, "library").withColumn("compiled", F.expr(trees.compiled(model, df, TREE_INPUTS)))
+    wrong = F.when(F.abs(F.col("library") - F.col("compiled")) > 1e-12, 1).otherwise(0)
+    return both.agg(F.count(F.lit(1)).alias("tracks"), F.sum(wrong).cast("long").alias("differing"))
+
+
+def made_ensemble(trees_: int = 20) -> list[Row]:
+    """Nodes of full trees of depth 3 by a rule; the tests lie in each feature's range, the leaves between -0.4 and 0.4."""
+    top, rows = (1.0, 1.0, 1.0, 19.0, 25.0), []
+    for t in range(trees_):
+        for n in range(15):
+            f, share = (t * 7 + n * 3) % 5, ((t * 31 + n * 17) % 97 + 1) / 98
+            leaf = n >= 7
+            rows.append(
+                Row(tree=t, node=n, left=-1 if leaf else 2 * n + 1, right=-1 if leaf else 2 * n + 2, feature=None if leaf else f, threshold=None if leaf else share * top[f], prediction=((t * 13 + n * 29) % 41 - 20) / 50)
+            )
+    return rows
+
+
+def _walk_sql() -> str:
+    """The same trees walked as a table of nodes, a join a level."""
+    number = lambda x: "NULL" if x is None else f"{x:.17e}" if isinstance(x, float) else str(x)
+    values = ", ".join(f"({', '.join(number(r[c]) for c in ('tree', 'node', 'left', 'feature', 'threshold', 'prediction'))})" for r in made_ensemble())
+    value = "CASE feature " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(TREE_INPUTS)) + " END"
+    ctes = [f"nodes(tree, node, l, feature, threshold, prediction) AS (VALUES {values})", f"t AS MATERIALIZED (SELECT {K}, {', '.join(TREE_INPUTS)} FROM {src(*TREE_INPUTS)} v)"]
+    ctes.append("w0 AS (SELECT t.*, tree, 0 AS node FROM t, (SELECT DISTINCT tree FROM nodes))")
+    for d in range(3):
+        ctes.append(f"w{d + 1} AS (SELECT w.* REPLACE (CASE WHEN {value} <= threshold THEN l ELSE l + 1 END AS node) FROM w{d} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)")
+    weight = "CASE WHEN w.tree = 0 THEN 1e0 ELSE 1e-1 END"
+    return f"WITH {', '.join(ctes)} SELECT {K}, round(1e0 / (1e0 + exp(-2e0 * sum({weight} * prediction))), 9) AS score FROM w3 w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY {K}"
+
+
+@query("M12_compiled_score", _walk_sql())
+def compiled_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a fixed ensemble of 20 trees, compiled; the check walks its node table."""
+    text = trees.ensemble_text(made_ensemble(), [1.0] + [0.1] * 19, TREE_INPUTS)
+    df = b.tracks(spark, sf, *TREE_INPUTS).withColumn("score", F.expr(text))
+    return rounded(df, "score", digits=9).select(*b.ROW_KEYS, "score")
 
 
 MVA = "o_orderkey AS entry, 4.9e3 + o_totalprice / 5e2 AS mass, 255500 + o_orderkey % 400 AS run, CAST(o_custkey % 2 AS INT) AS mc"
