@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, ctw, decontaminate, htmltext, linededup, manifest, packing, quantiser, simhash, toxicity, treapsearch, urlfilter, warc
@@ -170,11 +170,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id").withColumn("bits_per_byte", F.col("score") / (F.col("n_bytes") + 1) * float(-1 / math.log10(2)))
 
 
-def damaged_replica(archive: DataFrame) -> DataFrame:
-    """A replica with bit rot: by its hash one record in 64 has its first byte changed, is overwritten or is lost."""
-    fate = F.substring(F.sha2("record", 256), 9, 2)
-    record = F.when(fate == "00", F.concat(F.lit("X"), F.expr("substring(record, 2)"))).when(fate == "01", F.expr("repeat('#', octet_length(record))"))
-    return archive.withColumn("fate", fate).where("fate not in ('02', '03')").select("file", "offset", F.coalesce(record, "record").alias("record"))
+def damage() -> dict[str, Column]:
+    """Bit rot: by its hash one record in 64 has its first byte changed, is overwritten or is lost; ``damaged`` is the new hash."""
+    fate, record = F.substring("hash", 9, 2), F.col("record")
+    changed = F.when(fate == "00", F.sha2(F.concat(F.lit("X"), F.expr("substring(record, 2)")), 256))
+    return {"fate": fate, "damaged": changed.when(fate == "01", F.sha2(F.repeat(F.lit("#"), F.octet_length(record)), 256))}
 
 
 FIXITY_SQL = r"""
@@ -194,8 +194,9 @@ FROM o WHERE fate IN ('00', '01', '02', '03')"""
 @query("op2_warc_fixity_audit", FIXITY_SQL)
 def op2_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every damaged record of a replica of the archive of all pages."""
-    archive = warc.archived(table(spark, sf_dir, "pages"))
-    return warc.audit(archive, damaged_replica(archive))
+    archive = warc.catalogued(table(spark, sf_dir, "pages"), kept=damage())
+    replica = archive.where("fate not in ('02', '03')").select("file", "offset", "length", F.coalesce("damaged", "hash").alias("hash"))
+    return warc.compared(archive.drop("fate", "damaged"), replica)
 
 
 MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")

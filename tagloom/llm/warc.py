@@ -8,8 +8,8 @@ a bounded number of bytes, so no file, however long, is ever gathered in one tas
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,22 +33,35 @@ def response_record(name: Column, url: Column, body: Column) -> Column:
     return F.concat(*fields)
 
 
-def archived(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(file, offset, record) of pages as WARC records in files of about ``per_file`` records.
+def _records(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
+    """(record, hash) of pages, not yet without repeats."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    records = pages.select(text(key).alias("k"), text(url).alias("u"), text(page).alias("p"))
+    return records.select(response_record(F.col("k"), F.col("u"), F.col("p")).alias("record")).withColumn("hash", F.sha2("record", 256))
+
+
+def catalogued(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", per_file: int = RECORDS_PER_FILE, kept: dict[str, Column] | None = None) -> DataFrame:
+    """(file, offset, length, hash) of pages as WARC records in files of about ``per_file`` records: the archive without bodies.
 
     Records are dealt out and ordered by their hash, so files are of like size whatever the keys. Repeated rows are one record; a
-    null key, url or page is empty text. An empty table gives an empty archive.
+    null key, url or page is empty text. An empty table gives an empty archive. ``kept`` adds columns computed from ``record`` and
+    ``hash`` where a record is read; no body is ever shuffled or written here.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    records = pages.select(text(key).alias("k"), text(url).alias("u"), text(page).alias("p")).distinct()
-    files = max(1, -(-records.count() // per_file))
-    record = response_record(F.col("k"), F.col("u"), F.col("p"))
-    records = records.select(record.alias("record")).withColumn("h", F.sha2("record", 256))
-    number = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % files
-    records = records.withColumn("file", F.concat(F.lit("crawl-"), F.lpad(number.cast("string"), 8, "0"), F.lit(".warc")))
-    before = Window.partitionBy("file").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0))
-    return records.select("file", offset.alias("offset"), "record")
+    lean = _records(pages, key, url, page).select("hash", F.octet_length("record").cast("long").alias("length"), *[c.alias(n) for n, c in (kept or {}).items()])
+    rows = written(lean.distinct(), "records")
+    files = max(1, -(-rows.count() // per_file))
+    number = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % files
+    rows = rows.withColumn("file", F.concat(F.lit("crawl-"), F.lpad(number.cast("string"), 8, "0"), F.lit(".warc")))
+    before = Window.partitionBy("file").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0))
+    return written(rows.select("file", offset.alias("offset"), "length", "hash", *(kept or {})), "catalogue")
+
+
+def archived(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """(file, offset, record) of the records that ``catalogued`` places; bodies are joined to their places by hash."""
+    places = catalogued(pages, key, url, page, per_file).select("file", "offset", "hash")
+    bodies = _records(pages, key, url, page).dropDuplicates(["hash"])
+    return bodies.join(places, "hash").select("file", "offset", "record")
 
 
 def write_archive(archive: DataFrame, path: str) -> None:
@@ -58,10 +71,28 @@ def write_archive(archive: DataFrame, path: str) -> None:
     rows.select(block, "file").write.partitionBy("file").option("lineSep", END_OF_RECORD).text(path)
 
 
+def unpacked(content: bytes) -> bytes:
+    """What can be read of the members of a gzip file: a damaged or cut member gives what stands before the damage, and ends the file."""
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(content), 16_384):
+                out.append(member.decompress(content[at : at + 16_384]))
+                if member.eof:
+                    break
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        content = member.unused_data + content[at + 16_384 :]
+    return b"".join(out)
+
+
 def parsed(content: bytes) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of the records of a WARC file, gzipped or not; what follows a broken head is one last record."""
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content = unpacked(content)
     at = 0
     while at < len(content):
         head = content.find(b"\r\n\r\n", at)
@@ -125,7 +156,12 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     is one without a name, a null offset is -1, a null record is empty, repeated rows count once. Other columns play no part.
     Equal or empty archives give no rows.
     """
-    sides = [written(record_hashes(side), "records") for side in (primary, replica)]
+    return compared(*[written(record_hashes(side), "records") for side in (primary, replica)], range_bytes, fanout)
+
+
+def compared(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """``audit`` of two archives of which the written leaves (file, offset, length, hash) are known, one for each place."""
+    sides = primary, replica
     most = max(side.agg(F.coalesce(F.max("offset"), F.lit(0))).first()[0] for side in sides)
     height, top = 0, most // range_bytes
     while top > 0:

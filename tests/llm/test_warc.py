@@ -81,6 +81,11 @@ def test_parsing_of_broken_and_compressed_files():
     record = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert list(warc.parsed(record * 2)) == [(0, record), (len(record), record)]
     assert list(warc.parsed(gzip.compress(record) + gzip.compress(record))) == list(warc.parsed(record * 2))
+    both = gzip.compress(record) + gzip.compress(record)
+    assert list(warc.parsed(both[:-12])) == [(0, record), (len(record), record[: len(list(warc.parsed(both[:-12]))[1][1])])]
+    assert list(warc.parsed(gzip.compress(record) + b"\x1f\x8bnot gzip")) == [(0, record)] and list(warc.parsed(both[:5])) == []
+    big = gzip.compress(record * 20_000, 0)
+    assert list(warc.parsed(big + both)) == list(warc.parsed(record * 20_002))
     assert list(warc.parsed(record + b"junk")) == [(0, record), (len(record), b"junk")] and list(warc.parsed(b"")) == []
 
 
