@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -14,42 +14,33 @@ from tagloom.llm.queries import QUERIES
 
 
 class SlowTree:
-    """The definition, node by node; ``keep``: contexts that have a node of their own."""
+    """The definition, node by node."""
 
-    def __init__(self, texts, depth, least=1):
-        self.depth, counts, seen = depth, {}, Counter()
+    def __init__(self, texts, depth):
+        self.depth, counts = depth, {}
         for t in texts:
             padded = bytes(depth) + t + b"\xff"
             for i in range(depth, len(padded)):
                 for d in range(depth + 1):
                     c = padded[i - d : i]
-                    seen[c] += 1
                     for bit in range(8):
                         n = counts.setdefault((c, 1 << bit | padded[i] >> 8 - bit), [0, 0])
                         n[padded[i] >> 7 - bit & 1] += 1
-        self.counts = {k: n for k, n in counts.items() if seen[k[0]] >= least}
-        self.memo = {}
+        self.counts, self.memo, self.kids = counts, {}, defaultdict(list)
+        for c, node in counts:
+            if c:
+                self.kids[c[1:], node].append(c)
 
     def kt(self, a, b):
         lg = math.lgamma
         return lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1) - math.log(math.pi)
 
     def parts(self, c, node):
-        """Log probability by the own estimate and by the children, and the children's left-over counts."""
+        """Log probability by the own estimate, and by the mix with the children."""
         if (c, node) not in self.memo:
-            a, b = self.counts[c, node]
-            own = self.kt(a, b)
-            if len(c) == self.depth:
-                self.memo[c, node] = own, own, own, (0, 0)
-            else:
-                below, ra, rb = 0.0, a, b
-                for x in range(256):
-                    kid = bytes([x]) + c
-                    if (kid, node) in self.counts:
-                        below += self.parts(kid, node)[2]
-                        ra, rb = ra - self.counts[kid, node][0], rb - self.counts[kid, node][1]
-                below += self.kt(ra, rb)
-                self.memo[c, node] = own, below, math.log(0.5) + np.logaddexp(own, below), (ra, rb)
+            own = self.kt(*self.counts[c, node])
+            below = sum(self.parts(kid, node)[1] for kid in self.kids[c, node])
+            self.memo[c, node] = (own, own) if len(c) == self.depth else (own, math.log(0.5) + np.logaddexp(own, below))
         return self.memo[c, node]
 
     def one(self, past, node, d=0):
@@ -58,11 +49,10 @@ class SlowTree:
         estimate = (b + 0.5) / (a + b + 1)
         if d == self.depth:
             return estimate
-        own, below, both, (ra, rb) = self.parts(c, node)
+        own, both = self.parts(c, node)
         w = math.exp(math.log(0.5) + own - both)
         kid = past[len(past) - d - 1 :]
-        rest = (rb + 0.5) / (ra + rb + 1) if ra + rb else estimate
-        return w * estimate + (1 - w) * (self.one(past, node, d + 1) if (kid, node) in self.counts else rest)
+        return w * estimate + (1 - w) * (self.one(past, node, d + 1) if (kid, node) in self.counts else estimate)
 
     def log10(self, text):
         padded, total = bytes(self.depth) + text + b"\xff", 0.0
@@ -78,29 +68,59 @@ TEXTS = [b"the cat sat on the mat", b"the dog ate the cat", b"", b"caf\xc3\xa9 t
 HELD = [b"the cat ate", b"", b"zebra \xe6\xbc\xa2", b"aaaa"]
 
 
-def tables(texts, depth, least=1):
-    out = []
-    for d in range(depth + 1):
-        grams, n = np.unique(ctw.runs(texts, depth)[0] & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
-        contexts, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-        keep = np.bincount(at, n)[at] >= least
-        out.append((grams[keep], n[keep].astype(float)))
-    return out
+def full_runs(texts, depth):
+    grams, n = np.unique(ctw.runs(texts, depth)[0], return_counts=True)
+    return grams, n.astype(float)
+
+
+def split_levels(grams, counts, depth, split):
+    """Levels made as Spark makes them: subtrees by the last bytes of the context, their sums, the top."""
+    ending = (grams >> np.uint64(8)) & np.uint64((1 << 8 * split) - 1)
+    parts = [ctw.subtree(grams[ending == e], counts[ending == e], split, depth) for e in np.unique(ending)]
+    rows = [(ctw._shorter(levels[0][0], split - 1), levels[0][1], levels[0][2], logs) for levels, logs in parts]
+    keys, zeros, ones, logs = (np.concatenate([r[i] for r in rows]) for i in range(4))
+    keys, at = np.unique(keys, return_inverse=True)
+    top = ctw.upper(keys, *(np.bincount(at, x) for x in (zeros, ones, logs)), split)
+    joined = [tuple(np.concatenate([levels[d][i] for levels, _ in parts]) for i in range(5)) for d in range(depth - split + 1)]
+    order = [np.argsort(level[0]) for level in joined]
+    return top + [tuple(x[o] for x in level) for level, o in zip(joined, order)]
+
+
+def text_scores(levels, texts, depth):
+    grams, starts = ctw.runs(texts, depth)
+    return np.add.reduceat(ctw.log10_probability(levels, grams), starts)
 
 
-@pytest.mark.parametrize("depth, least", [(0, 1), (1, 1), (3, 1), (3, 4)])
-def test_against_the_definition(depth, least):
-    tree, slow = ctw.weighted_tree(tables(TEXTS, depth, least)), SlowTree(TEXTS, depth, least)
-    want = [slow.log10(t) for t in TEXTS + HELD]
-    assert np.allclose(ctw.Scorer(tree).texts(TEXTS + HELD), want, rtol=1e-5)
+@pytest.mark.parametrize("depth, split", [(0, 0), (1, 0), (3, 0), (3, 1), (3, 2), (5, 2), (2, 2)])
+def test_against_the_definition(depth, split):
+    runs = full_runs(TEXTS, depth)
+    levels = split_levels(*runs, depth, split) if split else ctw.subtree(*runs, 0, depth)[0]
+    slow = SlowTree(TEXTS, depth)
+    assert np.allclose(text_scores(levels, TEXTS + HELD, depth), [slow.log10(t) for t in TEXTS + HELD], rtol=1e-9)
 
 
-def test_symbol_probabilities_add_up_to_one():
-    tree = ctw.weighted_tree(tables(TEXTS, 3, 2))
+@pytest.mark.parametrize("times", [1.0, 4e7, 1e9, 1e12])
+def test_scores_stay_finite_and_add_up_to_one_at_any_count(times):
+    grams, counts = full_runs(TEXTS, 3)
+    levels = split_levels(grams, counts * times, 3, 2)
+    assert np.isfinite(text_scores(levels, TEXTS + HELD, 3)).all()
     for context in (b"the", b"\0\0\0", b"qqq", b" ca"):
         base = int.from_bytes(context, "big") << 8
-        total = (10 ** tree.log10(np.arange(base, base + 256, dtype=np.uint64))).sum()
-        assert abs(total - 1) < 1e-5
+        symbols = ctw.log10_probability(levels, np.arange(base, base + 256, dtype=np.uint64))
+        assert np.isfinite(symbols).all() and abs((10**symbols).sum() - 1) < 1e-9
+
+
+def test_scorer_finds_frequent_runs_and_hands_on_the_others(monkeypatch):
+    grams, starts = ctw.runs(TEXTS, 2)
+    known, scores = np.unique(grams)[::2], np.arange(len(np.unique(grams)[::2]), dtype=float) + 1
+    for bits in (1, 3, 20):  # few slots: most runs share one
+        monkeypatch.setattr(ctw, "SLOT_BITS", bits)
+        total, text, gram, n = ctw.Scorer(known, scores, 2).texts(TEXTS)
+        value = dict(zip(known.tolist(), scores.tolist()))
+        ends = [*starts.tolist()[1:], len(grams)]
+        own = [Counter(grams[a:b].tolist()) for a, b in zip(starts.tolist(), ends)]
+        assert total.tolist() == [sum(value.get(g, 0) * k for g, k in c.items()) for c in own]
+        assert sorted(zip(text.tolist(), gram.tolist(), n.tolist())) == sorted((i, g, k) for i, c in enumerate(own) for g, k in c.items() if g not in value)
 
 
 def test_runs_and_log_gamma():
@@ -136,7 +156,7 @@ def slow_scores(rows, depth):
 def compare(got, want):
     got = sorted((tuple(r) for r in got), key=lambda r: (str(r[0]), r[6]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5)
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
 COLUMNS = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -156,10 +176,17 @@ def test_edge_rows(spark, monkeypatch):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and abs(r.score + 32 * math.log10(2)) < 1e-9 and r.base_score == 0
 
 
-def test_long_text_and_few_runs(spark):
-    rows = [(i, "the cat sat on the mat " * 20) for i in range(10)] + [(99, "the cat sat " * 100_000)]
-    got = ctw.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), most_runs=40).collect()
-    assert all(r.score > r.n_bytes * -3 and r.score < 0 for r in got) and len(got) == 11
+def test_long_text_and_hardly_any_runs_sent(spark):
+    rows = [(i, "the cat sat on the mat " * 20) for i in range(10)] + [(99, "the cat sat " * 100_000), (98, "dogs")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [{r.key: r.score for r in ctw.scored(df, head_runs=n).collect()} for n in (0, 7, 1 << 20)]
+    assert got[0].keys() == dict(rows).keys() and all(abs(a[k] - got[2][k]) < 1e-9 * abs(got[2][k]) for a in got for k in a)
+    assert all(s < 0 for s in got[0].values())
+
+
+def test_query_against_the_definition(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    compare(QUERIES["op9_lm_scoring"](spark, sf_dir).withColumnRenamed("doc_id", "key").select(COLUMNS).collect(), slow_scores(docs, ctw.DEPTH))
 
 
 def test_query(spark, sf_dir):
