@@ -3,7 +3,7 @@
 A token sequence is the encoding of its bytes exactly if every two adjacent tokens are the encoding of their own joint
 bytes. So each new word gets a proposal by longest match, all adjacent pairs of all new words are looked up at once in a
 table of judged pairs, and only the words with a pair that fails are merged step by step. Words repeat, so a
-task keeps the encodings it has found, up to a bounded number.
+worker keeps the encodings it has found in a bounded number of bytes; when these are used up the words met least go.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 SHORT = 48
 NO_MERGE = (1 << 62, -1)
-MOST_WORDS = 1_000_000
-MOST_PAIRS = 1_000_000
+#: Bytes of a worker's store of words, at about WORD_BYTES for each besides its spelling, and of judged pairs.
+MOST_STORE_BYTES, WORD_BYTES = 32_000_000, 230
+MOST_PAIRS = 500_000
 MAX_VOCABULARY_BYTES = 64_000_000
 
 
@@ -68,7 +69,20 @@ class Codec:
     def _reset_words(self) -> None:
         self.places: dict[str, int] = {}
         self.sizes, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
+        self.starts, self.hits, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _forget_rare(self) -> None:
+        """Keep the words met most often, in half of the store."""
+        words, order = list(self.places), np.argsort(-self.hits, kind="stable")
+        cost = np.cumsum([len(words[k]) + WORD_BYTES for k in order])
+        keep = np.sort(order[cost <= MOST_STORE_BYTES // 2])
+        tokens = [self.tokens[self.starts[k] : self.starts[k] + self.sizes[k]] for k in keep]
+        hits, sizes = self.hits[keep] // 2, self.sizes[keep]
+        self._reset_words()
+        self.places = {words[k]: i for i, k in enumerate(keep)}
+        self.hits, self.sizes, self.tokens = hits, sizes, np.concatenate([self.tokens, *tokens])
+        self.starts = np.cumsum(sizes) - sizes
+        self.held = sum(map(len, self.places)) + WORD_BYTES * len(self.places)
 
     def _reset_pairs(self) -> None:
         self.judged, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -172,6 +186,8 @@ class Codec:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.tokens = np.concatenate([self.tokens, np.fromiter((t for p in proposals for t in p), np.int32, int(sizes.sum()))])
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; a special token's string is a piece of its own."""
@@ -184,14 +200,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token counts per text, and all tokens in order."""
-        if len(self.places) > MOST_WORDS:
-            self._reset_words()
-        if not self.places and self.special:
-            for name, token in self.special.items():
+        if self.held > MOST_STORE_BYTES:
+            self._forget_rare()
+        for name, token in self.special.items():
+            if name not in self.places:
                 self.places[name] = len(self.places)
-                self.tokens = np.append(self.tokens, np.int32(token))
-            self.sizes = np.ones(len(self.special), np.int64)
-            self.starts = np.arange(len(self.special))
+                self.starts, self.sizes = np.append(self.starts, len(self.tokens)), np.append(self.sizes, 1)
+                self.tokens, self.hits = np.append(self.tokens, np.int32(token)), np.append(self.hits, 0)
         words, counts = [], [0]
         for text in texts:
             words += self.pieces(text)
@@ -201,6 +216,7 @@ class Codec:
         if len(unseen):
             self.learn(list({words[k] for k in unseen}))
             at[unseen] = [self.places[words[k]] for k in unseen]
+        self.hits += np.bincount(at, minlength=len(self.hits))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         tokens = self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]

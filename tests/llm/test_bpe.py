@@ -56,10 +56,11 @@ def test_many_words_that_proposals_get_wrong():
 
 def test_long_words_and_bounded_memory(monkeypatch):
     check("a" * 5000 + "b" * 3000 + "ab" * 2000)
-    monkeypatch.setattr(bpe, "MOST_WORDS", 10)
+    monkeypatch.setattr(bpe, "MOST_STORE_BYTES", 2500)
     monkeypatch.setattr(bpe, "MOST_PAIRS", 5)
     for i in range(30):
-        check(f"word{i} other{i}thing <|endoftext|>{i}")
+        check(f"word{i} the other{i}thing <|endoftext|>{i}")
+        assert CODEC.held < 2500 + 10 * 250
 
 
 def test_short_and_long_merging_agree():
