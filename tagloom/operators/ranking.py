@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.session import local_table, shared_dir
+from tagloom.session import local_table, stored
 
 
 MAX_LOCAL_ROWS = 10_000
@@ -93,6 +93,13 @@ def hash_cut_points(
     return bounded_local(found)
 
 
+def check_classes(cuts: DataFrame, scope: Iterable[str], expected: int) -> None:
+    """Raise if a scope has fewer than ``expected`` classes; ``cuts`` has one row per class."""
+    fewest = cuts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c")).first()[0]
+    if (fewest or 0) < expected:
+        raise ValueError(f"cannot balance: {fewest or 0} of {expected} classes present")
+
+
 def take_by_hash(
     df: DataFrame,
     hash_col: str,
@@ -110,10 +117,7 @@ def take_by_hash(
     by = list(by)
     cuts = hash_cut_points(df, hash_col, {"keep": size}, by, scope).drop("cut")
     if expected is not None:
-        tested = cuts if checked is None else cuts.filter(checked)
-        fewest = tested.groupBy(*scope).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c")).first()[0]
-        if (fewest or 0) < expected:
-            raise ValueError(f"cannot balance: {fewest or 0} of {expected} classes present")
+        check_classes(cuts if checked is None else cuts.filter(checked), scope, expected)
     if by:
         joined = join_null_safe(df, cuts, by)
         return joined.filter(F.col(hash_col) <= F.col("cut_hash")).select(*df.columns)
@@ -208,9 +212,7 @@ def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: s
     """
     by, keys = list(by), [*by, *order]
     ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    path = shared_dir(df.sparkSession, "ranges")
-    ranges.write.parquet(path)
-    placed = df.sparkSession.read.schema(ranges.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    placed = stored(ranges, "ranges").withColumn("_range", F.shiftright("_at", 33))
     counts = placed.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     if by:
         whole = Window.partitionBy(*by)

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.ranking import hash_cut_points, order_hash, take_by_hash
+from tagloom.operators.ranking import check_classes, hash_cut_points, order_hash, take_by_hash
+from tagloom.session import stored
 
 DEFAULT_SEED = 3
 
@@ -121,20 +122,22 @@ def balanced_sets(
 
     Level 0 balances (sign of flavour, label) in train, val and test; level 1 only in train and val;
     level 2 balances the label alone in train and val. Train and val keep selected rows only, test
-    keeps its unselected rows untouched. One pass over all subsets: the subset is a balancing scope, and
-    a subset that is not balanced has its own group sizes as targets.
+    keeps its unselected rows untouched. The rows are computed once and stored; all cuts are found on that table (the subset
+    is a balancing scope, and a subset that is not balanced has its own group sizes as targets), then one scan of it keeps rows.
     """
     balanced = ["train", "val", "test"] if level == 0 else ["train", "val"]
-    work = df.withColumn("_sign", (F.col(flavour) > 0).cast("int"))
-    work = work.withColumn("_row_hash", order_hash(row_keys, seed))
+    work = df.withColumns({"_sign": (F.col(flavour) > 0).cast("int"), "_row_hash": order_hash(row_keys, seed)})
+    work = stored(work.filter((F.col(selected) == 1) | ((F.col(selected) == 0) & (F.col(subset) == "test"))), "balance")
     classes = [subset, label] if level == 2 else [subset, "_sign", label]
-    expected = (2 if level == 2 else 4) if strict else None
     in_balance = F.col(subset).isin(balanced)
     size = F.when(in_balance, F.col("smallest_group")).otherwise(F.col("group_size"))
-    chosen = work.filter(F.col(selected) == 1)
-    kept = take_by_hash(chosen, "_row_hash", size, classes, [subset], expected, in_balance)
-    rest = work.filter((F.col(selected) == 0) & (F.col(subset) == "test"))
-    return kept.unionByName(rest).select(*df.columns)
+    cuts = hash_cut_points(work.filter(F.col(selected) == 1), "_row_hash", {"keep": size}, classes, [subset]).drop("cut")
+    if strict:
+        check_classes(cuts.filter(in_balance), [subset], 2 if level == 2 else 4)
+    renamed = cuts.withColumnsRenamed({c: f"_cut_{c}" for c in classes})
+    same = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in classes]
+    marked = work.join(renamed, same, "left")
+    return marked.filter((F.col(selected) == 0) | (F.col("_row_hash") <= F.col("cut_hash"))).select(*df.columns)
 
 
 def hold_out(df: DataFrame, file_column: str, reserved: str, enabled: bool = True) -> DataFrame:

@@ -172,7 +172,7 @@ TAGGING_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in TAGGING_ROLES.item
 TAGGED_SQL = f"""t0 AS ({TAGGING_SQL}),
 t1 AS (SELECT *, CASE WHEN (prob_k > 0.3 AND prob_mu <= 0.9) OR prob_e > 0.7 THEN 1 ELSE 0 END AS selected,
        -charge AS d0, 1e0 - prob AS e0 FROM t0),
-tagged AS (SELECT *, CAST(CASE WHEN selected = 0 THEN 0 WHEN e0 > 0.5 THEN -d0 ELSE d0 END AS INT) AS d,
+tagged AS MATERIALIZED (SELECT *, CAST(CASE WHEN selected = 0 THEN 0 WHEN e0 > 0.5 THEN -d0 ELSE d0 END AS INT) AS d,
        CASE WHEN selected = 0 THEN 5e-1 WHEN e0 > 0.5 THEN 1e0 - e0 ELSE e0 END AS eta FROM t1)"""
 BEST_SQL = f"""{TAGGED_SQL},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry

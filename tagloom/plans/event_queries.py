@@ -196,11 +196,11 @@ def concat_restore(spark: SparkSession, sf: str) -> DataFrame:
 
 # splits and balancing -----------------------------------------------------------------------------
 
-SPLIT_SQL = f"""e AS (SELECT entry, row_number() OVER (ORDER BY h) AS rk, count(*) OVER () AS ne FROM
+SPLIT_SQL = f"""e AS MATERIALIZED (SELECT entry, row_number() OVER (ORDER BY h) AS rk, count(*) OVER () AS ne FROM
    (SELECT DISTINCT entry, md5(concat_ws('_', entry, '3')) AS h FROM tagged)),
- sp AS (SELECT t.*, CASE WHEN rk <= floor(0.8e0 * floor(0.6e0 * ne)) THEN 'train' WHEN rk <= floor(0.6e0 * ne) THEN 'val' ELSE 'test' END AS subset,
+ sp AS MATERIALIZED (SELECT t.*, CASE WHEN rk <= floor(0.8e0 * floor(0.6e0 * ne)) THEN 'train' WHEN rk <= floor(0.6e0 * ne) THEN 'val' ELSE 'test' END AS subset,
    CASE WHEN t.entry % 3 = 1 THEN -521 WHEN t.entry % 3 = 0 THEN 521 ELSE 531 END AS B_TRUEID FROM tagged t JOIN e ON t.entry = e.entry),
- lab AS (SELECT *, CASE WHEN d0 * sign(B_TRUEID) = 1 THEN 1 ELSE 0 END AS label, CASE WHEN B_TRUEID > 0 THEN 1 ELSE 0 END AS s,
+ lab AS MATERIALIZED (SELECT *, CASE WHEN d0 * sign(B_TRUEID) = 1 THEN 1 ELSE 0 END AS label, CASE WHEN B_TRUEID > 0 THEN 1 ELSE 0 END AS s,
    md5(concat_ws('_', {K}, '3')) AS h FROM sp)"""
 
 
@@ -224,7 +224,7 @@ def split_by_event(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _balance_sql(classes: str, where: str = "selected = 1") -> str:
-    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY {classes} ORDER BY h) AS rn, count(*) OVER (PARTITION BY {classes}) AS sz FROM lab WHERE {where})"""
+    return f"""c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {classes} ORDER BY h) AS rn, count(*) OVER (PARTITION BY {classes}) AS sz FROM lab WHERE {where})"""
 
 
 @query(
@@ -251,8 +251,8 @@ def _level_sql(level: int) -> str:
     classes = "subset, label" if level == 2 else "subset, s, label"
     rest = "subset = 'test' AND selected = 0" if level == 0 else "subset = 'test'"
     return f"""WITH {b.TAGGED_SQL}, {SPLIT_SQL}, {_balance_sql(classes, f"selected = 1 AND subset IN {sets}")},
-      k AS (SELECT subset, min(sz) AS k FROM c GROUP BY subset)
-      SELECT {K}, c.subset, selected, B_TRUEID, label FROM c JOIN k ON c.subset = k.subset WHERE rn <= k
+      k AS (SELECT *, min(sz) OVER (PARTITION BY subset) AS k FROM c)
+      SELECT {K}, subset, selected, B_TRUEID, label FROM k WHERE rn <= k
       UNION ALL SELECT {K}, subset, selected, B_TRUEID, label FROM lab WHERE {rest}"""
 
 

@@ -66,6 +66,13 @@ def shared_root(checkpoints: str | None, warehouse: str | None, master: str) ->
     raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, however often it is used and whatever machine is lost."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
     """A small driver-side table as a local relation.
 
