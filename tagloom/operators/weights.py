@@ -1,8 +1,8 @@
 """Mass model, yields and sWeights.
 
-Shapes are fitted on a binned spectrum (Spark counts, at most a few hundred bins reach the driver);
-yields are then refined without binning by expectation-maximisation, one aggregation per step. The
-binned shape fit replaces an unbinned minimisation over all rows.
+Shapes start from a fit of a binned spectrum (Spark counts, at most a few hundred bins reach the driver) and are then fitted
+to the rows without binning: the derivatives of the likelihood to all parameters are columns, and one aggregation per
+step gives the gradient and the information matrix. Yields for fixed shapes are fitted the same way.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators.hist import histogram
+from tagloom.session import spread
 
 
 @dataclass(frozen=True)
@@ -196,6 +197,120 @@ def fit_mass(df: DataFrame, mass: str, start: Shape, simulation: bool = False, b
     return fit_spectrum(counts, start, simulation)
 
 
+def _mixture(x, shape: Shape, yields: Sequence[float], simulation: bool, ops=_Columns):
+    """Expected rows per unit of mass."""
+    integrals = norms(shape)
+    density = signal_density(x, shape, ops, integrals) * float(yields[0])
+    return density if simulation else density + background_density(x, shape, integrals) * float(yields[1])
+
+
+def _numbers(shape: Shape, yields: Sequence[float], simulation: bool) -> list[float]:
+    """The constants of the mixture: a step changes only these, so the compiled code of its aggregation is used again."""
+    ball, gauss, flat = norms(shape)
+    tails = [(a, n, float(np.exp(-0.5 * a * a)), a / n) for a, n in ((shape.alpha_l, shape.n_l), (shape.alpha_r, shape.n_r))]
+    scales = [yields[0] * shape.fraction / ball, yields[0] * (1.0 - shape.fraction) / gauss, 0.0 if simulation else yields[1] / flat]
+    return [float(v) for v in (shape.mean, shape.sigma, shape.g_sigma, *tails[0], *tails[1], *scales, shape.low, 2.0 / (shape.high - shape.low), shape.c0, shape.c1, shape.c2)]
+
+
+def _mixture_column(x: Column, numbers: Column) -> Column:
+    """``_mixture`` with its constants taken from an array of ``_numbers``."""
+    mean, sigma, g_sigma, a_l, n_l, e_l, r_l, a_r, n_r, e_r, r_r, ball, gauss, flat, low, scale, c0, c1, c2 = (numbers[k] for k in range(19))
+    t, g, u = (x - mean) / sigma, (x - mean) / g_sigma, (x - low) * scale - 1.0
+    tail = lambda distance, a, n, e, r: F.pow(F.greatest(1.0 + (distance - a) * r, F.lit(1e-12)), -n) * e
+    core = F.exp(t * t * -0.5)
+    peak = F.when(t < -a_l, tail(-t, a_l, n_l, e_l, r_l)).when(t > a_r, tail(t, a_r, n_r, e_r, r_r)).otherwise(core)
+    slope = 1.0 + u * c0 + (u * u * 2.0 - 1.0) * c1 + (u * u * u * 4.0 - u * 3.0) * c2
+    return peak * ball + F.exp(g * g * -0.5) * gauss + slope * flat
+
+
+def _score_sums(slim: DataFrame, names: Sequence[str], theta: np.ndarray, start: Shape, simulation: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, its gradient and its information matrix at ``theta``, in one aggregation of the masses ``_x``."""
+    shapes = len(names) - (1 if simulation else 2)
+
+    def mixture(values: np.ndarray) -> Column:
+        shape = replace(start, **dict(zip(names[:shapes], map(float, values))))
+        return _mixture_column(F.col("_x"), F.lit(np.array(_numbers(shape, values[shapes:], simulation))))
+
+    steps = np.maximum(np.abs(theta), 1e-2) * 1e-5
+    steps[0] = 1e-5 * (start.high - start.low)  # the mean moves in the window
+    made, widths = {"_m": F.greatest(mixture(theta), F.lit(1e-300))}, []
+    for k in range(len(names)):
+        up, down = theta.copy(), theta.copy()
+        up[k] += steps[k]
+        down[k] -= steps[k]
+        made[f"_d{k}"] = mixture(up) - mixture(down)
+        widths.append(float(up[k] - down[k]))
+    rows = slim.select(*[c.alias(n) for n, c in made.items()])
+    ratios = rows.select(F.log("_m").alias("_l"), *[(F.col(f"_d{k}") / F.col("_m")).alias(f"_r{k}") for k in range(len(names))])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    sums = ratios.agg(
+        F.sum("_l"), *[F.sum(f"_r{k}") for k in range(len(names))], *[F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")) for i, j in pairs]
+    ).first()
+    width = np.array(widths)
+    gradient, matrix = np.array(sums[1 : len(names) + 1], dtype=float) / width, np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, sums[len(names) + 1 :]):
+        matrix[i, j] = matrix[j, i] = value / (width[i] * width[j])
+    gradient[shapes:] -= 1.0
+    return float(sums[0]) - float(theta[shapes:].sum()), gradient, matrix
+
+
+@dataclass(frozen=True)
+class UnbinnedFit(ShapeFit):
+    """``deviance`` is minus twice the log-likelihood; ``pulls`` are what remains of the gradient, each in units
+    of the error that the parameter has while the others are fixed."""
+
+    pulls: tuple[tuple[str, float], ...] = ()
+
+
+def fit_unbinned(df: DataFrame, mass: str, start: ShapeFit, simulation: bool = False, steps: int = 100, tolerance: float = 1e-7) -> UnbinnedFit:
+    """Extended unbinned maximum-likelihood fit of shapes and yields, from a (binned) ``start``.
+
+    Damped Newton steps with the information matrix; a parameter at a bound that the gradient pushes outwards stays there. The fit ends
+    when a full step would gain less than ``tolerance`` in log-likelihood, and raises if it does not get there.
+    """
+    shape = start.shape
+    free = [*SHAPE_ONLY, *(TAILS if simulation else BACKGROUND)]
+    names = [*free, "yield_signal", *([] if simulation else ["yield_background"])]
+    slim = spread(df.select(F.col(mass).cast("double").alias("_x")).filter((F.col("_x") > shape.low) & (F.col("_x") < shape.high))).persist()
+    try:
+        total = float(slim.count())
+        if not total:
+            raise ValueError("no rows in the mass window")
+        low = np.array([LIMITS[f][0] for f in free] + [0.0] * (len(names) - len(free)))
+        high = np.array([LIMITS[f][1] for f in free] + [2.0 * total] * (len(names) - len(free)))
+        theta = np.clip(np.array([getattr(shape, f) for f in free] + list(start.yields[: len(names) - len(free)])), low, high)
+        best, gradient, matrix = _score_sums(slim, names, theta, shape, simulation)
+        damping, done = 1e-6, False
+        for _ in range(steps):
+            stuck = ((theta <= low) & (gradient < 0)) | ((theta >= high) & (gradient > 0))
+            live = np.flatnonzero(~stuck)
+            inner = matrix[np.ix_(live, live)]
+            step = np.zeros(len(theta))
+            step[live] = np.linalg.solve(inner + damping * np.diag(np.diag(inner) + 1e-12), gradient[live])
+            trial = np.clip(theta + step, low, high)
+            if 0.5 * float(gradient[live] @ np.linalg.pinv(inner) @ gradient[live]) < tolerance:
+                done = True
+                break
+            value, slope, curve = _score_sums(slim, names, trial, shape, simulation)
+            if value > best - 1e-12 * abs(best):
+                theta, best, gradient, matrix, damping = trial, value, slope, curve, max(damping / 10.0, 1e-12)
+            else:
+                damping = max(damping * 10.0, 1e-4)
+                if damping > 1e12:
+                    break
+        if not done:
+            raise ArithmeticError(f"the unbinned fit did not converge in {steps} steps")
+        covariance = np.linalg.pinv(matrix)
+        errors = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+        at_bound = tuple(n for n, x, a, b in zip(names, theta, low, high) if x in (a, b))
+        pulls = tuple((n, 0.0 if n in at_bound else float(g / max(np.sqrt(i), 1e-300))) for n, g, i in zip(names, gradient, np.diag(matrix)))
+        fitted = replace(shape, **dict(zip(free, map(float, theta))))
+        yields = (float(theta[len(free)]), 0.0 if simulation else float(theta[len(free) + 1]))
+        return UnbinnedFit(fitted, yields, dict(zip(names, map(float, errors))), -2.0 * best, at_bound, pulls)
+    finally:
+        slim.unpersist()
+
+
 def with_densities(df: DataFrame, mass: str, shape: Shape) -> DataFrame:
     """Add the normalised densities ``f_sig`` and ``f_bkg``."""
     x = F.col(mass).cast("double")

@@ -455,13 +455,29 @@ def mass_fit_yields(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(y, 3) for y in found)], "yield_signal double, yield_background double")
 
 
+def unbinned_fit(spark: SparkSession, sf: str) -> weights.UnbinnedFit:
+    """Simulation fit for the tails, then the data fit with the tails fixed; both from a binned start."""
+    df = b.candidates(spark, sf, "entry", "mass_peak", "simulated")
+    simulated = df.filter("simulated = 1")
+    first = weights.fit_unbinned(simulated, "mass_peak", weights.fit_mass(simulated, "mass_peak", replace(SHAPE, mean=5279.0), simulation=True), simulation=True)
+    start = weights.fit_mass(df, "mass_peak", replace(first.shape, c0=0.1, c1=-0.2, c2=0.03))
+    return weights.fit_unbinned(df, "mass_peak", start)
+
+
 @query("M14_mass_fit_shapes")
 def mass_fit_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """Simulation fit for the tails, then the data fit with the tails fixed."""
-    df = b.candidates(spark, sf, "entry", "mass_peak", "simulated")
-    start = replace(SHAPE, mean=5279.0)
-    simulated = weights.fit_mass(df.filter("simulated = 1"), "mass_peak", start, simulation=True)
-    return weights.fit_mass(df, "mass_peak", replace(simulated.shape, c0=0.1, c1=-0.2, c2=0.03)).table(spark)
+    """Parameters of the unbinned fit with errors."""
+    return unbinned_fit(spark, sf).table(spark)
+
+
+@query(
+    "M14_unbinned_stationary",
+    "SELECT unnest(['mean', 'sigma', 'g_sigma', 'fraction', 'c0', 'c1', 'c2', 'yield_signal', 'yield_background']) AS name, true AS stationary",
+)
+def unbinned_stationary(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the likelihood's gradient vanishes at the fit, to a thousandth of a parameter's error (or the parameter is at a bound)."""
+    pulls = unbinned_fit(spark, sf).pulls
+    return spark.createDataFrame([(n, abs(p) < 1e-3) for n, p in pulls], "name string, stationary boolean")
 
 
 SWEIGHT_SQL = f"""{YIELDS_SQL}, mx AS (SELECT md.*, f_sig * ns + f_bkg * nb AS m FROM md, y{STEPS}),
