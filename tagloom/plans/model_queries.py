@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tagging as tag
 from tagloom.functions.transforms import fixed
-from tagloom.operators import calibration, cuts, joins, models, networks, preprocessing, stats, training, trees, weights
+from tagloom.operators import calibration, cuts, group_calibration, joins, models, networks, preprocessing, stats, training, trees, weights
 from tagloom.operators.sampling import hash_split
 from tagloom.plans import bindings as b
-from tagloom.plans import tree_sql
+from tagloom.plans import stat_queries, tree_sql
 from tagloom.plans.column_queries import K, src
 from tagloom.plans.event_queries import PER_TAGGER, per_tagger_events
 from tagloom.plans.flagship import FIGURES, performance_sql, rounded
 from tagloom.plans.registry import query
+from tagloom.session import shared_dir
+from tagloom.sources import results
 
 # preprocessing ----------------------------------------------------------------------------------------
 
@@ -523,7 +525,8 @@ def _newton_sql(weight: str, link: str) -> str:
     for i in range(NEWTON):
         ctes.append(
             f"""q{i + 1} AS MATERIALIZED (SELECT tagger, sg, a + (h2 * g0 - h1 * g1) / det AS a, bb + (h0 * g1 - h1 * g0) / det AS bb,
-             sqrt((h2 * h2 * v0 - 2 * h1 * h2 * v1 + h1 * h1 * v2) / (det * det)) AS ea, sqrt((h1 * h1 * v0 - 2 * h0 * h1 * v1 + h0 * h0 * v2) / (det * det)) AS eb
+             sqrt((h2 * h2 * v0 - 2 * h1 * h2 * v1 + h1 * h1 * v2) / (det * det)) AS ea, sqrt((h1 * h1 * v0 - 2 * h0 * h1 * v1 + h0 * h0 * v2) / (det * det)) AS eb,
+             (h0 * h2 * v1 + h1 * h1 * v1 - h1 * h2 * v0 - h0 * h1 * v2) / (det * det) AS eab
              FROM (SELECT *, h0 * h2 - h1 * h1 AS det FROM (SELECT tagger, sg, any_value(a) AS a, any_value(bb) AS bb,
                sum(fw * (y - om) * sl / sp) AS g0, sum(fw * (y - om) * sl / sp * x) AS g1, sum(fw * sl * sl / sp) AS h0, sum(fw * sl * sl / sp * x) AS h1, sum(fw * sl * sl / sp * x * x) AS h2,
                sum(fw * fw * sl * sl / sp) AS v0, sum(fw * fw * sl * sl / sp * x) AS v1, sum(fw * fw * sl * sl / sp * x * x) AS v2
@@ -564,6 +567,88 @@ def glm_calibrate_mistag(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted(long_taggers(spark, sf), "mistag", None).parameter_table(spark), "value", "error", digits=5)
 
 
+SPLITS = {n: stat_queries.BIN_EDGES[n] for n in ("B_PT", "B_ETA", "B_nPVs", "B_nTracks")}
+BINNED_SQL = f"""{PER_TAGGER}, lk AS (SELECT o.entry, o.flag, o.d, o.eta, c.* EXCLUDE (entry) FROM one o JOIN ({b.candidates_sql('entry', 'B_ID', *SPLITS)}) c ON o.entry = c.entry),
+  lg AS (SELECT split || '|' || bin || '|' || flag AS tagger, d, eta, B_ID FROM ({' UNION ALL '.join(f"SELECT '{n}' AS split, {stat_queries._bin_sql(n)} AS bin, flag, d, eta, B_ID FROM lk" for n in SPLITS)}) WHERE bin IS NOT NULL)"""
+
+
+def binned_taggers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every (event, tagger) once for each kinematic split."""
+    df = long_taggers(spark, sf, *SPLITS)
+    bins = {n: stats.bucket_of(n, edges) for n, edges in SPLITS.items()}
+    return group_calibration.by_splits(df, bins, ["tagger", "d", "eta", "B_ID"])
+
+
+@query(
+    "M16_binned_calibration",
+    f"""WITH {BINNED_SQL}, {_newton_sql('1e0', 'logit')}
+      SELECT split_part(tagger, '|', 1) AS split, CAST(split_part(tagger, '|', 2) AS INT) AS bin, split_part(tagger, '|', 3) AS tagger, sg AS flavour,
+      round(a, 4) + 0e0 AS p0, round(ea, 4) AS p0_err, round(bb, 4) + 0e0 AS p1, round(eb, 4) AS p1_err, round(eab, 5) + 0e0 AS covariance FROM q{NEWTON}""",
+)
+def binned_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """A calibration of every tagger in every bin of every split, all fitted together; a flavour that a bin lacks gives no row."""
+    by = ["split", "bin", "tagger"]
+    rows = binned_taggers(spark, sf)
+    table = group_calibration.calibrate_groups(rows, by, "d", "eta", "B_ID", tolerance=1e-9).table(rows)
+    sides = F.explode(F.array(*[F.struct(F.lit(sign).alias("flavour"), F.col(n).alias("p"), F.col(f"{n}_cov").alias("v")) for sign, n in ((1, "plus"), (-1, "minus"))]))
+    out = table.select(*by, sides.alias("s")).filter("s.p IS NOT NULL").select(
+        *by, "s.flavour", F.col("s.p")[0].alias("p0"), F.sqrt(F.col("s.v")[0]).alias("p0_err"), F.col("s.p")[1].alias("p1"), F.sqrt(F.col("s.v")[3]).alias("p1_err"), F.col("s.v")[1].alias("covariance")
+    )
+    return rounded(rounded(out, "p0", "p0_err", "p1", "p1_err", digits=4), "covariance", digits=5)
+
+
+CAL_POWER_SQL = f"""mv AS (SELECT tagger, sum(ea * ea) / 4 AS va, sum(eb * eb) / 4 AS vb, sum(eab) / 4 AS vab FROM q{NEWTON} GROUP BY tagger),
+  mq AS (SELECT tagger, avg(a) AS a, avg(bb) AS bb FROM q{NEWTON} GROUP BY tagger),
+  om AS (SELECT lg.*, ln(eta / (1e0 - eta)) - c AS x, CASE WHEN d <> 0 AND eta < 0.5 THEN 1e0 / (1e0 + exp(-(a + bb * (ln(eta / (1e0 - eta)) - c)))) END AS om FROM lg JOIN mq USING (tagger) JOIN fc USING (tagger)),
+  cs AS (SELECT tagger, count(*) AS n, count(*) FILTER (om < 0.5) AS n_tagged, coalesce(sum((1 - 2 * om) * (1 - 2 * om)) FILTER (om < 0.5), 0) AS d2,
+    sum(-4 * (1 - 2 * om) * om * (1 - om)) FILTER (om < 0.5) AS s0, sum(-4 * (1 - 2 * om) * om * (1 - om) * x) FILTER (om < 0.5) AS s1 FROM om GROUP BY tagger)"""
+CAL_ERROR = "sqrt(greatest(s0 * s0 * va + 2 * s0 * s1 * vab + s1 * s1 * vb, 0))"
+
+
+@query(
+    "M16_power_error",
+    f"""WITH {LONG_SQL}, {_newton_sql('1e0', 'logit')}, {CAL_POWER_SQL} SELECT tagger, n, n_tagged, round(d2 / n, 8) AS tagging_power, round({CAL_ERROR} / n, 8) AS tagging_power_cal_err,
+      round({CAL_ERROR} / (4 * nullif(n_tagged, 0) * sqrt(d2 / nullif(n_tagged, 0))), 8) AS effective_mistag_cal_err FROM cs JOIN mv USING (tagger)""",
+)
+def power_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated power of every tagger with the error that its calibration parameters contribute."""
+    df = long_taggers(spark, sf)
+    fit = group_calibration.calibrate_groups(df, ["tagger"], "d", "eta", "B_ID", tolerance=1e-9)
+    made = group_calibration.calibrated_performance(df, fit, ["tagger"], "d", "eta", "B_ID")
+    names = ["tagging_power", "tagging_power_cal_err", "effective_mistag_cal_err"]
+    return rounded(made.select("tagger", "n", "n_tagged", *names), *names)
+
+
+@query(
+    "S7_nested_result",
+    f"""WITH {LONG_SQL}, {_newton_sql('1e0', 'logit')}, {CAL_POWER_SQL}, p AS (SELECT * FROM q{NEWTON} WHERE sg = 1), m AS (SELECT * FROM q{NEWTON} WHERE sg = -1)
+      SELECT tagger, round(p.a, 4) + 0e0 AS p0_plus, round(m.bb, 4) + 0e0 AS p1_minus, round((p.a + m.a) / 2, 4) + 0e0 AS p0, round(p.bb - m.bb, 4) + 0e0 AS dp1, round(sqrt(p.eb * p.eb + m.eb * m.eb), 4) AS dp1_err,
+      round((p.eab - m.eab) / 2, 5) + 0e0 AS cov_p0_dp1, round(d2 / n, 8) AS tagging_power, round({CAL_ERROR} / n, 8) AS tagging_power_cal_err, true AS styles_agree, true AS osc_missing
+      FROM p JOIN m USING (tagger) JOIN cs USING (tagger) JOIN mv USING (tagger)""",
+)
+def nested_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole calibration results written as nested documents and read back; the flavour style must give the delta style."""
+    df = long_taggers(spark, sf)
+    fit = group_calibration.calibrate_groups(df, ["tagger"], "d", "eta", "B_ID", tolerance=1e-9)
+    before = stats.tagging_performance(df, "d", "eta", "B_ID", by=["tagger"], sums=True)
+    after = group_calibration.calibrated_performance(df, fit, ["tagger"], "d", "eta", "B_ID")
+    path = shared_dir(spark, "nested")
+    results.write_nested(results.nested_results(fit.table(df), before, after, "tagger", 2), path)
+    read = results.read_nested(spark, path)
+    flavour, delta = F.col("calibration.flavour_style"), F.col("calibration.delta_style")
+    value = lambda style, k: style["params"][k]["value"]
+    agree = F.lit(True)
+    for k in range(2):
+        agree = agree & (F.abs((value(flavour, k) + value(flavour, k + 2)) / 2 - value(delta, k)) < 1e-9) & (F.abs(value(flavour, k) - value(flavour, k + 2) - value(delta, k + 2)) < 1e-9)
+    power = F.col("calibrated.selected.tagging_power")
+    out = read.select(
+        "tagger", value(flavour, 0).alias("p0_plus"), value(flavour, 3).alias("p1_minus"), value(delta, 0).alias("p0"), value(delta, 3).alias("dp1"), delta["params"][3]["error"].alias("dp1_err"),
+        delta["cov"][0][3].alias("cov_p0_dp1"), power[0].alias("tagging_power"), power[2].alias("tagging_power_cal_err"), agree.alias("styles_agree"), F.col("osc").isNull().alias("osc_missing"),
+    )
+    made = rounded(out, "p0_plus", "p1_minus", "p0", "dp1", "dp1_err", digits=4)
+    return rounded(rounded(made, "cov_p0_dp1", digits=5), "tagging_power", "tagging_power_cal_err")
+
+
 @query("M16_glm_calibrate_npar")
 def glm_calibrate_npar(spark: SparkSession, sf: str) -> DataFrame:
     """Different polynomial orders and links per tagger in one fit."""
