@@ -12,13 +12,14 @@ from tagloom.functions.transforms import fixed
 from tagloom.operators import calibration, cuts, group_calibration, joins, models, networks, preprocessing, stats, training, trees, weights
 from tagloom.operators.sampling import hash_split
 from tagloom.plans import bindings as b
-from tagloom.plans import stat_queries, tree_sql
+from tagloom.plans import chains, stat_queries, tree_sql
 from tagloom.plans.column_queries import K, src
 from tagloom.plans.event_queries import PER_TAGGER, per_tagger_events
 from tagloom.plans.flagship import FIGURES, performance_sql, rounded
 from tagloom.plans.registry import query
-from tagloom.session import shared_dir
+from tagloom.session import shared_dir, stored
 from tagloom.sources import results
+from tagloom.sources import tables as tables_of
 
 # preprocessing ----------------------------------------------------------------------------------------
 
@@ -509,28 +510,28 @@ def long_taggers(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return df.withColumn("w", (F.col("run") % 10 - 2) / 4.0).drop("run")
 
 
-def _newton_sql(weight: str, link: str) -> str:
-    """Unrolled Fisher scoring of two parameters per (tagger, sign)."""
+def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "") -> str:
+    """Unrolled Fisher scoring of two parameters per (tagger, sign) of ``rows``; ``mark`` ends the names of its tables."""
     value = "ln(eta / (1e0 - eta))" if link == "logit" else "eta"
     centre = "ln(m / (1e0 - m))" if link == "logit" else "m"
     start = "ln(f / (1e0 - f))" if link == "logit" else "f"
     omega = "1e0 / (1e0 + exp(-(a + bb * x)))" if link == "logit" else "greatest(least(a + bb * x, 1e0 - 1e-9), 1e-9)"
     slope = "om * (1e0 - om)" if link == "logit" else "1e0"
     ctes = [
-        f"fr AS (SELECT tagger, CAST(sign(B_ID) AS INT) AS sg, CASE WHEN d * sign(B_ID) < 0 THEN 1e0 ELSE 0e0 END AS y, eta, {weight} AS fw FROM lg WHERE d <> 0 AND eta < 0.5)",
-        f"fc AS (SELECT tagger, {centre} AS c FROM (SELECT tagger, sum(fw * eta) / sum(fw) AS m FROM fr GROUP BY tagger))",
-        f"fx AS MATERIALIZED (SELECT fr.*, {value} - c AS x FROM fr JOIN fc USING (tagger))",
-        f"q0 AS (SELECT tagger, sg, {start} AS a, 0e0 AS bb FROM (SELECT tagger, sg, sum(fw * y) / sum(fw) AS f FROM fr GROUP BY tagger, sg))",
+        f"fr{mark} AS (SELECT tagger, CAST(sign(B_ID) AS INT) AS sg, CASE WHEN d * sign(B_ID) < 0 THEN 1e0 ELSE 0e0 END AS y, eta, {weight} AS fw FROM {rows} WHERE d <> 0 AND eta < 0.5)",
+        f"fc{mark} AS (SELECT tagger, {centre} AS c FROM (SELECT tagger, sum(fw * eta) / sum(fw) AS m FROM fr{mark} GROUP BY tagger))",
+        f"fx{mark} AS MATERIALIZED (SELECT f.*, {value} - c AS x FROM fr{mark} f JOIN fc{mark} USING (tagger))",
+        f"q{mark}0 AS (SELECT tagger, sg, {start} AS a, 0e0 AS bb FROM (SELECT tagger, sg, sum(fw * y) / sum(fw) AS f FROM fr{mark} GROUP BY tagger, sg))",
     ]
     for i in range(NEWTON):
         ctes.append(
-            f"""q{i + 1} AS MATERIALIZED (SELECT tagger, sg, a + (h2 * g0 - h1 * g1) / det AS a, bb + (h0 * g1 - h1 * g0) / det AS bb,
+            f"""q{mark}{i + 1} AS MATERIALIZED (SELECT tagger, sg, a + (h2 * g0 - h1 * g1) / det AS a, bb + (h0 * g1 - h1 * g0) / det AS bb,
              sqrt((h2 * h2 * v0 - 2 * h1 * h2 * v1 + h1 * h1 * v2) / (det * det)) AS ea, sqrt((h1 * h1 * v0 - 2 * h0 * h1 * v1 + h0 * h0 * v2) / (det * det)) AS eb,
              (h0 * h2 * v1 + h1 * h1 * v1 - h1 * h2 * v0 - h0 * h1 * v2) / (det * det) AS eab
              FROM (SELECT *, h0 * h2 - h1 * h1 AS det FROM (SELECT tagger, sg, any_value(a) AS a, any_value(bb) AS bb,
                sum(fw * (y - om) * sl / sp) AS g0, sum(fw * (y - om) * sl / sp * x) AS g1, sum(fw * sl * sl / sp) AS h0, sum(fw * sl * sl / sp * x) AS h1, sum(fw * sl * sl / sp * x * x) AS h2,
                sum(fw * fw * sl * sl / sp) AS v0, sum(fw * fw * sl * sl / sp * x) AS v1, sum(fw * fw * sl * sl / sp * x * x) AS v2
-               FROM (SELECT *, {slope} AS sl, om * (1e0 - om) AS sp FROM (SELECT fx.*, a, bb, {omega} AS om FROM fx JOIN q{i} USING (tagger, sg))) GROUP BY tagger, sg)))"""
+               FROM (SELECT *, {slope} AS sl, om * (1e0 - om) AS sp FROM (SELECT x.*, a, bb, {omega} AS om FROM fx{mark} x JOIN q{mark}{i} USING (tagger, sg))) GROUP BY tagger, sg)))"""
         )
     return ", ".join(ctes)
 
@@ -761,15 +762,48 @@ def combined_performance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.tagging_performance(joined, "d", "eta", "B_ID").drop("n_eff"), *FIGURES)
 
 
-@query("E2_recalibrated_combination")
+RECALIBRATED_SQL = f"""{LONG_SQL}, {_newton_sql('1e0', 'logit')}, {APPLY_SQL}, cb AS (SELECT entry, any_value(B_ID) AS B_ID, {ODDS_SQL.format(d='d_cal', e='omega')} AS s FROM ca GROUP BY entry),
+  cmb AS MATERIALIZED (SELECT 'combination' AS tagger, entry, B_ID, CAST(sign(s) AS INT) AS d, 1e0 / (1e0 + exp(abs(s))) AS eta FROM cb), {_newton_sql('1e0', 'mistag', 'cmb', 'z')},
+  fin AS (SELECT entry, B_ID, CASE WHEN om < 0.5 THEN d ELSE 0 END AS d, CASE WHEN om < 0.5 THEN greatest(om, 0e0) ELSE 5e-1 END AS eta
+    FROM (SELECT cmb.*, CASE WHEN d <> 0 AND eta < 0.5 THEN a + bb * (eta - c) END AS om FROM cmb, (SELECT avg(a) AS a, avg(bb) AS bb FROM qz{NEWTON}), fcz))"""
+
+
+@query("E2_recalibrated_combination", f"WITH {RECALIBRATED_SQL}, {performance_sql('fin', digits=6)} SELECT * FROM figures")
 def recalibrated_combination(spark: SparkSession, sf: str) -> DataFrame:
     """The same chain with the combination itself calibrated once more (identity link)."""
     df = long_taggers(spark, sf)
     made = calibration.apply_calibration(df, fitted(df, weight=None), "tagger", "d", "eta")
-    joined = calibration.combine_taggers(made, "entry", "d_cal", "omega", ["B_ID"]).withColumn("tagger", F.lit("combination"))
+    joined = stored(calibration.combine_taggers(made, "entry", "d_cal", "omega", ["B_ID"]).withColumn("tagger", F.lit("combination")), "combination")
     fit = calibration.calibrate(joined, "tagger", "d", "eta", "B_ID", links="mistag")
     final = calibration.apply_calibration(joined, fit, "tagger", "d", "eta")
-    return stats.tagging_performance(final, "d_cal", "omega", "B_ID").drop("n_eff")
+    return rounded(stats.tagging_performance(final, "d_cal", "omega", "B_ID").drop("n_eff"), *FIGURES, digits=6)
+
+
+@query("C2_combine_files", f"WITH {RECALIBRATED_SQL}, {performance_sql('fin', digits=6)} SELECT * FROM figures")
+def combine_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Chain: one file per tagger and sample, keys from file names, outer join, calibration, combination, its calibration."""
+    best = per_tagger_events(spark, sf).select("entry", "flag", "d", "eta").join(b.candidates(spark, sf, "entry", "run", "B_ID"), "entry")
+    root = shared_dir(spark, "taggers")
+    best.withColumn("sample", F.concat(F.lit("sample"), F.col("run") % 3)).repartition("flag", "sample").write.partitionBy("flag", "sample").parquet(root)
+    tables = {}
+    for t in "ANR":
+        named = tables_of.keyed_events(spark, f"{root}/flag={t}", r"sample=([^/]+)/", "run", "entry")
+        tables[t] = named.select("key", "B_ID", F.col("d").alias(f"{t}_TagDec"), F.col("eta").alias(f"{t}_Eta"))
+    return rounded(chains.combine_and_calibrate(tables, "key", "B_ID").performance("B_ID").drop("n_eff"), *FIGURES, digits=6)
+
+
+@query(
+    "C3_trends",
+    f"""WITH {b.BEST_SQL}, {stat_queries.WEIGHTED_EV}, bn AS ({' UNION ALL '.join(f"SELECT d, eta, B_ID, w, '{n}' AS split, coalesce({stat_queries._bin_sql(n)}, -2) AS bin FROM wev" for n in stat_queries.BIN_EDGES)}),
+      wb AS (SELECT * FROM bn UNION ALL SELECT * REPLACE (-1 AS bin) FROM bn), {performance_sql('wb', 'split, bin', 'w', 12)}
+      SELECT a.split, a.bin, round(1e2 * a.tagging_power, 5) AS value, round(1e2 * (a.tagging_power - o.tagging_power), 5) + 0e0 AS deviation
+      FROM figures a JOIN (SELECT * FROM figures WHERE bin = -1) o USING (split) WHERE a.bin >= 0""",
+)
+def trend_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Chain: deviation of the weighted power in every bin of all kinematic splits from the whole sample."""
+    df = stat_queries.weighted_events(spark, sf, *stat_queries.BIN_EDGES)
+    out = chains.trends(df, stat_queries.BIN_EDGES, "d", "eta", "B_ID", "w")
+    return rounded(out.select("split", "bin", "value", "deviation"), "value", "deviation", digits=5)
 
 
 PT_EDGES = [0, 5000, 10000, 15000, 20000, 25000]

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.events import event_key
+
 
 def scan_columns(spark: SparkSession, path: str | Sequence[str], columns: Iterable[str]) -> DataFrame:
     """Named columns of one table; the projection reaches the file scan."""
@@ -58,3 +60,15 @@ def without_file(spark: SparkSession, paths: str | Sequence[str], reserved: str,
     df = scan_many(spark, paths, **options)
     tag = options.get("file_tag", "sample")
     return df.filter(F.col(tag) != reserved) if enabled else df
+
+
+def keyed_events(spark: SparkSession, path: str, pattern: str, run: str, event: str, out: str = "key") -> DataFrame:
+    """Event tables of several files, each row with the key ``<file key>_<run>_<event>``.
+
+    The file key is what ``pattern``'s first group finds in a file's path, so it does not change when files are added or listed in
+    another order. A file whose path has no key is an error: its events could meet those of another file.
+    """
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    found = F.regexp_extract("_metadata.file_path", pattern, 1)
+    named = F.when(found != "", found).otherwise(F.raise_error(F.lit(f"no file key by {pattern} in a path below {path}")))
+    return df.select("*", event_key(named, F.col(run), F.col(event)).alias(out))
