@@ -139,13 +139,17 @@ def nn_train(spark: SparkSession, sf: str) -> DataFrame:
     return training.train(df, NET_INPUTS, "label", "held", b.ROW_KEYS, NET_PLAN).loss_table(df)
 
 
+def _raw_net(sql: str) -> str:
+    """Network scores as they are, not rounded."""
+    return sql.replace("round(1e0 / (1e0 + exp(-", "(1e0 / (1e0 + exp(-").replace("))), 8) AS prob_nn", ")))) AS prob_nn")
+
+
 def _logistic_sql(steps: int = 12) -> str:
     """Newton's method on the likelihood of intercept and slope."""
     net = _net_sql(src(*NET_INPUTS), list(NET_INPUTS), NET, K + ", (prob + B_Tr_T_PROBNN_K + (track_part % 7) / 1e1 > 1.3) AS label")
     for depth in range(len(NET.layers) - 1):  # the label is made with the first layer and carried on
         net = net.replace("(prob + B_Tr_T_PROBNN_K + (track_part % 7) / 1e1 > 1.3) AS label", "label", 1)
-    net = net.replace("round(1e0 / (1e0 + exp(-", "(1e0 / (1e0 + exp(-").replace("))), 8) AS prob_nn", ")))) AS prob_nn")
-    ctes = [f"n AS MATERIALIZED (SELECT label::INT AS label, prob_nn AS nn FROM ({net}))", "b0 AS (SELECT 0e0 AS a, 0e0 AS s)"]
+    ctes = [f"n AS MATERIALIZED (SELECT label::INT AS label, prob_nn AS nn FROM ({_raw_net(net)}))", "b0 AS (SELECT 0e0 AS a, 0e0 AS s)"]
     for i in range(steps):
         sums = "sum(label - p) AS g0, sum((label - p) * nn) AS g1, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * nn) AS h1, sum(p * (1 - p) * nn * nn) AS h2"
         ctes.append(f"c{i} AS (SELECT any_value(a) AS a, any_value(s) AS s, {sums} FROM (SELECT *, 1e0 / (1e0 + exp(-a - s * nn)) AS p FROM n, b{i}))")
@@ -762,6 +766,37 @@ def combined_performance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.tagging_performance(joined, "d", "eta", "B_ID").drop("n_eff"), *FIGURES)
 
 
+CHAIN_TRACK = ("PX", "PY", "PZ", "P", "PT", "Eta", "Phi", "X", "Y", "Z", "firstZ", "OWNPV_Z", "OWNPVIP", "OWNPVIPCHI2", "PROBNN_K", "Charge", "IsInTree", "Origin_Flag", "TRUE_PARTICLE_ID")
+CHAIN_SIGNAL = ("B_PX", "B_PY", "B_PZ", "B_P", "B_M", "B_ENERGY", "B_ETA", "B_PHI", "B_OWNPV_Z", "B_ENDV_X", "B_ENDV_Y", "B_ENDV_Z", "B_TRUEID")
+CHAIN_CUT = "(B_Tr_T_PROBNN_K > 0.4) & (B_Tr_T_Origin_Flag !=0)"
+CHAIN_INPUTS = ("B_Tr_T_PROBNN_K", "B_Tr_T_OWNPVIP")
+CHAIN_NET = networks.Network.initial(2, [3, 3], seed=5)
+
+
+def nested_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their tracks nested, in the order of line, part and supplier; an order has a few lines."""
+    df = b.tracks(spark, sf, *CHAIN_SIGNAL, *[f"B_Tr_T_{n}" for n in CHAIN_TRACK])
+    numbers = ("Charge", "IsInTree", "Origin_Flag", "TRUE_PARTICLE_ID")
+    track = F.struct("subentry", "track_part", "track_supp", *[F.col(f"B_Tr_T_{n}").cast("int" if n in numbers else "double").alias(f"B_Tr_T_{n}") for n in CHAIN_TRACK])
+    rows = df.groupBy("entry").agg(*[F.first(c).alias(c) for c in CHAIN_SIGNAL], F.sort_array(F.collect_list(track)).alias("tracks"))
+    tracks = F.transform("tracks", lambda t: t.dropFields("subentry", "track_part", "track_supp"))
+    return rows.withColumns({"tracks": tracks, "RUNNUMBER": F.lit(1), "EVENTNUMBER": F.col("entry")})
+
+
+@query(
+    "C1_tag_events",
+    f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY subentry, track_part, track_supp) AS sub, CASE WHEN B_Tr_T_PROBNN_K > 0.4 AND B_Tr_T_Origin_Flag <> 0 THEN 1 ELSE 0 END AS selected,
+        -B_Tr_T_Charge AS d0 FROM {src('B_TRUEID', 'B_Tr_T_Charge', 'B_Tr_T_Origin_Flag', *CHAIN_INPUTS)} v WHERE abs(B_TRUEID) = 521),
+      s AS (SELECT entry, sub, selected, d0, 1e0 - prob_nn AS e0 FROM ({_raw_net(_net_sql('t', list(CHAIN_INPUTS), CHAIN_NET, 'entry, sub, selected, d0'))})),
+      f AS (SELECT entry, sub, selected, CAST(CASE WHEN selected = 0 THEN 0 WHEN e0 > 0.5 THEN -d0 ELSE d0 END AS INT) AS d, CASE WHEN selected = 0 THEN 5e-1 WHEN e0 > 0.5 THEN 1e0 - e0 ELSE e0 END AS eta FROM s)
+      SELECT entry, d AS "OSKaon_TagDec", round(eta, 7) AS "OSKaon_Eta" FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY selected DESC, eta, sub) AS rn FROM f) WHERE rn = 1""",
+)
+def tag_events_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Chain: nested events, species, complete tracks, derived columns, cut text, network, decision, best track."""
+    out = chains.tag_events(nested_events(spark, sf), "Bu2JpsiK", "OSKaon", CHAIN_CUT, CHAIN_NET, CHAIN_INPUTS)
+    return rounded(out, "OSKaon_Eta", digits=7).select("entry", "OSKaon_TagDec", "OSKaon_Eta")
+
+
 RECALIBRATED_SQL = f"""{LONG_SQL}, {_newton_sql('1e0', 'logit')}, {APPLY_SQL}, cb AS (SELECT entry, any_value(B_ID) AS B_ID, {ODDS_SQL.format(d='d_cal', e='omega')} AS s FROM ca GROUP BY entry),
   cmb AS MATERIALIZED (SELECT 'combination' AS tagger, entry, B_ID, CAST(sign(s) AS INT) AS d, 1e0 / (1e0 + exp(abs(s))) AS eta FROM cb), {_newton_sql('1e0', 'mistag', 'cmb', 'z')},
   fin AS (SELECT entry, B_ID, CASE WHEN om < 0.5 THEN d ELSE 0 END AS d, CASE WHEN om < 0.5 THEN greatest(om, 0e0) ELSE 5e-1 END AS eta
