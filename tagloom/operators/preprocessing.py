@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tagloom.session import spread
 
 
 MOST_ROUNDS = 60
+#: From this grid step on the next range is centred on the parabola through the best point and its neighbours, and so much smaller.
+STEEP, CLOSER = 0.1, 20.0
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -30,36 +33,34 @@ def apply_power(df: DataFrame, powers: Mapping[str, float]) -> DataFrame:
     return df.withColumns({f: yeo_johnson(F.col(f).cast("double"), p) for f, p in powers.items()})
 
 
+#: Features whose candidates are folded in one aggregation; more of them would make its code too large.
+TOGETHER = 4
+
+
 def log_likelihoods(df: DataFrame, features: Sequence[str], grids: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
-    """Profile log-likelihood of every candidate power of every feature, in one pass over the rows.
+    """Profile log-likelihood of every candidate power of every feature.
 
     llf = -n/2 log(var(transformed)) + (power - 1) sum sign(x) log(1 + |x|); the variance comes from
-    the built-in merging moments, so wide value ranges stay stable. Every row is paired with the
-    candidates of its features inside the scan task and folded there, so one small generated
-    aggregate serves any grid and only (feature, power) sums are shuffled.
+    the built-in merging moments, so wide value ranges stay stable. Every candidate is an aggregate of its own over the same
+    scan; its power comes from a literal array, so each round runs the code compiled for the first.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.signum(f).alias("sign"),
-                F.log1p(F.abs(F.col(f))).alias("size"),
-                F.array(*[F.lit(float(p)) for p in grids[f]]).alias("powers"),
-            )
-            for f in features
-        ]
-    )
-    single = df.select(F.explode(pairs).alias("_p")).select("_p.*").filter("size IS NOT NULL")
-    rows = single.select("feature", "sign", "size", F.explode("powers").alias("power"))
-    sign, size, power = F.col("sign"), F.col("size"), F.col("power")
-    found = rows.groupBy("feature", "power").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop(yeo_johnson_log(sign, size, power)).alias("variance"),
-        F.sum(sign * size).alias("jacobian"),
-    )
-    llf = -0.5 * F.col("n") * F.log("variance") + (power - 1.0) * F.col("jacobian")
-    values = {(r["feature"], r["power"]): float(r["llf"]) for r in found.select("feature", "power", llf.alias("llf")).collect()}
-    return {f: [values[(f, float(p))] for p in grids[f]] for f in features}
+    out: dict[str, list[float]] = {}
+    for start in range(0, len(features), TOGETHER):
+        some = list(features[start : start + TOGETHER])
+        parts = {}
+        for i, f in enumerate(some):
+            parts[f"s_{i}"], parts[f"v_{i}"] = F.signum(f), F.log1p(F.abs(F.col(f)))
+        rows = df.select(*[c.alias(n) for n, c in parts.items()])
+        sums = []
+        for i, f in enumerate(some):
+            powers, sign, size = F.lit(np.array(grids[f], dtype=float)), F.col(f"s_{i}"), F.col(f"v_{i}")
+            sums += [F.count(size).alias(f"n_{i}"), F.sum(sign * size).alias(f"j_{i}")]
+            sums += [F.var_pop(yeo_johnson_log(sign, size, powers[k])).alias(f"x_{i}_{k}") for k in range(len(grids[f]))]
+        row = rows.agg(*sums).first()
+        for i, f in enumerate(some):
+            variances = np.array([row[f"x_{i}_{k}"] for k in range(len(grids[f]))], dtype=float)
+            out[f] = (-0.5 * row[f"n_{i}"] * np.log(variances) + (np.array(grids[f]) - 1.0) * row[f"j_{i}"]).tolist()
+    return out
 
 
 def fit_powers(
@@ -67,8 +68,8 @@ def fit_powers(
 ) -> dict[str, tuple[float, float]]:
     """(power, log-likelihood) per feature by repeated grid refinement around the best point.
 
-    A feature is done when its grid step is below ``tolerance``. A best point on the edge of the grid moves
-    the range outwards first. All features share one pass per round, so the number of scans does not grow with their
+    A feature is done when its grid step is below ``tolerance``; near the optimum the likelihood is a parabola, whose top the next
+    range is laid around. A best point on the edge of the grid moves the range outwards first. All features share one pass per round, so the number of scans does not grow with their
     number; a feature that is done takes part no more. A feature without spread has no optimum and gets the power 1.
     """
     spans = {f: (low, high) for f in features}
@@ -93,7 +94,11 @@ def fit_powers(
                 elif step < tolerance:
                     del spans[f]
                 else:
-                    spans[f] = (grids[f][k] - step, grids[f][k] + step)
+                    below, here, above = found[f][k - 1 : k + 2]
+                    bend = below - 2.0 * here + above
+                    near = 0.5 * step * (below - above) / bend if step <= STEEP and bend < 0 else 0.0
+                    reach = step / CLOSER if step <= STEEP and bend < 0 else step
+                    spans[f] = (grids[f][k] + near - reach, grids[f][k] + near + reach)
         raise ArithmeticError(f"no optimal power found for {sorted(spans)}")
     finally:
         slim.unpersist()

@@ -110,9 +110,8 @@ def per_tagger_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_taggers(spark: SparkSession, sf: str) -> DataFrame:
-    best = per_tagger_events(spark, sf)
-    tables = {t: best.filter(F.col("flag") == t).select("entry", "d", "eta") for t in ("A", "N", "R")}
-    return joins.outer_join_taggers(tables, "entry")
+    """One row per event of the long table; tables that come apart are joined by ``outer_join_taggers``, as in C2."""
+    return joins.widen_taggers(per_tagger_events(spark, sf).select("entry", "flag", "d", "eta"), "entry", "flag", ["A", "N", "R"])
 
 
 @query(

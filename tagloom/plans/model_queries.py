@@ -514,15 +514,15 @@ def long_taggers(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return df.withColumn("w", (F.col("run") % 10 - 2) / 4.0).drop("run")
 
 
-def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "") -> str:
-    """Unrolled Fisher scoring of two parameters per (tagger, sign) of ``rows``; ``mark`` ends the names of its tables."""
+def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "", chi: str = "0e0") -> str:
+    """Unrolled Fisher scoring of two parameters per (tagger, sign) of ``rows``; ``mark`` ends the names of its tables, ``chi`` is the mixing probability."""
     value = "ln(eta / (1e0 - eta))" if link == "logit" else "eta"
     centre = "ln(m / (1e0 - m))" if link == "logit" else "m"
     start = "ln(f / (1e0 - f))" if link == "logit" else "f"
     omega = "1e0 / (1e0 + exp(-(a + bb * x)))" if link == "logit" else "greatest(least(a + bb * x, 1e0 - 1e-9), 1e-9)"
     slope = "om * (1e0 - om)" if link == "logit" else "1e0"
     ctes = [
-        f"fr{mark} AS (SELECT tagger, CAST(sign(B_ID) AS INT) AS sg, CASE WHEN d * sign(B_ID) < 0 THEN 1e0 ELSE 0e0 END AS y, eta, {weight} AS fw FROM {rows} WHERE d <> 0 AND eta < 0.5)",
+        f"fr{mark} AS (SELECT tagger, CAST(sign(B_ID) AS INT) AS sg, CASE WHEN d * sign(B_ID) < 0 THEN 1e0 ELSE 0e0 END AS y, eta, {weight} AS fw, {chi} AS chi FROM {rows} WHERE d <> 0 AND eta < 0.5)",
         f"fc{mark} AS (SELECT tagger, {centre} AS c FROM (SELECT tagger, sum(fw * eta) / sum(fw) AS m FROM fr{mark} GROUP BY tagger))",
         f"fx{mark} AS MATERIALIZED (SELECT f.*, {value} - c AS x FROM fr{mark} f JOIN fc{mark} USING (tagger))",
         f"q{mark}0 AS (SELECT tagger, sg, {start} AS a, 0e0 AS bb FROM (SELECT tagger, sg, sum(fw * y) / sum(fw) AS f FROM fr{mark} GROUP BY tagger, sg))",
@@ -533,9 +533,9 @@ def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "") -> str
              sqrt((h2 * h2 * v0 - 2 * h1 * h2 * v1 + h1 * h1 * v2) / (det * det)) AS ea, sqrt((h1 * h1 * v0 - 2 * h0 * h1 * v1 + h0 * h0 * v2) / (det * det)) AS eb,
              (h0 * h2 * v1 + h1 * h1 * v1 - h1 * h2 * v0 - h0 * h1 * v2) / (det * det) AS eab
              FROM (SELECT *, h0 * h2 - h1 * h1 AS det FROM (SELECT tagger, sg, any_value(a) AS a, any_value(bb) AS bb,
-               sum(fw * (y - om) * sl / sp) AS g0, sum(fw * (y - om) * sl / sp * x) AS g1, sum(fw * sl * sl / sp) AS h0, sum(fw * sl * sl / sp * x) AS h1, sum(fw * sl * sl / sp * x * x) AS h2,
+               sum(fw * (y - pi) * sl / sp) AS g0, sum(fw * (y - pi) * sl / sp * x) AS g1, sum(fw * sl * sl / sp) AS h0, sum(fw * sl * sl / sp * x) AS h1, sum(fw * sl * sl / sp * x * x) AS h2,
                sum(fw * fw * sl * sl / sp) AS v0, sum(fw * fw * sl * sl / sp * x) AS v1, sum(fw * fw * sl * sl / sp * x * x) AS v2
-               FROM (SELECT *, {slope} AS sl, om * (1e0 - om) AS sp FROM (SELECT x.*, a, bb, {omega} AS om FROM fx{mark} x JOIN q{mark}{i} USING (tagger, sg))) GROUP BY tagger, sg)))"""
+               FROM (SELECT *, {slope} * (1e0 - 2e0 * chi) AS sl, pi * (1e0 - pi) AS sp FROM (SELECT *, om + chi - 2e0 * om * chi AS pi FROM (SELECT x.*, a, bb, {omega} AS om FROM fx{mark} x JOIN q{mark}{i} USING (tagger, sg)))) GROUP BY tagger, sg)))"""
         )
     return ", ".join(ctes)
 
@@ -719,13 +719,17 @@ def oscillation_time_input(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("entry", fixed(time, 6).alias("time"), *[fixed(c, 6).alias(n) for n, c in chi.items()])
 
 
-@query("M20_mixing_calibration")
+MIXING_SQL = f"""{PER_TAGGER}, lg AS (SELECT o.flag AS tagger, o.d, o.eta, c.B_ID, 5e-1 * (1e0 - cos(5.069e-1 * (B_DTF_PV_CTAU / 2.9979e-1))) AS chi
+  FROM one o JOIN ({b.candidates_sql('entry', 'B_ID', 'B_DTF_PV_CTAU')}) c ON o.entry = c.entry)"""
+
+
+@query("M20_mixing_calibration", f"WITH {MIXING_SQL}, {_newton_sql('1e0', 'logit', chi='chi')}, {_parameters_sql(4)}")
 def mixing_calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Calibration with the oscillation-aware likelihood of a neutral mode."""
     df = long_taggers(spark, sf, "B_DTF_PV_CTAU")
     time = tag.decay_time(F.col("B_DTF_PV_CTAU"), "c_ps")
     chi = tag.mixing_probability(time, tag.frequency_of("Bd2JpsiKst"))
-    return calibration.calibrate(df, "tagger", "d", "eta", "B_ID", None, mixing=chi).parameter_table(spark)
+    return rounded(calibration.calibrate(df, "tagger", "d", "eta", "B_ID", None, mixing=chi).parameter_table(spark), "value", "error", digits=4)
 
 
 @query(
