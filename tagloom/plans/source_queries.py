@@ -58,7 +58,7 @@ def chunked_append(spark: SparkSession, sf: str) -> DataFrame:
     df = b.tracks(spark, sf, "prob")
     for batch in (0, 1, 1):
         stages.append_in_chunks(df.filter(F.col("entry") % 2 == batch), "entry", 10, path, f"half{batch}")
-    return rounded(spark.read.parquet(path).drop("batch", "chunk"), "prob")
+    return rounded(stages.read_batches(spark, path, df.schema).drop("batch", "chunk"), "prob")
 
 
 @query("S5_write_stage", f"WITH {b.TAGGED_SQL} SELECT {K}, selected, 'Bu2JpsiK' AS decay, 'OSKaon' AS tagger FROM tagged WHERE selected = 1")
@@ -162,13 +162,12 @@ EVENT_ROLES = {
       k AS (SELECT strftime(day, '%Y-%m-%d') AS day, d, eta, B_ID FROM v), {performance_sql('k', 'day')} SELECT * FROM figures""",
 )
 def windowed_performance(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily performance of a replayed stream: closed windows from the stream, those left open as a batch."""
+    """Daily performance of a replayed stream: closed windows from its output, those left open from its state."""
     output, checkpoint = shared_dir(spark, "windows"), shared_dir(spark, "windows-state")
     stream = _event_stream(spark, sf).withColumns({n: F.expr(e) for n, e in EVENT_ROLES.items()})
     made = incremental.windowed_performance(stream, "ts", "10 minutes", "1 day", "d", "eta", "B_ID")
     incremental.run_available(made, output, checkpoint)
     closed = spark.read.parquet(output)
-    history = b.table(spark, sf, "events").withColumns({"ts": F.col("ts").cast("timestamp")} | {n: F.expr(e) for n, e in EVENT_ROLES.items()})
-    left = incremental.open_windows(history, closed, "ts", "1 day", "d", "eta", "B_ID")
+    left = incremental.open_windows(spark, checkpoint)
     df = closed.unionByName(left).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
     return rounded(df.drop("window_start", "window_end", "n_eff"), *FIGURES)

@@ -68,17 +68,24 @@ def windowed_performance(
     return _window_figures(grouped)
 
 
-def open_windows(
-    history: DataFrame, closed: DataFrame, time: str, width: str, decision: str, mistag: str, flavour: str, weight: str | None = None
-) -> DataFrame:
-    """Figures of the windows that a finished replay has not emitted, from the replayed rows as a batch.
+#: The sums in a window's state, in their order; without weights the squared ones are the plain ones and are kept once.
+_STATE = [("n", "bigint"), ("n_tagged", "bigint"), *[(name, "double") for name in perf.SUMS[2:]]]
+_UNWEIGHTED = {"sum_w2": "sum_w", "sum_w2_tagged": "sum_w_tagged"}
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Figures of the windows that ``windowed_performance`` has not emitted yet, from the state below its ``checkpoint``.
 
-    ``closed`` is what ``windowed_performance`` wrote; both together cover every window of ``history`` once.
+    What the stream wrote and this cover every window once; the rows themselves are not read again.
     """
-    w = F.col(weight) if weight else None
-    sums = perf.performance_sums(F.col(decision), F.col(mistag), F.col(flavour), w)
-    grouped = _window_figures(history.groupBy(F.window(time, width)).agg(*sums))
-    return grouped.join(closed.select("window_start"), "window_start", "left_anti").select(*grouped.columns)
+    state = spark.read.format("statestore").load(checkpoint)
+    held = len(state.schema["value"].dataType.fields)
+    names = [(n, kind) for n, kind in _STATE if held == len(_STATE) or n not in _UNWEIGHTED]
+    if held != len(names):
+        raise ValueError(f"the state below {checkpoint} has {held} sums, not those of a windowed performance")
+    sums = F.col("value").cast("struct<" + ",".join(f"{n}:{kind}" for n, kind in names) + ">")
+    rows = state.select("key.window", sums.alias("s")).select("window", "s.*")
+    return _window_figures(rows.withColumns({n: F.col(same) for n, same in _UNWEIGHTED.items() if n not in rows.columns}))
 
 
 def _window_figures(grouped: DataFrame) -> DataFrame:

@@ -17,13 +17,26 @@ def test_appends_add_and_repeats_replace(spark, tmp_path):
     first, second = spark.range(100).toDF("k"), spark.range(1000, 1100).toDF("k")
     stages.append_in_chunks(first, "k", 10, path, "a")
     stages.append_in_chunks(second, "k", 10, path, "b")
-    assert spark.read.parquet(path).count() == 200
+    read = lambda: stages.read_batches(spark, path, "k long")
+    assert read().count() == 200
     stages.append_in_chunks(second, "k", 10, path, "b")
-    back = spark.read.parquet(path)
+    back = read()
     assert back.count() == 200 and back.select("batch", "chunk").distinct().count() == 20
     keyless = spark.createDataFrame([(None,), (5,)], "k long")
     stages.append_in_chunks(keyless, "k", 3, path, "c")
-    assert spark.read.parquet(path).count() == 202
+    assert read().count() == 202 and read().where("chunk = -1").count() == 1
+
+
+def test_a_run_that_dies_before_publication_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert stages.read_batches(spark, path, "k long").collect() == []
+    stages.append_in_chunks(spark.range(5).toDF("k"), "k", 2, path, "a")
+    late = stages.write_chunks(spark.range(50, 70).toDF("k"), "k", 2, path, "a")  # and then the run dies
+    stages.write_chunks(spark.range(90, 95).toDF("k"), "k", 2, path, "b")
+    keys = lambda: sorted(r["k"] for r in stages.read_batches(spark, path, "k long").collect())
+    assert keys() == [0, 1, 2, 3, 4]
+    stages.publish(spark, path, "a", late)
+    assert keys() == list(range(50, 70))
 
 
 def test_a_half_written_set_is_built_again(spark, tmp_path):
@@ -129,16 +142,21 @@ def test_many_files_replay_as_one_batch(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
-def test_windows_left_open_are_added(spark, tmp_path):
-    rows = spark.range(40).selectExpr("timestamp_seconds(id * 21600) AS ts", "1 AS d", "id / 100.0D AS eta", "521 AS f")
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_windows_left_open_come_from_the_state(spark, tmp_path, weight):
+    from tagloom.operators import stats
+
+    rows = spark.range(40).selectExpr("timestamp_seconds(id * 21600) AS ts", "CAST(1 AS INT) AS d", "id / 100.0D AS eta", "521 AS f", "1 + id / 10.0D AS w")
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows.write.parquet(source)
     stream = incremental.file_stream(spark, source, rows.schema)
-    incremental.run_available(incremental.windowed_performance(stream, "ts", "1 hour", "1 day", "d", "eta", "f"), out, state)
+    incremental.run_available(incremental.windowed_performance(stream, "ts", "1 hour", "1 day", "d", "eta", "f", weight), out, state)
     closed = spark.read.parquet(out)
-    left = incremental.open_windows(rows, closed, "ts", "1 day", "d", "eta", "f")
-    both = closed.unionByName(left)
+    both = closed.unionByName(incremental.open_windows(spark, state))
     assert closed.count() < 10 == both.count() and both.agg(F.sum("n")).first()[0] == 40
+    whole = stats.tagging_performance(rows.withColumn("day", F.date_trunc("day", "ts")), "d", "eta", "f", weight, ["day"]).withColumnsRenamed({"tagging_power": "p", "n_eff": "e"})
+    joined = both.join(whole, F.col("window_start") == F.col("day"))
+    assert joined.count() == 10 and joined.where("abs(tagging_power - p) > 1e-12 or abs(n_eff - e) > 1e-9").count() == 0
 
 
 def test_yields_are_at_the_optimum_and_weights_add_up(spark):

@@ -113,7 +113,7 @@ def test_stage_tables_are_restartable(spark, tmp_path):
     assert stages.read_stage(spark, root, tagger="a").count() == 10 and stages.read_stage(spark, root).count() == 13
     for _ in range(2):
         stages.append_in_chunks(df, "k", 3, str(tmp_path / "c"), "first")
-    back = spark.read.parquet(str(tmp_path / "c"))
+    back = stages.read_batches(spark, str(tmp_path / "c"), "k long")
     assert back.count() == 10 and back.select("chunk").distinct().count() == 3
     calls = []
 
