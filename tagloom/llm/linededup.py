@@ -7,7 +7,8 @@ have no near line; the others emit all their variants as hashed keys, equal vari
 is verified on the words themselves.
 
 Groups of lines with one variant are reduced to their earliest line before anything is joined, so a template with many fillings
-makes no pairs. A line goes if an equal or near line stands earlier; the earliest stays. All of it is joins, grouping, windows over
+makes no pairs. A line goes if an equal or near line stands earlier; the earliest stays. Lines of very few words are near
+to too much: they are compared for equality only. All of it is joins, grouping, windows over
 the words of one line, and built-in functions.
 """
 
@@ -129,8 +130,8 @@ def _near(candidates: DataFrame) -> DataFrame:
 
 def _gone(documents: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
     """(doc, line, dx, dy, first) for every line that goes; ``first``: the place of the earliest equal or near line."""
-    lines = _identified(lines_of(documents, key, text).where(F.col("n") >= least_words))
-    near = written(_near(_candidates(lines)), "near")
+    lines = _identified(lines_of(documents, key, text).where(F.col("l") != ""))
+    near = written(_near(_candidates(lines.where(F.col("n") >= least_words))), "near")
     places = lines.groupBy(*ID).agg(F.min(F.struct(*PLACE)).alias("own"), F.max(F.struct(*PLACE)).alias("last"))
     equal = places.where(F.col("own") < F.col("last")).select(*ID, "own", F.col("own").alias("first"))
     changed = equal.unionByName(near).groupBy(*ID).agg(F.min("own").alias("own"), F.min("first").alias("first"))
@@ -143,7 +144,7 @@ def duplicate_lines(documents: DataFrame, key: str = "doc_id", text: str = "text
     """(doc, line, first_doc, first_line) for every line that goes, with the place of the earliest equal or near line.
 
     Places are ordered by document key (a missing key is the least), line number and text. Lines of fewer than ``least_words`` words
-    always stay. Rows with one key and one text are one document, and the lines at one place of it one line: repeated rows lose
+    go only if an equal one stands earlier, empty ones always stay. Rows with one key and one text are one document, and the lines at one place of it one line: repeated rows lose
     nothing to each other. Rows with one key, or without one, and different texts are different documents. A null or empty text
     has no line to lose; an empty table gives an empty one; other columns play no part.
     """
@@ -158,11 +159,15 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text",
     the last byte.
     """
     gone = _gone(documents, key, text, least_words)
-    gone = gone.groupBy(*(F.col(c).alias(f"_{c}") for c in ("doc", "dx", "dy"))).agg(F.collect_set("line").alias("_gone"))
+    taken = {c.lower() for c in documents.columns}
+    names = {c: next(n for n in (f"_{c}" + "_" * k for k in range(len(taken) + 1)) if n not in taken) for c in ("doc", "dx", "dy", "gone", "kept")}
+    places, kept = names["gone"], names["kept"]
+    gone = gone.groupBy(*(F.col(c).alias(names[c]) for c in ("doc", "dx", "dy"))).agg(F.collect_set("line").alias(places))
     x, y = _bits(F.col(text))
-    own = (x == F.col("_dx")) & (y == F.col("_dy")) & F.col(key).eqNullSafe(F.col("_doc"))
+    own = (x == F.col(names["dx"])) & (y == F.col(names["dy"])) & F.col(key).eqNullSafe(F.col(names["doc"]))
     rows = documents.join(written(gone, "gone_lines"), own, "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda l, i: ~F.array_contains(F.col("_gone"), i))
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    rows = rows.where("_kept is null or size(_kept) > 0")
-    return rows.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))).select(*documents.columns)
+    lines = F.split(F.col(text), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    rows = rows.withColumn(kept, F.when(F.col(places).isNotNull(), F.transform(left, lambda i: F.get(lines, i))))
+    rows = rows.where(F.col(kept).isNull() | (F.size(kept) > 0))
+    return rows.withColumn(text, F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*documents.columns)

@@ -145,13 +145,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 LINES_SQL = r"""
 WITH ls AS (SELECT doc_id, t.i - 1 AS line, trim(t.l, ' ') AS l FROM
     (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS t(l, i)),
-lw AS (SELECT *, string_split(l, ' ') AS w FROM ls WHERE len(string_split(l, ' ')) >= 5),
-d AS MATERIALIZED (SELECT l, any_value(w) AS w, min((doc_id, line)) AS own FROM lw GROUP BY l),
+lw AS (SELECT *, string_split(l, ' ') AS w FROM ls WHERE l <> ''),
+e AS MATERIALIZED (SELECT l, any_value(w) AS w, min((doc_id, line)) AS own FROM lw GROUP BY l),
+d AS MATERIALIZED (SELECT * FROM e WHERE len(w) >= 5),
 v AS MATERIALIZED (SELECT l, own, p, array_to_string(list_concat(list_slice(w, 1, p), list_slice(w, p + 2, len(w))), ' ') AS v FROM d, unnest(range(len(w))) AS t(p)),
 near AS (SELECT a.l, b.own AS o FROM v a JOIN v b ON a.v = b.v AND a.p = b.p AND b.own < a.own
   UNION ALL SELECT a.l, b.own FROM v a JOIN d b ON a.v = b.l AND b.own < a.own
   UNION ALL SELECT a.l, b.own FROM d a JOIN v b ON a.l = b.v AND b.own < a.own),
-firsts AS (SELECT l, min(o) AS first FROM (SELECT l, own AS o FROM d UNION ALL SELECT * FROM near) GROUP BY l)
+firsts AS (SELECT l, min(o) AS first FROM (SELECT l, own AS o FROM e UNION ALL SELECT * FROM near) GROUP BY l)
 SELECT DISTINCT doc_id, CAST(line AS INT) AS line, first[1] AS first_doc_id, CAST(first[2] AS INT) AS first_line
 FROM lw JOIN firsts USING (l) WHERE (doc_id, line) > first"""
 

@@ -23,7 +23,7 @@ def within_one(a, b):
 def slow(docs, least=5):
     place = lambda k, i: (k is not None, k or 0, i)
     lines = [(k, i, t.strip(" ").split(" ")) for k, text in docs for i, t in enumerate((text or "").split("\n")) if text is not None]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2] != [""]]
     firsts = {}
     for k, i, w in lines:
         p = (place(k, i), k, i)
@@ -31,7 +31,7 @@ def slow(docs, least=5):
     out = set()
     for k, i, w in lines:
         own = firsts[tuple(w)]
-        near = min([own] + [p for v, p in firsts.items() if p < own and within_one(list(v), w)])
+        near = min([own] + [p for v, p in firsts.items() if p < own and min(len(v), len(w)) >= least and within_one(list(v), w)])
         if near[0] < place(k, i):
             out.add((k, i, near[1], near[2]))
     return sorted(out, key=str)
@@ -65,6 +65,7 @@ def test_all_pairs(spark):
     rng = random.Random(11)
     lines = corpus(rng)
     docs = [(i, "\n".join(" " * rng.randrange(2) + " ".join(w) for w in lines[i * 9 : i * 9 + 9])) for i in range(len(lines) // 9 + 1)]
+    docs += [(510, "Of.\n  \nall rights\nOf."), (511, " Of. \nall right\nall rights"), (512, "a a a\na a a a\na a a")]
     docs += [(500, None), (501, ""), (502, "\n\n"), (503, " ".join(lines[0])), (None, " ".join(lines[5])), (3, docs[3][1]), (-4, "t e m p l first")]
     rng.shuffle(docs)
     _, got = run(spark, docs)
@@ -94,6 +95,9 @@ def test_texts_are_rebuilt(spark):
     assert got.columns == df.columns
     want = [(1, docs[0][1]), (2, "keep me"), (4, None), (5, ""), (6, ""), (6, ""), (None, "tiny")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    clash = df.withColumns({n: F.lit(7) for n in ("_kept", "_gone", "_doc", "_dx", "_DY")})
+    assert {(r["_kept"], r["_gone"], r["_doc"], r["_dx"], r["_DY"]) for r in d.deduplicated(clash).collect()} == {(7,) * 5}
+    assert d.deduplicated(clash).count() == len(want)
     assert d.deduplicated(df.limit(0)).collect() == [] and d.duplicate_lines(df.limit(0)).collect() == []
 
 
