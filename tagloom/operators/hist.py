@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +59,25 @@ def histogram(
     )
 
 
+def histograms(df: DataFrame, ranges: Mapping[str, tuple[float, float]], bins: int, by: Iterable[str] = ()) -> DataFrame:
+    """``histogram`` of several features at once: ``feature, by..., bin, bin_low, n, density``.
+
+    A row gives one (feature, bin) for each feature, counted in the same combinable aggregation; a feature's bin width is its own.
+    """
+    by = list(by)
+    places = [
+        F.struct(F.lit(name).alias("feature"), bin_index(F.col(name).cast("double"), low, high, bins).alias("bin")) for name, (low, high) in ranges.items()
+    ]
+    placed = df.select(*by, F.explode(F.array(*places)).alias("_p")).select("_p.feature", *by, "_p.bin")
+    counted = placed.filter(F.col("bin").isNotNull()).groupBy("feature", *by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    packed = counted.groupBy("feature", *by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_bins"), F.sum("n").alias("_total"))
+    filled = packed.select("feature", *by, "_bins", "_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("feature"))
+    low, width = pick({n: lo for n, (lo, _) in ranges.items()}), pick({n: (hi - lo) / bins for n, (lo, hi) in ranges.items()})
+    n = F.coalesce(F.try_element_at("_bins", F.col("bin")), F.lit(0).cast("long"))
+    return filled.select("feature", *by, "bin", (low + F.col("bin") * width).alias("bin_low"), n.alias("n"), F.try_divide(n.cast("double"), F.col("_total") * width).alias("density"))
+
+
 def common_range(
     df: DataFrame, value: str, integer: bool = False, bins: int = 60, upper: float = 0.995
 ) -> tuple[float, float, int]:

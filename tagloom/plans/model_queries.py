@@ -739,7 +739,12 @@ def mixing_calibration(spark: SparkSession, sf: str) -> DataFrame:
       pt AS (SELECT t.generation, t.d, t.eta, c.B_ID FROM two t JOIN ({b.candidates_sql('entry', 'B_ID')}) c ON t.entry = c.entry), {performance_sql('pt', 'generation')} SELECT * FROM figures""",
 )
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Track-level performance of two tagger generations, stacked to one long table."""
+    """Track-level performance of two tagger generations."""
+    return rounded(stats.tagging_performance(generations(spark, sf), "d", "eta", "B_ID", by=["generation"]).drop("n_eff"), *FIGURES)
+
+
+def generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions of two tagger generations on the same tracks, stacked to one long table."""
     df = b.tagged_tracks(spark, sf)
     before = 1.0 - F.col("prob2")
     df = df.withColumns(
@@ -750,8 +755,25 @@ def run_compare(spark: SparkSession, sf: str) -> DataFrame:
     )
     sources = {("new",): ("d", "eta"), ("previous",): ("d_old", "eta_old")}
     long = calibration.to_long(df, ["entry"], sources, ["generation"])
-    long = long.join(b.candidates(spark, sf, "entry", "B_ID"), "entry")
-    return rounded(stats.tagging_performance(long, "d", "eta", "B_ID", by=["generation"]).drop("n_eff"), *FIGURES)
+    return long.join(b.candidates(spark, sf, "entry", "B_ID"), "entry")
+
+
+GENERATIONS_SQL = f"""{b.TAGGED_SQL}, two AS (SELECT entry, 'new' AS generation, d, eta FROM tagged UNION ALL
+    SELECT entry, 'previous', CAST(CASE WHEN 1e0 - prob2 > 0.5 THEN -d0 ELSE d0 END AS INT), CASE WHEN 1e0 - prob2 > 0.5 THEN prob2 ELSE 1e0 - prob2 END FROM tagged),
+  lg AS (SELECT t.generation AS tagger, t.d, t.eta, c.B_ID FROM two t JOIN ({b.candidates_sql('entry', 'B_ID')}) c ON t.entry = c.entry)"""
+
+
+@query(
+    "M21_calibrated_compare",
+    f"""WITH {GENERATIONS_SQL}, {_newton_sql('1e0', 'logit')}, {CAL_POWER_SQL} SELECT tagger AS generation, n, n_tagged, round(d2 / n, 8) AS tagging_power, round({CAL_ERROR} / n, 8) AS tagging_power_cal_err
+      FROM cs JOIN mv USING (tagger)""",
+)
+def calibrated_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Both generations calibrated in one fit and compared by their calibrated power."""
+    long = generations(spark, sf)
+    fit = group_calibration.calibrate_groups(long, ["generation"], "d", "eta", "B_ID", tolerance=1e-9)
+    made = group_calibration.calibrated_performance(long, fit, ["generation"], "d", "eta", "B_ID")
+    return rounded(made.select("generation", "n", "n_tagged", "tagging_power", "tagging_power_cal_err"), "tagging_power", "tagging_power_cal_err")
 
 
 # chains ------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.transforms import fixed
 from tagloom.operators import calibration, events, hist, joins, stats
 from tagloom.plans import bindings as b
-from tagloom.plans.column_queries import MERGED_CASE, ORIGIN, PLAIN_CASE, classified, src
+from tagloom.plans.column_queries import K, MERGED_CASE, ORIGIN, PLAIN_CASE, classified, src
 from tagloom.plans.event_queries import PER_TAGGER, SPLIT_SQL, labelled, per_tagger_events, split_tracks
 from tagloom.plans.flagship import FIGURES, performance_sql, rounded
 from tagloom.plans.registry import query
@@ -534,3 +534,41 @@ def power_table(spark: SparkSession, sf: str) -> DataFrame:
         "sum_power_percent": total,
     }
     return made.select("tagger", *[fixed(100.0 * c, 4).alias(n) for n, c in percent.items()])
+
+
+BY_ID = ("B_Tr_T_PIDK", "B_Tr_T_PT")
+BY_ID_RANGES = {"B_Tr_T_PIDK": (-25.0, 25.0), "B_Tr_T_PT": (0.0, 2000.0)}
+
+
+def _by_id_sql() -> str:
+    rows = f"(SELECT l.*, r.B_Tr_T_PIDK, r.B_Tr_T_PT FROM lab l JOIN (SELECT DISTINCT {K}, B_Tr_T_PIDK, B_Tr_T_PT FROM {src(*BY_ID)}) r USING ({K}))"
+    parts = []
+    for name, (low, high) in BY_ID_RANGES.items():
+        one = hist_sql(rows, name, f"{low:e}", f"{high:e}", 20, "label, flavour")
+        one = one.replace(rows, f"(SELECT *, CAST(sign(B_TRUEID) AS INT) AS flavour FROM {rows} WHERE abs(B_TRUEID) = 521)")
+        parts.append(f"SELECT '{name}' AS feature, * FROM ({one})")
+    return f"WITH {b.TAGGED_SQL}, {SPLIT_SQL} " + " UNION ALL ".join(parts)
+
+
+@query("R8_feature_by_true_id", _by_id_sql())
+def feature_by_true_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Input features by label and sign of the true flavour, several features from one scan, on fixed edges."""
+    df = labelled(spark, sf).filter("abs(B_TRUEID) = 521").withColumn("flavour", F.signum("B_TRUEID").cast("int"))
+    df = df.join(b.tracks(spark, sf, *BY_ID).distinct(), b.ROW_KEYS)
+    return shown(hist.histograms(df, BY_ID_RANGES, 20, ["label", "flavour"]))
+
+
+TRACK_FEATURES = {"B_Tr_T_PROBNN_K": (0.0, 1.0), "B_Tr_T_PROBNN_MU": (0.0, 1.0), "B_Tr_T_PIDK": (-25.0, 25.0)}
+SAMPLE_SQL = "CASE WHEN entry % 3 = 0 THEN 'Bu_data' WHEN entry % 3 = 1 THEN 'Bu_mc' ELSE 'Bd_mc' END"
+
+
+@query(
+    "R9_track_features_by_sample",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, * FROM ({hist_sql(f'(SELECT {SAMPLE_SQL} AS sample, {n} FROM {src(n)})', n, f'{lo:e}', f'{hi:e}', 25, 'sample')})" for n, (lo, hi) in TRACK_FEATURES.items()
+    ),
+)
+def track_features_by_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Track-level features of data and simulation, each sample normalised, on common edges."""
+    df = b.tracks(spark, sf, *TRACK_FEATURES).withColumn("sample", F.expr(SAMPLE_SQL))
+    return shown(hist.histograms(df, TRACK_FEATURES, 25, ["sample"]))
