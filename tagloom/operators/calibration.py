@@ -146,18 +146,23 @@ def calibrate(
     observed disagreement then has probability omega (1 - chi) + (1 - omega) chi. A tagger whose
     mistag-link fit fails is refitted with the logit link when ``fallback`` is set.
     """
-    rows = fit_rows(df, tagger, decision, mistag, flavour, weight, mixing).persist()
+    rows = fit_rows(df, tagger, decision, mistag, flavour, weight, mixing)
+    means = _group_means(rows)
+    names = sorted({tagger for tagger, _ in means})
+    link_by = {n: links if isinstance(links, str) else links[n] for n in names}
+    npar_by = {n: npar if isinstance(npar, int) else npar[n] for n in names}
+    fit = Calibration(link_by, {})
+    if not means:
+        return fit
+    numbers = {group: k for k, group in enumerate(sorted(means))}
+    keys = pa.table({"tagger": [t for t, _ in numbers], "sign": pa.array([s for _, s in numbers], pa.int32()), "_k": pa.array(range(len(numbers)), pa.int32())})
+    rows = rows.join(local_table(rows.sparkSession, keys), ["tagger", "sign"]).drop("tagger", "sign").persist()
     try:
-        means = _group_means(rows)
-        names = sorted({tagger for tagger, _ in means})
-        link_by = {n: links if isinstance(links, str) else links[n] for n in names}
-        npar_by = {n: npar if isinstance(npar, int) else npar[n] for n in names}
-        fit = Calibration(link_by, {})
-        _newton(rows, fit, means, npar_by, names, iterations, tolerance)
+        _newton(rows, fit, means, numbers, npar_by, names, iterations, tolerance)
         failed = sorted({t for (t, _), g in fit.fits.items() if not g.converged and link_by[t] == "mistag"})
         if fallback and failed:
             fit.links.update(dict.fromkeys(failed, "logit"))
-            _newton(rows, fit, means, npar_by, failed, iterations, tolerance)
+            _newton(rows, fit, means, numbers, npar_by, failed, iterations, tolerance)
         return fit
     finally:
         rows.unpersist()
@@ -178,7 +183,7 @@ def _group_means(rows: DataFrame) -> dict[tuple[str, int], dict[str, float]]:
 
 
 def _newton(
-    rows: DataFrame, fit: Calibration, means: dict, npar: dict[str, int], names: list[str], iterations: int, tolerance: float
+    rows: DataFrame, fit: Calibration, means: dict, numbers: dict, npar: dict[str, int], names: list[str], iterations: int, tolerance: float
 ) -> None:
     """Fisher scoring from the flat curve, with the step halved whenever the loss went up."""
     width = max(npar[n] for n in names)
@@ -198,7 +203,7 @@ def _newton(
             fit.fits[(name, sign)] = GroupFit(start, np.full((npar[name],) * 2, np.nan))
             active.add((name, sign))
     for _ in range(iterations if active else 0):
-        for key, row in _score_sums(rows, fit, active, width).items():
+        for key, row in _score_sums(rows, fit, active, numbers, width).items():
             group = fit.fits[key]
             if group.previous is not None and row["loss"] > group.loss + 1e-7 * abs(group.loss):
                 group.values = 0.5 * (group.values + group.previous)
@@ -229,23 +234,22 @@ def _solve(row, n: int, width: int):
     return inverse @ g, inverse @ v @ inverse
 
 
-def _score_sums(rows: DataFrame, fit: Calibration, active: set, width: int) -> dict:
-    """Gradient, information and squared-weight information sums of the active groups."""
-    groups = sorted(active)
-    state: dict[str, list] = {
-        "tagger": [t for t, _ in groups],
-        "sign": pa.array([s for _, s in groups], pa.int32()),
-        "logit": [fit.links[t] == "logit" for t, _ in groups],
-        "centre": [fit.centres[t] for t, _ in groups],
-    }
-    for k in range(width):
-        values = [fit.fits[g].values for g in groups]
-        state[f"p{k}"] = [float(v[k]) if k < len(v) else 0.0 for v in values]
-    current = local_table(rows.sparkSession, pa.table(state))
-    joined = rows.join(current, ["tagger", "sign"])  # a local relation of two rows per tagger
-    x = F.when(F.col("logit"), F.col("log_odds")).otherwise(F.col("eta")) - F.col("centre")
-    staged = joined.withColumn("x", x)
-    u = polynomial(F.col("x"), [F.col(f"p{k}") for k in range(width)])
+def _score_sums(rows: DataFrame, fit: Calibration, active: set, numbers: dict, width: int) -> dict:
+    """Gradient, information and squared-weight information sums of the active groups.
+
+    The state of all groups is literal arrays that a row indexes by its group's number: every step runs the same compiled code.
+    """
+    groups = sorted(numbers, key=numbers.get)
+    values = np.zeros((len(groups), width))
+    for group in active:
+        own = fit.fits[group].values
+        values[numbers[group], : len(own)] = own
+    of_row = lambda x: F.lit(x)[F.col("_k")]
+    centre = of_row(np.nan_to_num(np.array([fit.centres.get(t, 0.0) for t, _ in groups])))
+    live = rows.filter(of_row([g in active for g in groups]))
+    staged = live.withColumn("logit", of_row([fit.links[t] == "logit" for t, _ in groups]))
+    staged = staged.withColumn("x", F.when(F.col("logit"), F.col("log_odds")).otherwise(F.col("eta")) - centre)
+    u = polynomial(F.col("x"), [of_row(values[:, k]) for k in range(width)])
     staged = staged.withColumn("omega", clipped(F.when(F.col("logit"), inverse_link("logit", u)).otherwise(u)))
     omega, chi = F.col("omega"), F.col("chi")
     slope = F.when(F.col("logit"), omega * (1.0 - omega)).otherwise(F.lit(1.0)) * (1.0 - 2.0 * chi)
@@ -267,7 +271,7 @@ def _score_sums(rows: DataFrame, fit: Calibration, active: set, width: int) -> d
     added += [F.sum(F.col("_h") * p).alias(f"h{k}") for k, p in enumerate(powers)]
     added += [F.sum(F.col("w") * F.col("_h") * p).alias(f"v{k}") for k, p in enumerate(powers)]
     added.append(F.sum(loss).alias("loss"))
-    return {(r["tagger"], r["sign"]): r for r in staged.groupBy("tagger", "sign").agg(*added).collect()}
+    return {groups[r["_k"]]: r for r in staged.groupBy("_k").agg(*added).collect()}
 
 
 def apply_calibration(
