@@ -5,8 +5,10 @@ into inverted lists; in its list a vector is stored as residual codes, one centr
 what the codes leave over. Both codebooks are fitted on at most ``SAMPLE`` distinct vectors; every vector is indexed.
 
 Probes are sufficient, not a fixed number: a partner of ``a`` lies in list k only if the step to it crosses the bisector between
-the centroid of ``a`` and that of k. A step of length r has a part of about r / sqrt(d) along any one direction in d dimensions, so
-``a`` probes every list whose bisector is within ``deviations`` times that; from sqrt(d) deviations on no partner can be missed at all.
+the centroid of ``a`` and that of k. How far a step of length r goes along that direction depends on how the vectors spread: of the
+covariance left within lists, the direction's share is 1 / d in d dimensions that are alike, but 1 / q if all vectors lie in q of
+them. So ``a`` probes every list whose bisector is within ``deviations`` times r times the root of that share (1 / d at least), or
+within r itself if that is less, beyond which no partner can lie.
 In a list the table-lookup distance less the left-over norm bounds the true distance from below, which loses nothing; what passes
 is compared by exact cosine in double precision. Each vector finds its own partners, so counts need no pairs brought together.
 
@@ -56,10 +58,25 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int):
         self.coarse = k_means(sample, lists)
         residuals = sample - self.coarse[nearest(sample, self.coarse)]
+        self.shares = self._shares(residuals)
         edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.spans = list(zip(edges, edges[1:]))
         self.books = [k_means(residuals[:, a:b], CODES) for a, b in self.spans]
 
+    def _between(self) -> np.ndarray:
+        squares = np.square(self.coarse).sum(1)
+        return np.maximum(squares[:, None] + squares - 2.0 * self.coarse @ self.coarse.T, 0.0)
+
+    def _shares(self, residuals: np.ndarray) -> np.ndarray:
+        """For each two lists the share of the spread within lists that lies along the line between their centroids."""
+        covariance = residuals.T @ residuals
+        along = self.coarse @ covariance @ self.coarse.T
+        own = np.diag(along)
+        total = max(float(np.trace(covariance)), 1e-300)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shares = (own[:, None] + own - 2.0 * along) / (self._between() * total)
+        return np.clip(np.nan_to_num(shares, nan=1.0, posinf=1.0), 1.0 / residuals.shape[1], 1.0)
+
     def codes(self, points: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes of each point in its list, and the norm that they leave over."""
         residual = points - self.coarse[own]
@@ -67,12 +84,12 @@ class Index:
         left = residual - np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], 1)
         return codes.astype(np.uint8), np.sqrt(np.square(left).sum(1))
 
-    def probes(self, points: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(point, list) for every list that can hold a vector within ``reach`` of the point."""
+    def probes(self, points: np.ndarray, own: np.ndarray, reach: float, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+        """(point, list) for every list whose vectors a step of length ``reach`` may lead to."""
         squares = np.square(points).sum(1)[:, None] + np.square(self.coarse).sum(1) - 2.0 * points @ self.coarse.T
-        between = np.square(self.coarse).sum(1)[:, None] + np.square(self.coarse).sum(1) - 2.0 * self.coarse @ self.coarse.T
+        steps = reach * np.minimum(1.0, deviations * np.sqrt(self.shares)) + SLACK
         beyond = squares - squares[np.arange(len(points)), own][:, None]
-        return np.nonzero(beyond <= 2.0 * (reach + SLACK) * np.sqrt(np.maximum(between[own], 0.0)) + SLACK)
+        return np.nonzero(beyond <= 2.0 * (steps * np.sqrt(self._between()))[own] + SLACK)
 
     def bounds(self, queries: np.ndarray, cell: int, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
         """For each query and stored vector of a list a lower bound of their distance, from per-query tables."""
@@ -108,7 +125,7 @@ def classes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataF
     return rows, written(groups.select(F.monotonically_increasing_id().alias("id"), "node", "n", "v"), "classes")
 
 
-def _listed(index, reach: float, lists: int):
+def _listed(index, reach: float, deviations: float):
     """(id, n, role, cell, v, codes, left): each vector once as stored, and once as a query per probed list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +136,7 @@ def _listed(index, reach: float, lists: int):
                 points = unit(matrix(part.column(2)))
                 own = nearest(points, tool.coarse)
                 codes, left = tool.codes(points, own)
-                at, cells = tool.probes(points, own, reach)
+                at, cells = tool.probes(points, own, reach, deviations)
                 for role, rows, cell in ((0, np.arange(len(points)), own), (1, at, cells)):
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
@@ -174,40 +191,44 @@ def _compared(index, cosine: float):
     return run
 
 
+def _found(vectors: DataFrame, count: int, cosine: float, deviations: float, lists: int | None) -> DataFrame:
+    """(a, b, n) of distinct vectors (id, n, v) of one length: links that connect partners, and with a = b numbers of partners."""
+    sample = vectors.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    index = vectors.sparkSession.sparkContext.broadcast(Index(unit(matrix(sample)), lists or max(1, min(SAMPLE // 8, round(2 * count**0.5)))))
+    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
+    kind = vectors.schema["v"].dataType.simpleString()
+    schema = f"id bigint, n bigint, role int, cell int, v {kind}, codes binary, left double"
+    listed = written(vectors.select("id", "n", "v").mapInArrow(_listed(index, reach, deviations), schema), "lists")
+    sizes = listed.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("role") == r) / CHUNK).cast("int").alias(name) for r, name in ((0, "held"), (1, "asked"))))
+    sizes = written(sizes, "sizes")
+    stored = F.col("role") == 0
+    mine = F.pmod(F.xxhash64("id"), F.when(stored, F.col("held")).otherwise(F.col("asked"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(stored, F.col("asked")).otherwise(F.col("held")) - 1)
+    met = listed.join(sizes, "cell").where("held > 0 and asked > 0").select("*", mine.alias("mine"), F.explode(other).alias("other"))
+    met = met.withColumns({"i": F.when(stored, F.col("mine")).otherwise(F.col("other")), "j": F.when(stored, F.col("other")).otherwise(F.col("mine"))})
+    return written(met.groupBy("cell", "i", "j").applyInPandas(_compared(index, cosine), "a bigint, b bigint, n bigint"), "found")
+
+
 def near_duplicates(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, deviations: float = 3.0, lists: int | None = None
 ) -> DataFrame:
     """(key, n_links, component) per row: direct partners at ``cosine`` or above, and the smallest key they lead to.
 
     Every row counts as a vector of its own, repeated ones too. A vector that is null, empty, zero or has a component that is
-    null, NaN or infinite links with nothing and is its own component; one of another length than most have is compared with its
-    equals only. Rows without a key count as partners; such a row's component is that of its partners, null if none has a key.
+    null, NaN or infinite links with nothing and is its own component. Vectors of each length are indexed apart, as only those of one
+    length have a cosine. Rows without a key count as partners; such a row's component is that of its partners, null if none has a key.
     An empty table gives an empty one.
     """
     rows, groups = classes(vectors, key, vector)
     spark = vectors.sparkSession
-    size = groups.groupBy(F.size("v").alias("size")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size").first()
-    usual = groups.where(F.size("v") == (size["size"] if size else 0))
-    sample = usual.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    links, counts = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "id bigint, links bigint")
-    if len(sample):
-        count = usual.count()
-        index = spark.sparkContext.broadcast(Index(unit(matrix(sample)), lists or max(1, min(SAMPLE // 8, round(2 * count**0.5)))))
-        reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine))) * min(1.0, deviations / size["size"] ** 0.5)
-        kind = usual.schema["v"].dataType.simpleString()
-        schema = f"id bigint, n bigint, role int, cell int, v {kind}, codes binary, left double"
-        listed = written(usual.select("id", "n", "v").mapInArrow(_listed(index, reach, len(index.value.coarse)), schema), "lists")
-        sizes = listed.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("role") == r) / CHUNK).cast("int").alias(name) for r, name in ((0, "held"), (1, "asked"))))
-        sizes = written(sizes, "sizes")
-        stored = F.col("role") == 0
-        mine = F.pmod(F.xxhash64("id"), F.when(stored, F.col("held")).otherwise(F.col("asked"))).cast("int")
-        other = F.sequence(F.lit(0), F.when(stored, F.col("asked")).otherwise(F.col("held")) - 1)
-        met = listed.join(sizes, "cell").where("held > 0 and asked > 0").select("*", mine.alias("mine"), F.explode(other).alias("other"))
-        met = met.withColumns({"i": F.when(stored, F.col("mine")).otherwise(F.col("other")), "j": F.when(stored, F.col("other")).otherwise(F.col("mine"))})
-        found = met.groupBy("cell", "i", "j").applyInPandas(_compared(index, cosine), "a bigint, b bigint, n bigint")
-        found = written(found, "found")
-        counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-        links = found.where("a <> b").select("a", "b")
+    found = None
+    for size in groups.groupBy(F.size("v").alias("size")).count().where("count > 1").orderBy("size").collect():
+        own = _found(groups.where(F.size("v") == size["size"]), size["count"], cosine, deviations, lists)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
+    counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    links = found.where("a <> b").select("a", "b")
     joined = components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("head"))
     named = groups.join(joined, "id", "left").withColumn("head", F.coalesce("head", "id")).join(counts, "id", "left")
     smallest = named.groupBy("head").agg(F.min("node").alias("component"))

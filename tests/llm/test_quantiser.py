@@ -72,11 +72,42 @@ def test_full_probes_cover_every_partner():
     points = q.unit(clustered(rng, 10, 30, 16, 0.3))
     index = q.Index(points[:150], 12)
     own = q.nearest(points, index.coarse)
-    probed = set(zip(*(x.tolist() for x in index.probes(points, own, 0.4))))
+    probed = set(zip(*(x.tolist() for x in index.probes(points, own, 0.4, 8.0))))
     near = np.argwhere(np.square(points[:, None] - points[None]).sum(2) <= 0.16)
     assert all((a, own[b]) in probed for a, b in near) and len(probed) < len(points) * len(index.coarse)
 
 
+@pytest.mark.parametrize("rank", [2, 4, 8, 16, 64])
+def test_partners_are_probed_whatever_the_rank(rank):
+    """Vectors in ``rank`` of 64 dimensions, partners at a cosine of 0.955, looked for from both ends."""
+    rng = np.random.default_rng(rank)
+    basis = np.linalg.qr(rng.normal(size=(64, rank)))[0]
+    points = q.unit(rng.normal(size=(12_000, rank)) @ basis.T)
+    step = rng.normal(size=(12_000, rank)) @ basis.T
+    step -= (step * points).sum(1, keepdims=True) * points
+    partners = 0.955 * points + np.sqrt(1 - 0.955**2) * q.unit(step)
+    index = q.Index(points[:8192], 219)
+    own, theirs = q.nearest(points, index.coarse), q.nearest(partners, index.coarse)
+    reach = float(np.sqrt(2 - 2 * 0.95))
+    probed = [np.zeros((12_000, len(index.coarse)), bool) for _ in range(2)]
+    for hit, at in zip(probed, (index.probes(points, own, reach, 3.0), index.probes(partners, theirs, reach, 3.0))):
+        hit[at] = True
+    there, back = probed[0][np.arange(12_000), theirs], probed[1][np.arange(12_000), own]
+    assert there.mean() >= 0.99 and back.mean() >= 0.99 and (there != back).mean() <= 0.01
+
+
+def test_vectors_of_every_length_are_indexed(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (1, 2, 3, 64):
+        for c in range(8):
+            centre = rng.normal(size=size)
+            rows += [(len(rows) + k, (centre * (1 + k) + 0.01 * rng.normal(size=size)).tolist()) for k in range(4)]
+    rows = [(k, v) for k, (_, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, q.near_duplicates(df).collect())) == sorted(slow(rows, 0.95))
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, -0.0]), (6, [nan, 1.0]), (7, [1.0, inf]), (8, [None, 1.0]),
