@@ -4,9 +4,10 @@ One pass over the texts gives each a node (a hash of its set of shingles), its S
 similarity s share a band with probability 1 - (1 - s^3)^21, 0.9999997 at 0.8. Pairs that share a band, and pairs that the SimHash index
 proposes, are candidates; a pair is a link only if the sets themselves, joined to it, are that similar.
 
-A large group of near copies makes no square of pairs: a band's nodes are first compared with its smallest node, then with some of
-them, and only nodes that are still in different components with each other. What is left out so is connected already, so the
-components are those of all pairs.
+A large group of near copies, or of documents with a passage in common, makes no square of pairs: a band's nodes are first compared
+with its smallest node, then with some of them. Nodes that share a band and are still in different components meet only over their
+rarest shingles: of two sets that similar, the first fifth of each, in one order of all shingles, have one in common. What is
+left out is connected already or not that similar, so the components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import simhash
 from tagloom.llm.components import components
-from tagloom.llm.store import small_or_shuffled, values, written
+from tagloom.llm.store import batches_of, small_or_shuffled, values, written
 
 BANDS, ROWS = 21, 3
 BLOCK = 8192
-ROUNDS = (16, 256, None)
+ROUNDS = (16, None)
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 FLIP, FACTOR, MIX = _RANDOM[0], _RANDOM[1] | np.uint64(1), (_RANDOM[2] | np.uint64(1)).reshape(BANDS, ROWS)
 ID = ["x", "y"]
@@ -51,7 +52,7 @@ def _signatures(rows: DataFrame, words: int) -> DataFrame:
     """(key, x, y, node, n, fp, bands) for rows (key, x, y, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             node, n, fp, bands = [], [], [], []
             for text in values(batch.column(3)):
                 hashes = simhash.shingle_hashes(text, words)
@@ -74,7 +75,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, s) with the distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for node, text in zip(batch.column(0), values(batch.column(1))):
                 s = np.unique(np.array(simhash.shingle_hashes(text, words), np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))
@@ -109,6 +110,19 @@ def _indexed(signatures: DataFrame, radius: int, blocks: int) -> DataFrame:
     return same.unionByName(near).where((F.col("a") != F.col("b")) & _comparable(F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of nodes (node, n, c) in different components c: those with a shingle in common among the first
+    n - ceil(0.8 n) + 1 of each, shingles ordered from the rarest up. A pair of similarity 0.8 or more always has one."""
+    shingles = written(sets.join(nodes, "node").select("node", "n", "c", F.explode("s").alias("k")), "shingles")
+    often = shingles.groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "k"))
+    first = shingles.join(often, "k").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1)
+    first = written(first.where("often > 1").select("k", "node", "n", "c"), "rare_shingles")
+    other = first.select("k", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+    pairs = first.join(other, "k").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("node")) & _comparable(F.col("n"), F.col("m")))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
 def _components(docs: DataFrame, signatures: DataFrame, text: str, words: int, radius: int, blocks: int) -> DataFrame:
     """(node, component) for nodes that a link reaches."""
     keyed = signatures.select(F.explode("bands").alias("k"), "node", "n")
@@ -133,12 +147,13 @@ def _components(docs: DataFrame, signatures: DataFrame, text: str, words: int, r
         if mixed.isEmpty():
             break
         named = written(named.join(small_or_shuffled(mixed), "k"), "mixed_members")
-        chosen = named if some is None else named.where(F.pmod(F.xxhash64("node", "k"), "size") < some)
-        chosen = chosen.select("k", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = named.join(chosen, "k").where((F.col("c") != F.col("d")) & _comparable(F.col("n"), F.col("m")))
         if some is None:
-            pairs = pairs.where("a < node")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            pairs = _rare_pairs(written(named.select("node", "n", "c").distinct(), "mixed_nodes"), sets)
+        else:
+            chosen = named.where(F.pmod(F.xxhash64("node", "k"), "size") < some)
+            chosen = chosen.select("k", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = named.join(chosen, "k").where((F.col("c") != F.col("d")) & _comparable(F.col("n"), F.col("m")))
+            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = written(links.unionByName(_verified(written(pairs, "pairs"), sets)), "links")
     return components(links, "a", "b")
 

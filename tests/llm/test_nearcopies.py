@@ -63,6 +63,23 @@ def test_shuffled_and_in_all_rounds(spark, monkeypatch):
     assert sorted(str((False, r[0])) for r in run(spark, docs)) == slow(docs)
 
 
+def test_a_passage_in_common_makes_few_pairs(spark):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    texts = [" ".join(passage + own(40)) for _ in range(150)] + [" ".join(passage + own(3)) for _ in range(20)]
+    texts += [t + " more" for t in texts[:5]]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert sorted(str((False, r[0])) for r in run(spark, docs)) == slow(docs)
+    sets = n._sets(df.selectExpr("doc_id AS node", "text"), 5)
+    nodes = sets.selectExpr("node", "size(s) AS n", "node AS c")
+    pairs = {(r["a"], r["b"]) for r in n._rare_pairs(nodes, sets).collect()}
+    found = [shingles(t) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(found[i] & found[j]) >= 4 * len(found[i] | found[j])}
+    assert near <= pairs and len(pairs) < 1000 < len(texts) ** 2 / 2
+
+
 def test_rows_are_told_apart_by_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
     docs = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, b + " more", "en", "s", 1), (None, "own", "en", "s", 1)]
