@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.store import slices, values
+from tagloom.llm.store import batches_of, slices, values
 
 # How the vocabulary's format splits text into words, and the printable stand-ins of its bytes.
 WORDS = (
@@ -33,7 +33,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHORT = 48
 NO_MERGE = (1 << 62, -1)
 #: Bytes of a worker's store of words, at about WORD_BYTES for each besides its spelling, and of judged pairs.
-MOST_STORE_BYTES, WORD_BYTES = 32_000_000, 230
+MOST_STORE_BYTES, WORD_BYTES = 24_000_000, 230
 MOST_PAIRS = 500_000
 MAX_VOCABULARY_BYTES = 64_000_000
 
@@ -267,7 +267,7 @@ def _encoded(documents: DataFrame, vocabulary_path: str, key: str, text: str, ba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(spec)
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in slices(batch, 1):
                 counts, tokens = tool.encode([t or "" for t in values(part.column(1))])
                 ends = np.concatenate([[0], np.cumsum(counts)])
@@ -287,7 +287,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, key: str = "key", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(spec)
-        for batch in batches:
+        for batch in batches_of(batches):
             texts = pa.array((None if t is None else tool.decode(t) for t in values(batch.column(1))), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["key", "ids", "text"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
-from tagloom.llm.store import values, written
+from tagloom.llm.store import batches_of, values, written
 
 BITS = 64
 FANOUT = 8
@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, key: str, text: str, words: int) -> DataF
     """(key, fp) for every row; ``fp`` is the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             fps = np.fromiter((fingerprint(t, words) for t in values(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
@@ -173,7 +173,7 @@ def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
-        for batch in batches:
+        for batch in batches_of(batches):
             keys = [batch.column(i).to_numpy() for i in range(4)]
             held.append((np.stack(keys), batch.column(4).to_numpy().view(np.uint64), batch.column(5).to_numpy()))
             rows += batch.num_rows

@@ -38,6 +38,14 @@ def values(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches one by one; what Arrow still holds of the last one goes back to the system, as workers live on between stages."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``max_bytes`` (one long text: alone)."""
     texts, start, held = batch.column(column), 0, 0

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tagloom.llm.store import held_out, slices, values
+from tagloom.llm.store import batches_of, held_out, slices, values
 
 MOST_ROWS = 8192
 BUCKET_BITS = 20
-MOST_WORDS = 200_000
+MOST_WORDS = 60_000
 NEXT, SKIPPED, SPREAD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -115,7 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in slices(batch, 2):
                 rows = pa.array([np.unique(features(t, hashes)) for t in values(part.column(2))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), rows], ["key", "label", "at"])
@@ -141,7 +141,7 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, buckets, kept = weights.value
         table, hashes = Model(bias, buckets, kept).table(), WordHashes()
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in slices(batch, place):
                 scores = pa.array(score(values(part.column(place)), table, bias, hashes), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "score"])

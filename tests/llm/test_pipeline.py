@@ -104,5 +104,5 @@ def test_empty_documents(spark, sf_dir):
 
 def test_registered():
     assert "pipeline" in p.QUERIES and p.ORACLE_SQL is None
-    assert {int(m[1]) for q in p.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
+    assert {int(m[1]) for q in p.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
     assert decontaminate.SHINGLE == 5
