@@ -135,7 +135,7 @@ def calibrate(
     weight: str | None = None,
     links: str | Mapping[str, str] = "logit",
     npar: int | Mapping[str, int] = 2,
-    iterations: int = 30,
+    iterations: int = 100,
     tolerance: float = 1e-10,
     mixing: Column | None = None,
     fallback: bool = True,

@@ -384,12 +384,12 @@ def _walk_sql() -> str:
     number = lambda x: "NULL" if x is None else f"{x:.17e}" if isinstance(x, float) else str(x)
     values = ", ".join(f"({', '.join(number(r[c]) for c in ('tree', 'node', 'left', 'feature', 'threshold', 'prediction'))})" for r in made_ensemble())
     value = "CASE feature " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(TREE_INPUTS)) + " END"
-    ctes = [f"nodes(tree, node, l, feature, threshold, prediction) AS (VALUES {values})", f"t AS MATERIALIZED (SELECT {K}, {', '.join(TREE_INPUTS)} FROM {src(*TREE_INPUTS)} v)"]
+    ctes = [f"nodes(tree, node, l, feature, threshold, prediction) AS (VALUES {values})", f"t AS MATERIALIZED (SELECT row_number() OVER () AS row, {K}, {', '.join(TREE_INPUTS)} FROM {src(*TREE_INPUTS)} v)"]
     ctes.append("w0 AS (SELECT t.*, tree, 0 AS node FROM t, (SELECT DISTINCT tree FROM nodes))")
     for d in range(3):
         ctes.append(f"w{d + 1} AS (SELECT w.* REPLACE (CASE WHEN {value} <= threshold THEN l ELSE l + 1 END AS node) FROM w{d} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)")
     weight = "CASE WHEN w.tree = 0 THEN 1e0 ELSE 1e-1 END"
-    return f"WITH {', '.join(ctes)} SELECT {K}, round(1e0 / (1e0 + exp(-2e0 * sum({weight} * prediction))), 9) AS score FROM w3 w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY {K}"
+    return f"WITH {', '.join(ctes)} SELECT {K}, round(1e0 / (1e0 + exp(-2e0 * sum({weight} * prediction))), 9) AS score FROM w3 w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY row, {K}"
 
 
 @query("M12_compiled_score", _walk_sql())
@@ -514,7 +514,7 @@ def long_taggers(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return df.withColumn("w", (F.col("run") % 10 - 2) / 4.0).drop("run")
 
 
-def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "", chi: str = "0e0") -> str:
+def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "", chi: str = "0e0", steps: int = NEWTON) -> str:
     """Unrolled Fisher scoring of two parameters per (tagger, sign) of ``rows``; ``mark`` ends the names of its tables, ``chi`` is the mixing probability."""
     value = "ln(eta / (1e0 - eta))" if link == "logit" else "eta"
     centre = "ln(m / (1e0 - m))" if link == "logit" else "m"
@@ -527,7 +527,7 @@ def _newton_sql(weight: str, link: str, rows: str = "lg", mark: str = "", chi: s
         f"fx{mark} AS MATERIALIZED (SELECT f.*, {value} - c AS x FROM fr{mark} f JOIN fc{mark} USING (tagger))",
         f"q{mark}0 AS (SELECT tagger, sg, {start} AS a, 0e0 AS bb FROM (SELECT tagger, sg, sum(fw * y) / sum(fw) AS f FROM fr{mark} GROUP BY tagger, sg))",
     ]
-    for i in range(NEWTON):
+    for i in range(steps):
         ctes.append(
             f"""q{mark}{i + 1} AS MATERIALIZED (SELECT tagger, sg, a + (h2 * g0 - h1 * g1) / det AS a, bb + (h0 * g1 - h1 * g0) / det AS bb,
              sqrt((h2 * h2 * v0 - 2 * h1 * h2 * v1 + h1 * h1 * v2) / (det * det)) AS ea, sqrt((h1 * h1 * v0 - 2 * h0 * h1 * v1 + h0 * h0 * v2) / (det * det)) AS eb,
@@ -824,9 +824,9 @@ def tag_events_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RECALIBRATED_SQL = f"""{LONG_SQL}, {_newton_sql('1e0', 'logit')}, {APPLY_SQL}, cb AS (SELECT entry, any_value(B_ID) AS B_ID, {ODDS_SQL.format(d='d_cal', e='omega')} AS s FROM ca GROUP BY entry),
-  cmb AS MATERIALIZED (SELECT 'combination' AS tagger, entry, B_ID, CAST(sign(s) AS INT) AS d, 1e0 / (1e0 + exp(abs(s))) AS eta FROM cb), {_newton_sql('1e0', 'mistag', 'cmb', 'z')},
+  cmb AS MATERIALIZED (SELECT 'combination' AS tagger, entry, B_ID, CAST(sign(s) AS INT) AS d, 1e0 / (1e0 + exp(abs(s))) AS eta FROM cb), {_newton_sql('1e0', 'mistag', 'cmb', 'z', steps=40)},
   fin AS (SELECT entry, B_ID, CASE WHEN om < 0.5 THEN d ELSE 0 END AS d, CASE WHEN om < 0.5 THEN greatest(om, 0e0) ELSE 5e-1 END AS eta
-    FROM (SELECT cmb.*, CASE WHEN d <> 0 AND eta < 0.5 THEN a + bb * (eta - c) END AS om FROM cmb, (SELECT avg(a) AS a, avg(bb) AS bb FROM qz{NEWTON}), fcz))"""
+    FROM (SELECT cmb.*, CASE WHEN d <> 0 AND eta < 0.5 THEN a + bb * (eta - c) END AS om FROM cmb, (SELECT avg(a) AS a, avg(bb) AS bb FROM qz40), fcz))"""
 
 
 @query("E2_recalibrated_combination", f"WITH {RECALIBRATED_SQL}, {performance_sql('fin', digits=6)} SELECT * FROM figures")
