@@ -63,6 +63,7 @@ class Codec:
         self.words = regex.compile(WORDS)
         names = sorted(self.special, key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.room = MOST_STORE_BYTES
         self._reset_words()
         self._reset_pairs()
 
@@ -75,7 +76,7 @@ class Codec:
         """Keep the words met most often, in half of the store."""
         words, order = list(self.places), np.argsort(-self.hits, kind="stable")
         cost = np.cumsum([len(words[k]) + WORD_BYTES for k in order])
-        keep = np.sort(order[cost <= MOST_STORE_BYTES // 2])
+        keep = np.sort(order[cost <= self.room // 2])
         tokens = [self.tokens[self.starts[k] : self.starts[k] + self.sizes[k]] for k in keep]
         hits, sizes = self.hits[keep] // 2, self.sizes[keep]
         self._reset_words()
@@ -200,7 +201,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token counts per text, and all tokens in order."""
-        if self.held > MOST_STORE_BYTES:
+        if self.held > self.room:
             self._forget_rare()
         for name, token in self.special.items():
             if name not in self.places:
@@ -257,16 +258,20 @@ def encode(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text
     return _encoded(documents, vocabulary_path, key, text, False)
 
 
-def round_trip(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, text): each row's tokens as by ``encode``, and the text that ``decode`` makes of them, in one pass."""
-    return _encoded(documents, vocabulary_path, key, text, True)
+def round_trip(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", store_bytes: int = MOST_STORE_BYTES) -> DataFrame:
+    """(key, ids, text): each row's tokens as by ``encode``, and the text that ``decode`` makes of them, in one pass.
+
+    ``store_bytes`` is the memory that a worker may spend on words met before: more of it saves work, the result is the same.
+    """
+    return _encoded(documents, vocabulary_path, key, text, True, store_bytes)
 
 
-def _encoded(documents: DataFrame, vocabulary_path: str, key: str, text: str, back: bool) -> DataFrame:
+def _encoded(documents: DataFrame, vocabulary_path: str, key: str, text: str, back: bool, store_bytes: int = MOST_STORE_BYTES) -> DataFrame:
     spec = vocabulary(documents, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(spec)
+        tool.room = store_bytes
         for batch in batches_of(batches):
             for part in slices(batch, 1):
                 counts, tokens = tool.encode([t or "" for t in values(part.column(1))])

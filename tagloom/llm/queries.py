@@ -32,7 +32,7 @@ def byte_vocabulary() -> str:
 
 def encoding_digests(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """Token count and digests of the tokens and of the text decoded from them, per document."""
-    coded = bpe.round_trip(documents, vocabulary_path)
+    coded = bpe.round_trip(documents, vocabulary_path, store_bytes=128_000_000)
     return coded.select(
         F.col("key").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

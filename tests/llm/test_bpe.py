@@ -56,7 +56,7 @@ def test_many_words_that_proposals_get_wrong():
 
 def test_long_words_and_bounded_memory(monkeypatch):
     check("a" * 5000 + "b" * 3000 + "ab" * 2000)
-    monkeypatch.setattr(bpe, "MOST_STORE_BYTES", 2500)
+    monkeypatch.setattr(CODEC, "room", 2500)
     monkeypatch.setattr(bpe, "MOST_PAIRS", 5)
     for i in range(30):
         check(f"word{i} the other{i}thing <|endoftext|>{i}")
