@@ -59,6 +59,10 @@ def histogram(
     )
 
 
+#: Unit bins of an integer column.
+MOST_BINS = 100_000
+
+
 def histograms(df: DataFrame, ranges: Mapping[str, tuple[float, float]], bins: int, by: Iterable[str] = ()) -> DataFrame:
     """``histogram`` of several features at once: ``feature, by..., bin, bin_low, n, density``.
 
@@ -83,12 +87,17 @@ def common_range(
 ) -> tuple[float, float, int]:
     """Range and bin count shared by all samples in ``df``.
 
-    Integer columns get unit bins centred on the integers from minimum to maximum; other columns run
+    Integer columns get unit bins centred on the integers from minimum to maximum, at most ``MOST_BINS`` (one stray value would
+    else make any number of empty bins: an error that names the range); other columns run
     from the minimum to an upper quantile (at least one unit wide).
     """
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if integer:
         row = clean.agg(F.floor(F.min(value)).alias("lo"), F.ceil(F.max(value)).alias("hi")).first()
+        if row["lo"] is None:
+            return -0.5, 0.5, 1
+        if row["hi"] - row["lo"] >= MOST_BINS:
+            raise ValueError(f"{value} runs from {row['lo']} to {row['hi']}: more than {MOST_BINS} unit bins, give a fixed range")
         low, high = float(row["lo"]) - 0.5, float(row["hi"]) + 0.5
         return low, high, int(high - low)
     low = float(clean.agg(F.min(value).cast("double").alias("lo")).first()["lo"])

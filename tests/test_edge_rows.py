@@ -195,3 +195,13 @@ def test_polynomial_order_by_prefix_and_generation():
     assert [parameters_of(t, "logit") for t in ("OSKaon", "OSKaon_new", "OSElectron", "SSPion")] == [4, 4, 2, 2]
     assert [parameters_of(t, "logit", older=True) for t in ("OSKaon", "OSElectronLatest", "OSMuon")] == [4, 3, 2]
     assert parameters_of("OSKaon", "mistag", older=True) == 2
+
+
+def test_integer_bins_are_bounded(spark):
+    from tagloom.operators import hist
+
+    df = spark.createDataFrame([(0, "a"), (2, "a"), (2, "b")], "v int, s string")
+    assert hist.histogram_common(df, "v", "s", integer=True).count() == 6
+    assert hist.histogram_common(df.limit(0), "v", "s", integer=True).count() == 0
+    with pytest.raises(ValueError, match="unit bins"):
+        hist.histogram_common(df.unionByName(spark.createDataFrame([(10**9, "a")], "v int, s string")), "v", "s", integer=True)
