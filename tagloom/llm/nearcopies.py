@@ -112,14 +112,16 @@ def _indexed(signatures: DataFrame, radius: int, blocks: int) -> DataFrame:
 
 def _rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of nodes (node, n, c) in different components c: those with a shingle in common among the first
-    n - ceil(0.8 n) + 1 of each, shingles ordered from the rarest up. A pair of similarity 0.8 or more always has one."""
+    n - ceil(0.8 n) + 1 of each, shingles ordered from the rarest up, and enough of both sets behind it. A pair of similarity 0.8 or
+    more always has one: its first common shingle, which all of its (n + m) * 4 / 9 or more common ones follow or are."""
     shingles = written(sets.join(nodes, "node").select("node", "n", "c", F.explode("s").alias("k")), "shingles")
     often = shingles.groupBy("k").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "k"))
     first = shingles.join(often, "k").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1)
-    first = written(first.where("often > 1").select("k", "node", "n", "c"), "rare_shingles")
-    other = first.select("k", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = first.join(other, "k").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("node")) & _comparable(F.col("n"), F.col("m")))
+    first = written(first.where("often > 1").select("k", "node", "n", "c", (F.col("n") - F.col("at")).alias("left")), "rare_shingles")
+    other = first.select("k", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("rest"))
+    enough = (F.least("left", "rest") + 1) * 9 >= (F.col("n") + F.col("m")) * 4
+    pairs = first.join(other, "k").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("node")) & _comparable(F.col("n"), F.col("m")) & enough)
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
