@@ -90,3 +90,29 @@ def test_weighting_and_trend_chain(spark):
     # the signal is always tagged right and the background always wrong: weights undo the background
     wrong = made.agg(F.sum(F.when(F.col("d") < 0, F.col("signal_weights"))).alias("w"), F.sum("signal_weights").alias("s")).first()
     assert abs(wrong["w"] / wrong["s"]) < 0.08
+
+
+def test_nested_events_shuffle_only_the_lines(spark, tmp_path):
+    """Equal to roles made before the grouping; signal roles and the choice of species need no shuffle."""
+    from tagloom.plans import bindings as b
+    from tagloom.plans import model_queries as q
+
+    rows = [(k if k % 11 else None, 7 * k % 31, k % 9, k % 3, None if k % 17 == 0 else k % 50 + 0.5, 900.0 * k, k % 11 / 100, k % 9 / 100, "NRA"[k % 3], "OF"[k % 2]) for k in range(200)]
+    rows += [(e, *r[1:]) for r in rows[:60] for e in (r[0], 5)] + [r[:8] + ("A", "F") for r in rows[:20]] + [r[:8] + ("N", "F") for r in rows[:20]]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    df = b.tracks(spark, str(tmp_path), *q.CHAIN_SIGNAL, *[f"B_Tr_T_{n}" for n in q.CHAIN_TRACK])
+    whole = ("Charge", "IsInTree", "Origin_Flag", "TRUE_PARTICLE_ID")
+    track = F.struct("subentry", "track_part", "track_supp", *[F.col(f"B_Tr_T_{n}").cast("int" if n in whole else "double").alias(f"B_Tr_T_{n}") for n in q.CHAIN_TRACK])
+    plain = df.groupBy("entry").agg(*[F.first(c).alias(c) for c in q.CHAIN_SIGNAL], F.sort_array(F.collect_list(track)).alias("tracks"))
+    plain = plain.withColumns({"tracks": F.transform("tracks", lambda t: t.dropFields("subentry", "track_part", "track_supp")), "RUNNUMBER": F.lit(1), "EVENTNUMBER": F.col("entry")})
+    made = q.nested_events(spark, str(tmp_path))
+    assert made.dtypes == plain.dtypes
+    key = lambda r: str(r["entry"])
+    assert sorted(made.collect(), key=key) == sorted(plain.collect(), key=key)
+
+    plan = made.where("abs(B_TRUEID) = 521")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Aggregate [" in line)
+    below = "\n".join(plan[at + 1 :])
+    assert not any("Filter" in line for line in plan[:at]) and "Filter" in below and "% 3" in below and "AS B_" not in below.replace("AS B_Tr_T_Charge", "").replace("AS B_Tr_T_IsInTree", "")
