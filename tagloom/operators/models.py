@@ -8,7 +8,6 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators import trees
+from tagloom.operators import boosting, trees
 from tagloom.operators.cuts import SIMULATION_SIGNAL_TERM, cut_predicate, gated_score
 from tagloom.operators.ranking import bounded_local, join_null_safe
 
@@ -115,13 +114,7 @@ def logistic_on_score(df: DataFrame, score: str, label: str):
 
 def two_fold_models(df: DataFrame, features: Sequence[str], label: str, number: str, trees: int = 20, depth: int = 3, seed: int = 42):
     """One boosted classifier per parity of the event number, each trained on the other parity."""
-    slim = assemble(df, features).select("_x", F.col(label).cast("double").alias(label), F.pmod(F.col(number), F.lit(2)).alias("_p"))
-    slim = slim.persist()
-    try:
-        fit = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
-        return {parity: fit.fit(slim.filter(F.col("_p") != parity)) for parity in (0, 1)}
-    finally:
-        slim.unpersist()
+    return boosting.fit(df, features, label, F.pmod(F.col(number), F.lit(2)), (0, 1), trees, depth, seed)
 
 
 def two_fold_score(df: DataFrame, models: Mapping[int, Model], features: Sequence[str], number: str, passed: Column, out: str = "score") -> DataFrame:
