@@ -27,8 +27,10 @@ from tagloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a lane (its numbers stay in a core's cache) and lanes of a partition.
-LANE_ROWS, MOST_LANES = 16_384, 128
+#: Rows of a lane (its numbers stay in a core's cache) and lanes of a partition (a task has a start-up cost at every level).
+LANE_ROWS, MOST_LANES = 16_384, 512
+#: Values of a table of several trees, so that a place in it is one byte; a tree of more has one of its own.
+MOST_VALUES = 256
 #: Bins of a feature (a sample's shares may come to a few more), rows that candidate thresholds are taken from (expected), and the weight of a tree after the first.
 BINS, SAMPLE_ROWS, RATE = 32, 10_000, 0.1
 NODES = (
@@ -148,33 +150,73 @@ def lanes(rows: DataFrame, cuts: dict[int, list[np.ndarray]], number: int) -> tu
         for fold in cuts:
             yield from out(fold, True)
 
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-number // (LANE_ROWS * MOST_LANES)))
+    cores = max(rows.sparkSession.sparkContext.defaultParallelism, 1)
+    parts = -(-max(number, 1) // (LANE_ROWS * MOST_LANES * cores)) * cores  # whole rounds of all cores
     packed = rows.mapInArrow(pack, "fold int, place int, data binary")
     return packed.repartitionById(parts, F.col("place") % parts).select("fold", "data"), parts
 
 
-def places(x: np.ndarray, splits: Sequence[Sequence[tuple[int, int, int]]]) -> np.ndarray:
-    """Place of each row after the levels of ``splits``."""
+def _chosen(right: list[np.ndarray | None], way: Sequence[np.ndarray]) -> np.ndarray | None:
+    """For each row the test of its node, eight rows a byte: ``right`` has those of all nodes of a level, ``way`` the bits that led there."""
+    for bit in reversed(way):
+        pairs, right = zip(right[::2], right[1::2]), []
+        for a, b in pairs:
+            if a is None or b is None:
+                right.append(b & bit if b is not None else None if a is None else a & ~bit)
+            else:
+                right.append(a ^ ((a ^ b) & bit))
+    return right[0]
+
+
+def places(x: np.ndarray, splits: Sequence[Sequence[tuple[int, int, int]]], tests: dict | None = None) -> np.ndarray:
+    """Place of each row after the levels of ``splits``; ``tests`` keeps the outcome of a test for other trees."""
+    tests, way = {} if tests is None else tests, []
     at = np.zeros(x.shape[1], np.min_scalar_type(max((1 << len(splits)) - 1, 1)))
-    for level in splits:
-        right = np.zeros_like(at)
+    for k, level in enumerate(splits):
+        right: list[np.ndarray | None] = [None] * (1 << k)
         for node, feature, last in level:
-            right |= (at == node) & (x[feature] > last)
-        at = at * 2 + right
+            if (feature, last) not in tests:
+                tests[feature, last] = np.packbits(x[feature] > last)
+            right[node] = tests[feature, last]
+        bit = _chosen(right, way)
+        way.append(np.zeros(-(-x.shape[1] // 8), np.uint8) if bit is None else bit)
+        at += at
+        at |= np.unpackbits(way[-1], count=x.shape[1])
     return at
 
 
-def level_sums(x: np.ndarray, y: np.ndarray, bins: int, grown: Sequence[tuple], splits: Sequence) -> np.ndarray:
-    """Count, sum and squares of the residuals by node of the next level, feature and bin; ``y`` is -1 or 1."""
-    r = y
+def tables(grown: Sequence[tuple]) -> list[tuple[list, np.ndarray]]:
+    """Neighbouring trees with one table of their summed values by all their places: one look-up for several trees."""
+    out: list[tuple[list, np.ndarray]] = []
+    for levels, values in grown:
+        if out and len(out[-1][1]) * len(values) <= MOST_VALUES:
+            out[-1] = [*out[-1][0], levels], np.add.outer(out[-1][1], values).ravel()
+        else:
+            out.append(([levels], values))
+    return out
+
+
+def scores(x: np.ndarray, grown: Sequence[tuple[list, np.ndarray]], tests: dict | None = None) -> np.ndarray:
+    """Sum of the trees' values by row, from ``tables``."""
+    total, tests = np.zeros(x.shape[1]), {} if tests is None else tests
+    for together, values in grown:
+        at = places(x, together[0], tests)
+        for levels in together[1:]:
+            for _ in levels:
+                at += at
+            at |= places(x, levels, tests)
+        total += values.take(at)
+    return total
+
+
+def level_sums(x: np.ndarray, y: np.ndarray, bins: int, grown: Sequence[tuple[list, np.ndarray]], splits: Sequence) -> np.ndarray:
+    """Count, sum and squares of the residuals by node of the next level, feature and bin; ``y`` is -1 or 1, ``grown`` from ``tables``."""
+    r, tests = y, {}
     if grown:
-        score = np.zeros(len(y))
-        for levels, values in grown:
-            score += values[places(x, levels)]
         with np.errstate(over="ignore"):
-            r = 4 * y / (1 + np.exp(2 * y * score))
+            r = 4 * y / (1 + np.exp(2 * y * scores(x, grown, tests)))
     squares, size = r * r, bins << len(splits)
-    start = places(x, splits).astype(np.intp) * bins
+    start = places(x, splits, tests).astype(np.intp) * bins
     out = np.empty((3, len(x), size))
     for f, found in enumerate(x):
         key = start + found
@@ -254,7 +296,7 @@ def _boost(packed: DataFrame, parts: int, cuts: dict[int, list[np.ndarray]], tre
     for t in range(trees):
         tree = {f: Tree(depth) for f in cuts}
         while live := [f for f in cuts if _open(tree[f])]:
-            work = {f: (done[f], tree[f].splits(max(len(tree[f].levels) - 1, 0))) for f in live}
+            work = {f: (tables(done[f]), tree[f].splits(max(len(tree[f].levels) - 1, 0))) for f in live}
 
             def run(batches: Iterator[pa.RecordBatch], work=work) -> Iterator[pa.RecordBatch]:
                 sums: dict[int, np.ndarray] = {}

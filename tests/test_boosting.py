@@ -81,3 +81,33 @@ def test_one_class_and_bad_rows(spark):
             models.two_fold_models(df.withColumn("a", F.when(F.col("id") == 5, F.lit(wrong).cast("double")).otherwise(F.col("a"))), FEATURES, "y", "id", trees=1)
     with pytest.raises(ValueError):
         models.two_fold_models(df.where("id % 2 = 0"), FEATURES, "y", "id", trees=1)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 9])
+def test_places_and_scores_of_many_trees(depth):
+    rng = np.random.default_rng(depth)
+    x, grown, at = rng.integers(0, 12, (4, 1003), dtype=np.uint8), [], []
+    for _ in range(7):
+        levels, live, walked = [], [0], np.zeros(1003, int)
+        for _ in range(depth):
+            levels.append([(n, int(rng.integers(4)), int(rng.integers(11))) for n in live if rng.random() < 0.8])
+            live = [c for n, _, _ in levels[-1] for c in (2 * n, 2 * n + 1)]
+            split = {n: (f, last) for n, f, last in levels[-1]}
+            walked = np.array([2 * a + (a in split and x[split[a][0], i] > split[a][1]) for i, a in enumerate(walked)])
+        grown.append((levels, rng.normal(size=1 << depth)))
+        at.append(walked)
+        assert np.array_equal(boosting.places(x, levels), walked)
+    together = boosting.tables(grown)
+    assert len(together) == (7 if depth > 4 else -(-7 // (8 // depth))) and all(len(v) <= max(boosting.MOST_VALUES, 1 << depth) for _, v in together)
+    assert boosting.scores(x, together) == pytest.approx(sum(v[a] for (_, v), a in zip(grown, at)), abs=1e-12)
+
+
+def test_partitions_are_whole_rounds_of_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "LANE_ROWS", 100)
+    monkeypatch.setattr(boosting, "MOST_LANES", 2)
+    rows = frame(spark, 2000).selectExpr(*FEATURES, "y", "CAST(id % 2 AS DOUBLE) AS apart")
+    cuts = {f: [np.array([0.0])] * len(FEATURES) for f in (0, 1)}
+    packed, parts = boosting.lanes(rows, cuts, 2000)
+    cores = spark.sparkContext.defaultParallelism
+    assert parts >= 10 and parts % cores == 0 and packed.rdd.getNumPartitions() == parts
+    assert sum(len(r["data"]) for r in packed.collect()) == 2000 * (len(FEATURES) + 1)

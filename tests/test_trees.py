@@ -1,11 +1,14 @@
 """Node tables, path limits and compiled ensembles against the fitted models."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.sql import functions as F
 
 from tagloom.operators import models, trees
+from tagloom.plans import model_queries
 
 FEATURES = ["a", "b", "c"]
 
@@ -57,6 +60,26 @@ def test_compiled_ensemble_equals_the_library(spark, sample):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_tests_as_columns_give_the_same_scores(spark, sample):
+    gaps = sample.withColumns({f: F.when(F.col("id") % k != 0, F.col(f)) for f, k in (("a", 7), ("b", 11))}).withColumn("c", F.when(F.col("id") % 13 == 0, float("nan")).otherwise(F.col("c")))
+    model = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=8, maxDepth=3, seed=2).fit(models.assemble(sample, FEATURES))
+    text = trees.compiled(model, sample, FEATURES, tests := {})
+    assert "<=" not in text and len(set(tests.values())) == len(tests) == len(set(re.findall(r"WHEN (_test\d+) THEN", text)))
+    for df in (sample, gaps):
+        both = trees.with_tests(df, tests).withColumns({"short": F.expr(text), "long": F.expr(trees.compiled(model, df, FEATURES))})
+        assert both.count() == 800 and both.where("short = long").count() == 800
+    assert trees.with_tests(sample, {}).columns == sample.columns
+
+
+def test_the_comparison_of_scores_takes_each_test_once(spark, sf_dir):
+    found = model_queries.compiled_equals_library(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    tests = re.findall(r"\((B_Tr_T_\w+#\d+ <= [^()]+)\)", plan)
+    assert tests and len(tests) == len(set(tests))
+    tracks, differing = found.first()
+    assert tracks == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() and differing == 0
+
+
 def test_too_large_an_ensemble_is_refused(spark, sample, monkeypatch):
     model = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=2, maxDepth=2).fit(models.assemble(sample, FEATURES))
     monkeypatch.setattr(trees, "MOST_NODES", 5)
